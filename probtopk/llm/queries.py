@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, sharding, warc
+from . import linededup, mixing, quality, secrets, sentencepiece, sharding, syncmers, toxicity, warc
 
 QUERIES = {
+    "op1_fingerprints": syncmers.op1_fingerprints,
     "op2_line_dedup": linededup.op2_line_dedup,
+    "op3_sentencepiece": sentencepiece.op3_sentencepiece,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op7_secrets": secrets.op7_secrets,
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_sharding": sharding.op10_sharding,

@@ -32,6 +32,7 @@ ROLL_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: Uncompressed bytes of html per shard that the number of shards aims at.
 SHARD_BYTES = 64 << 20
+READ_STEP = 8192
 
 MANIFEST_SCHEMA = "file string, shard int, n_records long, bytes long, sha1 string, first_id long, last_id long"
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -149,13 +150,16 @@ def parse(data: bytes) -> Iterator[tuple]:
 
     The digest of a response is computed from its payload and held against its header.
     """
-    view = memoryview(data)
-    while len(view):
-        d = zlib.decompressobj(31)
-        raw = d.decompress(view) + d.flush()
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof and at < len(view):  # step by step, as what is left over of a step is copied
+            step = view[at : at + READ_STEP]
+            parts.append(d.decompress(step))
+            at += len(step) - len(d.unused_data)
         if not d.eof:
             raise ValueError("a record is cut off")
-        view = view[len(view) - len(d.unused_data) :]
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         block = rest[: int(fields["Content-Length"])]

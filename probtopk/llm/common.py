@@ -22,11 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     It is `spark.checkpoint.dir`; a local one is made and set only where the
     session has none, as in tests.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="probtopk-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="probtopk-shared-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 

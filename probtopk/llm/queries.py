@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, quality, secrets, sentencepiece, sharding, syncmers, toxicity, warc
+from . import jaccard, linededup, mixing, quality, secrets, sentencepiece, sharding, syncmers, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": syncmers.op1_fingerprints,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_sentencepiece": sentencepiece.op3_sentencepiece,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secrets": secrets.op7_secrets,
     "op8_mixing": mixing.op8_mixing,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_line_dedup": linededup.ORACLE_SQL,
+    "op5_ngram_jaccard": jaccard.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
 }

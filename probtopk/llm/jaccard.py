@@ -285,7 +285,10 @@ def _keyed_by_node(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with one row per component: the one with the least id; of rows that repeat it, one. Rows without words all stay."""
+    """The rows of `docs` with one document per component: the one with the least id.
+
+    Rows that repeat an id are one document and stay or go together; rows without words and rows without an id all stay.
+    """
     classes = similarity_classes(docs, id_col, text_col)
     gone = classes.where((F.col("n_shingles") > 0) & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -141,3 +141,30 @@ r AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.epochs,
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(0, rest - before)))::BIGINT AS taken FROM r
 """
+
+
+def mixed_copies(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, source and others) as the mix takes them.
+
+    A row comes once per complete epoch; a row that is taken in part comes with
+    the first words that are taken, and a row of which nothing is taken goes.
+    Rows without words take no part in the count of words and stay once.
+    """
+    plan = mix(with_weights(docs, labels)).select(
+        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("source").alias("__source")
+    )
+    # Rows that repeat an id, a source and a size stand for each other: the plan's rows are numbered against the table's.
+    keyed = docs.withColumn("__size", n_words("text"))
+    turn = Window.partitionBy("__id", "__source", "__size")
+    plan = plan.withColumn("__turn", F.row_number().over(turn.orderBy("__taken")))
+    own = Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))
+    keyed = keyed.withColumn("__turn", F.row_number().over(own))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (keyed["__size"] == plan["__size"]) & (keyed["__turn"] == plan["__turn"])
+    joined = keyed.join(plan, on).select(*docs.columns, keyed["__size"].alias("__n"), "__taken")
+    whole = F.when(F.col("__n") == 0, 1).otherwise(F.floor(F.col("__taken") / F.col("__n"))).cast("int")
+    part = F.when(F.col("__n") == 0, 0).otherwise(F.col("__taken") % F.col("__n")).cast("int")
+    takes = F.concat(F.array_repeat(F.col("__n").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    each = joined.withColumn("__take", F.explode(takes))
+    pieces = F.regexp_extract_all("text", F.lit(rf"[{common.WS}]*[^{common.WS}]+"), F.lit(0))
+    cut = F.when(F.col("__take") == F.col("__n"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("__take")), ""))
+    return each.select(*[cut.alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -50,7 +50,7 @@ def anchors_of(smers: Column) -> Column:
 
     A k-mer of four tokens has the s-mers (a, b, c); its hash is made of a and c, which cover all four.
     """
-    pairs = F.zip_with(_tail(smers, 1, 2), _tail(smers, 2, 2), lambda b, c: F.struct(b.alias("b"), c.alias("c")))
+    pairs = F.arrays_zip(_tail(smers, 1, 2).alias("b"), _tail(smers, 2, 2).alias("c"))
     # An s-mer in the middle that is as small as one at an edge does not count as smaller.
     return F.zip_with(_tail(smers, 0, 2), pairs, lambda a, bc: F.when(bc["b"] >= F.least(a, bc["c"]), F.xxhash64(a, bc["c"])))
 
@@ -61,22 +61,26 @@ def characters(text: Column) -> Column:
 
 
 def with_smers(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
-    """Columns <prefix>_words and <prefix>_chars: s-mer hashes of the two readings; <prefix>_whole: the whole token sequence's hash."""
+    """Columns <prefix>_words and <prefix>_chars: s-mer hashes of the two readings; <prefix>_whole: hash of all words.
+
+    Tokens are a step of their own: they are read several times in the next one.
+    """
     text = common.text_or_empty(text_col)
-    return df.withColumns(
+    tokens = df.withColumns({f"{prefix}_w": token_hashes(common.words(text)), f"{prefix}_c": token_hashes(characters(text))})
+    return tokens.withColumns(
         {
-            f"{prefix}_words": smer_hashes(token_hashes(common.words(text))),
-            f"{prefix}_chars": smer_hashes(token_hashes(characters(text))),
-            f"{prefix}_whole": F.xxhash64(F.array_join(F.when(F.length(text) < SHORT, common.words(text)), " ")),
+            f"{prefix}_words": smer_hashes(F.col(f"{prefix}_w")),
+            f"{prefix}_chars": smer_hashes(F.col(f"{prefix}_c")),
+            f"{prefix}_whole": F.xxhash64(f"{prefix}_w"),
         }
-    )
+    ).drop(f"{prefix}_w", f"{prefix}_c")
 
 
-def positional_anchors(df: DataFrame, text_col: str = "text") -> Column:
-    """array<struct<pos, hash>>: word position and hash of each anchor, for positional matching of passages."""
-    found = anchors_of(smer_hashes(token_hashes(common.words(common.text_or_empty(text_col)))))
-    placed = F.transform(found, lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
-    return F.filter(placed, lambda p: p["hash"].isNotNull())
+def positional_anchors(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """`df` with anchors: array<struct<pos, hash>>, word position and hash of each, for positional matching of passages."""
+    placed = F.transform(anchors_of(F.col("__words")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
+    found = with_smers(df, text_col, "_").withColumn("anchors", F.filter(placed, lambda p: p["hash"].isNotNull()))
+    return found.select(*df.columns, "anchors")
 
 
 def sketch(prefix: str) -> Column:
@@ -98,25 +102,34 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
 
 
+#: What tells rows apart: the id (0 where it is null), whether it is known, the text's hash.
+KEY = ("kid", "known", "th")
+
+
+def _key(id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("kid"), F.col(id_col).isNotNull().alias("known"), F.xxhash64(text_col).alias("th")]
+
+
 def links_to_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(next_id, next_th, id, th, n_chars): each distinct (id, text) with the next one by id, then text hash; after the last comes the first.
+    """KEY of a row's next row, KEY of the row with the prefix own_, n_chars: each distinct (id, text) with the next one.
 
-    Ids are range-sorted; only the first row of each range travels between
-    ranges, so no task orders all ids.
+    Rows are in order of id (null first), then of the text's hash; after the last comes the
+    first. Ids are range-sorted; only the first row of each range travels
+    between ranges, so no task orders all ids.
     """
     spark = docs.sparkSession
-    keys = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.length(common.text_or_empty(text_col)).alias("n_chars"))
-    keys = keys.groupBy("id", "th").agg(F.max("n_chars").alias("n_chars"))
-    ranged = keys.repartitionByRange(common.n_partitions(spark), "id", "th").withColumn("part", F.spark_partition_id())
+    keys = docs.select(*_key(id_col, text_col), F.length(common.text_or_empty(text_col)).alias("n_chars"))
+    keys = keys.groupBy(*KEY).agg(F.max("n_chars").alias("n_chars"))
+    ranged = keys.repartitionByRange(common.n_partitions(spark), "known", "kid", "th").withColumn("part", F.spark_partition_id())
     ranged = common.materialize(ranged, "ranged-ids")
-    firsts = ranged.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "th")).alias("first"))
+    row = F.struct("known", "kid", "th")
+    firsts = ranged.groupBy("part").agg(F.min(row).alias("first"))
     by_part = Window.orderBy("part")
     after = F.coalesce(F.lead("first").over(by_part), F.first("first").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     turns = firsts.select("part", after.alias("turn"))  # one row per range
-    inside = Window.partitionBy("part").orderBy(F.col("id").isNotNull(), "id", "th")
-    following = F.lead(F.struct(F.col("id").isNotNull().alias("known"), "id", "th")).over(inside)
+    following = F.lead(row).over(Window.partitionBy("part").orderBy("known", "kid", "th"))
     linked = ranged.withColumn("following", following).join(F.broadcast(turns), "part").withColumn("following", F.coalesce("following", "turn"))
-    return linked.select(F.col("following.id").alias("next_id"), F.col("following.th").alias("next_th"), "id", "th", "n_chars")
+    return linked.select(*[F.col(f"following.{c}").alias(c) for c in KEY], *[F.col(c).alias(f"own_{c}") for c in KEY], "n_chars")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,26 +140,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first; rows that repeat an id follow each other in order of their text's hash; rows
     that repeat both count once in that order and each gets the same result. The next of a
     single document is itself.
+
+    Texts are dealt by KEY once; both joins use that exchange, and what travels
+    besides is the start that a document hands to the one before it.
     """
     links = links_to_next(docs, id_col, text_col)
-    n = common.n_partitions(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("doc_th")).repartition(n, "doc_id", "doc_th")
-    same = lambda i, t: F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("doc_th") == F.col(t))
-    # A repeated row stands in the order once, so one of its copies hands on its start.
-    once = keyed.dropDuplicates(["doc_id", "doc_th"])
-    starts = with_smers(once.join(links, same("next_id", "next_th")), "text", "next").select(
-        "id", "th",
+    dealt = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text")).repartition(common.n_partitions(docs.sparkSession), *KEY)
+    handing = with_smers(dealt.join(links, list(KEY)), "text", "next").select(
+        *[F.col(f"own_{c}").alias(c) for c in KEY],
         F.substring(common.text_or_empty("text"), F.lit(1), F.floor(F.col("n_chars") / 4).cast("int")).alias("start"),
         sketch("next").alias("next_sketch"),
     )
+    # A row that is repeated hands the same start over as often; one is taken.
+    starts = handing.groupBy(*KEY).agg(F.first("start").alias("start"), F.first("next_sketch").alias("next_sketch"))
     text = common.text_or_empty("text")
     n_chars = F.length(text)
     edited = F.concat(F.substring(text, F.lit(1), n_chars - F.floor(n_chars / 4).cast("int")), F.col("start"))
-    joined = keyed.join(starts, same("id", "th")).withColumn("edited", edited)
+    joined = dealt.join(starts, list(KEY)).withColumn("edited", edited)
     both = with_smers(with_smers(joined, "text", "own"), "edited", "edited")
-    sketched = both.select("doc_id", n_chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch("own").alias("own"), sketch("edited").alias("edited"), "next_sketch")
+    sketched = both.select("kid", "known", n_chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch("own").alias("own"), sketch("edited").alias("edited"), "next_sketch")
     return sketched.select(
-        F.col("doc_id").alias(id_col), "n_chars", "edited_sha256",
+        F.when(F.col("known"), F.col("kid")).alias(id_col), "n_chars", "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next_sketch")).alias("near_next"),
     )

@@ -34,11 +34,13 @@ from .components import connected_components
 SHINGLE = 5
 #: The threshold as a percentage, 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: One node in SAMPLE_EVERY counts for the order; a shingle in SAMPLE_DF of these, at most MAX_FREQUENT shingles, is put last.
+#: One row in SAMPLE_EVERY counts for the order; a shingle in SAMPLE_DF of these, at most MAX_FREQUENT shingles, is put last.
 SAMPLE_EVERY, SAMPLE_DF, MAX_FREQUENT = 16, 3, 200_000
 #: Lists of more entries are long.
 LONG_LIST = 16
 BUCKET_ENTRIES = 400_000
+#: So many keys are sent to the texts; a key takes some 20 bytes.
+BROADCAST_KEYS = 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,20 +77,21 @@ def word_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), hashed.alias("words"))
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for i, words in zip(pdf["id"], pdf["words"], strict=True):
-            s = shingle_set(words)
-            node = node_of(s) if len(s) else 0
-            rows.append((i, len(s), node, s.view(np.int64) if len(s) and node % SAMPLE_EVERY == 0 else None))
-        yield pd.DataFrame(rows, columns=["id", "n", "node", "sample"]).astype({"id": "Int64"})
-
-
-def frequent(signed: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most MAX_FREQUENT shingles that many sampled nodes hold."""
-    sampled = signed.where(F.col("sample").isNotNull()).dropDuplicates(["node"]).select(F.explode("sample").alias("h"))
-    counted = sampled.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_DF)
+        sets = [s for s in map(shingle_set, pdf["words"]) if len(s)]
+        yield pd.DataFrame({"node": pd.Series([node_of(s) for s in sets], dtype="int64"), "set": [s.view(np.int64) for s in sets]})
+
+
+def sample_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, set) of the distinct nodes of one row in SAMPLE_EVERY."""
+    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(SAMPLE_EVERY)) == 0)
+    return word_hashes(drawn, id_col, text_col).mapInPandas(_sampled, "node long, set array<long>").dropDuplicates(["node"])
+
+
+def frequent(sampled: DataFrame) -> np.ndarray:
+    """Sorted hashes of at most MAX_FREQUENT shingles that several sampled nodes hold."""
+    counted = sampled.select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_DF)
     top = counted.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).select("h").toPandas()["h"]
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
@@ -109,30 +112,38 @@ def _is_in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
+ENTRY = "bucket long, h long, node long, n long, pos long"
+
+
 def _entries(held, n_buckets: int):
+    """Buckets below n_buckets hold prefix entries by shingle; the next n_buckets those of
+    frequent shingles by node, as their lists may be very long; the last n_buckets a row per document: its id in h, or 1 in pos if it has none."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, seen = held.value, set()
         for pdf in batches:
-            hs, meta = [], []
-            for words in pdf["words"]:
+            hs, meta, rows = [], [], []
+            for i, words in zip(pdf["id"], pdf["words"], strict=True):
                 s = shingle_set(words)
-                if not len(s) or (node := node_of(s)) in seen:
+                node = node_of(s) if len(s) else 0
+                known = not pd.isna(i)
+                rows.append((2 * n_buckets + (int(i) if known else node) % n_buckets, int(i) if known else 0, node, len(s), int(not known)))
+                if not len(s) or node in seen:
                     continue
                 seen.add(node)
                 late = _is_in(s, often)
                 h = np.concatenate([s[~late], s[late]])[: prefix_length(len(s))]
                 hs.append(h)
                 meta.append((node, len(s), len(h)))
+            yield pd.DataFrame(rows, columns=["bucket", "h", "node", "n", "pos"], dtype="int64")
             if not hs:
                 continue
             h = np.concatenate(hs)
             lengths = [m[2] for m in meta]
             node = np.repeat(np.array([m[0] for m in meta], np.int64), lengths)
-            late = _is_in(h, often)
-            # Entries of frequent shingles are dealt by node: their lists may be very long.
-            deal = np.where(late, n_buckets + (node.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64), (h % np.uint64(n_buckets)).astype(np.int64))
+            by = np.where(_is_in(h, often), node.view(np.uint64) % np.uint64(n_buckets) + np.uint64(n_buckets), h % np.uint64(n_buckets))
             yield pd.DataFrame(
-                {"bucket": deal, "h": h.view(np.int64), "node": node, "n": np.repeat([m[1] for m in meta], lengths), "pos": np.concatenate([np.arange(k) for k in lengths])}
+                {"bucket": by.astype(np.int64), "h": h.view(np.int64), "node": node, "n": np.repeat([m[1] for m in meta], lengths), "pos": np.concatenate([np.arange(k) for k in lengths])}
             )
 
     return run
@@ -153,6 +164,8 @@ def possible(n_a, pos_a, n_b, pos_b):
 
 def _lists(n_buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] >= 2 * n_buckets:
+            return pd.DataFrame({"kind": 2, "h": pdf["h"], "a": pdf["node"], "b": 0, "n_a": pdf["n"], "n_b": 0, "pos": pdf["pos"]})
         if pdf["bucket"].iloc[0] >= n_buckets:
             e = pdf.drop_duplicates(["h", "node"])
             return pd.DataFrame({"kind": 1, "h": e["h"], "a": e["node"], "b": 0, "n_a": e["n"], "n_b": 0, "pos": e["pos"]})
@@ -186,24 +199,40 @@ def _lists(n_buckets: int):
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pd.DataFrame({"key": pdf["id"], "set": [shingle_set(w).tobytes() for w in pdf["words"]]})
 
 
+def _packed_by_node(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        sets = [s for s in map(shingle_set, pdf["words"]) if len(s)]
+        yield pd.DataFrame({"key": pd.Series([node_of(s) for s in sets], dtype="int64"), "set": [s.tobytes() for s in sets]})
+
+
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sizes of the intersections of packed sets."""
     both = zip(a, b, strict=True)
     return pd.Series([int(_is_in(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)).sum()) for x, y in both], dtype="int64")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (a, b, n_a, n_b) of keys that link."""
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b) of the pairs (a, b, n_a, n_b) of keys that link; only texts of these keys are read into sets.
+
+    Up to BROADCAST_KEYS keys go to the texts; with more, texts are dealt by key.
+    """
+    pairs = common.materialize(pairs, "pairs")
+    keys = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
+    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    named = docs.join(wanted, docs[id_col] == wanted["key"], "left_semi")
+    sets = word_hashes(named, id_col, text_col).mapInPandas(_packed, "key long, set binary")
+    unnamed = word_hashes(docs.where(F.col(id_col).isNull()), id_col, text_col).mapInPandas(_packed_by_node, "key long, set binary")
+    sets = common.materialize(sets.unionByName(unnamed).dropDuplicates(["key"]), "sets")
     left = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
     overlap = F.pandas_udf(_overlap, "long")
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", overlap("set_a", "set_b").alias("o"))
-    return whole.where(100 * F.col("o") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
+    return common.materialize(whole.where(100 * F.col("o") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b"), "links")
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,26 +245,17 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives no rows. Columns other than id and text are ignored.
     """
     spark = docs.sparkSession
-    hashed = word_hashes(docs, id_col, text_col)
-    signed = common.materialize(hashed.mapInPandas(_signed, "id long, n long, node long, sample array<long>"), "signed")
-    nodes = signed.where("n > 0").groupBy("node").agg(F.coalesce(F.min("id"), F.col("node")).alias("key"), F.max("n").alias("n"))
-    nodes = common.materialize(nodes, "nodes")
-    held = spark.sparkContext.broadcast(frequent(signed))  # at most MAX_FREQUENT numbers
-    total = nodes.agg(F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0))).first()[0]
+    docs = docs.select(id_col, text_col)
+    sampled = common.materialize(sample_sets(docs, id_col, text_col), "sampled-sets")
+    held = spark.sparkContext.broadcast(frequent(sampled))  # at most MAX_FREQUENT numbers
+    total = sampled.agg(F.coalesce(F.sum(F.size("set")), F.lit(0))).first()[0] * SAMPLE_EVERY / 4
     n_buckets = max(common.n_partitions(spark), int(total // BUCKET_ENTRIES) + 1)
-    entries = hashed.mapInPandas(_entries(held, n_buckets), "bucket long, h long, node long, n long, pos long")
+    entries = word_hashes(docs, id_col, text_col).mapInPandas(_entries(held, n_buckets), ENTRY)
     listed = common.materialize(entries.groupBy("bucket").applyInPandas(_lists(n_buckets), LISTED), "lists")
-    long = listed.where("kind = 1").select("h", F.col("a").alias("node"), F.col("n_a").alias("n"), "pos").distinct()
-
-    # The sets of all nodes that share any list.
-    live = listed.where("kind = 0").select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
-    keys = nodes.join(live, "node").select("key")
-    chosen = docs.join(keys, docs[id_col] == keys["key"], "left_semi") if docs.columns else docs
-    anonymous = docs.where(F.col(id_col).isNull())
-    named = word_hashes(chosen, id_col, text_col).dropDuplicates(["id"])
-    sets = named.mapInPandas(_sets, "key long, set binary")
-    unnamed = word_hashes(anonymous, id_col, text_col).mapInPandas(_keyed_by_node, "key long, set binary").dropDuplicates(["key"])
-    sets = common.materialize(sets.unionByName(unnamed), "sets")
+    rows = listed.where("kind = 2").select(F.when(F.col("pos") == 0, F.col("h")).alias("id"), F.col("n_a").alias("n"), F.col("a").alias("node"))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.coalesce(F.min("id"), F.col("node")).alias("key"))
+    nodes = common.materialize(nodes, "nodes")
+    long = listed.where("kind = 1").select("h", F.col("a").alias("node"), F.col("n_a").alias("n"), "pos")
 
     # The leader of each long list, and the sets that share much of their prefix with it.
     long = common.materialize(long.join(nodes.select("node", "key"), "node").select("h", "key", "n", "pos"), "long-lists")
@@ -243,7 +263,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leaders = leaders.select("h", F.col("n").alias("n_b"), F.col("key").alias("b"))
     led = long.join(leaders, "h").where("key != b").groupBy(F.col("key").alias("a"), "b", F.col("n").alias("n_a"), "n_b").agg(F.count(F.lit(1)).alias("c"))
     likely = led.where((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("c") * 12 >= F.col("n_b")))
-    first = common.materialize(_verified(likely, sets), "links")
+    first = verified(likely.drop("c"), docs, id_col, text_col)
     known = connected_components(first)
 
     # Every other pair of different components.
@@ -270,20 +290,14 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     after = lambda n: (PERCENT * F.col(n) + 99 - (PERCENT * F.col(n) + 99) % 100) / 100 - 1  # noqa: E731  entries behind the prefix
     enough = (F.col("c") + F.greatest(after("low"), after("high"))) * (100 + PERCENT) >= PERCENT * (F.col("low") + F.col("high"))
     rest = pairs.where(enough).select("a", "b", F.col("low").alias("n_a"), F.col("high").alias("n_b"))
-    second = common.materialize(_verified(rest, sets), "links")
+    second = verified(rest, docs, id_col, text_col)
     stars = known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     components = connected_components(stars.unionByName(second))
     placed = nodes.join(components, nodes["key"] == components["node"], "left").select(nodes["node"], F.coalesce("component", "key").alias("component_id"))
-    out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(placed, "node", "left")
+    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(placed, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _keyed_by_node(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        sets = [s for s in map(shingle_set, pdf["words"]) if len(s)]
-        yield pd.DataFrame({"key": pd.Series([node_of(s) for s in sets], dtype="int64"), "set": [s.tobytes() for s in sets]})
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with one document per component: the one with the least id.
 

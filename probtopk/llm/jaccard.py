@@ -38,7 +38,9 @@ PERCENT = 75
 SAMPLE_EVERY, SAMPLE_DF, MAX_FREQUENT = 16, 3, 200_000
 #: Lists of more entries are long.
 LONG_LIST = 16
-BUCKET_ENTRIES = 400_000
+BUCKET_ENTRIES = 200_000
+#: Rows of an Arrow batch; rows carry the hashes of a text's words.
+BATCH_ROWS = 1000
 #: So many keys are sent to the texts; a key takes some 20 bytes.
 BROADCAST_KEYS = 1_000_000
 
@@ -244,8 +246,12 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their set, which then stands for the id; one without words keeps null. An empty table
     gives no rows. Columns other than id and text are ignored.
     """
+    with common.arrow_batches(docs.sparkSession, BATCH_ROWS):  # all Python work is written inside
+        return _classes(docs.select(id_col, text_col), id_col, text_col)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select(id_col, text_col)
     sampled = common.materialize(sample_sets(docs, id_col, text_col), "sampled-sets")
     held = spark.sparkContext.broadcast(frequent(sampled))  # at most MAX_FREQUENT numbers
     total = sampled.agg(F.coalesce(F.sum(F.size("set")), F.lit(0))).first()[0] * SAMPLE_EVERY / 4

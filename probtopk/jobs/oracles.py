@@ -181,7 +181,7 @@ ORACLES: dict[str, str] = {
         SELECT r.i::INT AS score, coalesce(c.n, 0) + 10 AS n FROM range({MAX}) r(i) LEFT JOIN (SELECT score, count(*) AS n FROM {FRAMES} GROUP BY score) c ON c.score = r.i)""",
     "column_log_sums": f"""SELECT i::INT AS s, round(coalesce(sum(log_cdf[i + 1]) FILTER (log_cdf[i + 1] <> {INF}), 0.0), 3) AS finite, count(*) FILTER (log_cdf[i + 1] = {INF}) AS n_inf
         FROM {logs('two')}, range({MAX}) r(i) GROUP BY i""",
-    "calibration_profile": f"""SELECT score, count(*) AS n, round(avg(mean), 6) AS mean, round(avg(var), 6) AS var, round(avg((mean - score) ** 2), 6) AS mse
+    "calibration_profile": f"""SELECT coalesce(score, -1) AS score, count(*) AS n, round(avg(mean), 6) AS mean, round(avg(var), 6) AS var, round(avg((mean - score) ** 2), 6) AS mse
         FROM {moments('noisy')} GROUP BY ROLLUP (score)""",
     "window_distribution": f"SELECT video_id, frame_id // 64 AS window_id, round(avg(mean), 11) AS mu, round(sqrt(avg(var)), 6) AS sigma FROM {moments('two')} GROUP BY ALL",
     "window_truth": f"SELECT * FROM {clips(VIDEOS, 30)}",

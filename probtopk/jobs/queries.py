@@ -205,7 +205,8 @@ def column_log_sums(s, d):
 
 def calibration_profile(s, d):
     m = D.mixture_moments(X.mixtures(s, d, "noisy"))
-    return scoring.calibration_profile(m.select("score", "mean", "var")).select("score", "n", r6("mean"), r6("var"), r6("mse"))
+    profile = scoring.calibration_profile(m.select("score", "mean", "var"))
+    return profile.select(F.coalesce("score", F.lit(-1)).alias("score"), "n", r6("mean"), r6("var"), r6("mse"))  # -1: all scores
 
 
 def window_distribution(s, d):

@@ -43,12 +43,15 @@ def _rounds(certain: DataFrame | None, uncertain: DataFrame, score_of: Callable[
     keep = lambda df: [tuple(r) for r in topk.exact_topk(df.select("video_id", "frame_id", "score"), k).collect()]  # noqa: E731  k rows
     best = keep(certain) if certain is not None else []
     done: list[tuple[str, int]] = []
-    n_scored, log_conf = 0, NEG_INF
+    n_scored, log_conf, pruned = 0, NEG_INF, None
     for rounds in range(MAX_ROUNDS + 1):
         scored = spark.createDataFrame(done, "video_id string, frame_id long")
         left = uncertain.join(F.broadcast(scored), ["video_id", "frame_id"], "left_anti") if done else uncertain
         lam = best[-1][2] if len(best) >= k else -1
         open_ = left.withColumn("f", cdf_at(lam) if lam >= 0 else F.lit(0.0)).where(F.col("f") < 1.0)
+        if lam >= 0 and pruned is None:  # lam never falls: rows with F(lam) = 1 stay out, and few are left to keep
+            pruned = uncertain = open_.persist()
+            open_ = pruned
         sums = open_.agg(*topk.log_sum(safe_ln(F.col("f"))), F.count(F.lit(1)).alias("n")).first()
         log_conf = NEG_INF if sums["n_inf"] else sums["finite"]
         if (log_conf >= math.log(conf) and len(best) >= k) or not sums["n"] or rounds == MAX_ROUNDS:
@@ -63,6 +66,8 @@ def _rounds(certain: DataFrame | None, uncertain: DataFrame, score_of: Callable[
         new = score_of(spark.createDataFrame(ids, "video_id string, frame_id long"))
         merged = new.select("video_id", "frame_id", F.col("score").cast("int").alias("score"))
         best = keep(merged.unionByName(spark.createDataFrame(best, schema)))
+    if pruned is not None:
+        pruned.unpersist()
     return Answer(spark.createDataFrame(best, schema), rounds, n_scored, log_conf)
 
 

@@ -21,14 +21,24 @@ def seeded(seed: int | str, *cols: str) -> Column:
 def split_frames(frames: DataFrame, n_train: int, n_valid: int, seed: int = 0) -> DataFrame:
     """(video_id, frame_id, split): the frames with the smallest hashes are train, the next valid, all others test.
 
-    Only the labelled frames are ordered (a top-n), and sent to the rest as one
-    small table whose size is n_train + n_valid.
+    Exact sizes without a sort: frames are counted per hash prefix, a table of
+    at most 16 ** 4 rows; whole prefixes fall into one split, and only frames of the two
+    prefixes in which a split ends are ranked.
     """
-    ids = frames.select("video_id", "frame_id")
-    drawn = ids.orderBy(seeded(seed, "video_id", "frame_id"), "video_id", "frame_id").limit(n_train + n_valid)
-    turn = F.row_number().over(Window.orderBy(seeded(seed, "video_id", "frame_id"), "video_id", "frame_id"))
-    labelled = drawn.withColumn("split", F.when(turn <= n_train, "train").otherwise("valid"))
-    return ids.join(F.broadcast(labelled), ["video_id", "frame_id"], "left").withColumn("split", F.coalesce("split", F.lit("test")))
+    order = ["__hash", "video_id", "frame_id"]
+    hashed = frames.select("video_id", "frame_id", seeded(seed, "video_id", "frame_id").alias("__hash")).withColumn("__prefix", F.substring("__hash", 1, 4))
+    ends = (n_train, n_train + n_valid)
+    up_to = Window.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
+    counts = hashed.groupBy("__prefix").agg(F.count(F.lit(1)).alias("__n")).withColumn("__end", F.sum("__n").over(up_to))
+    starts = counts.select("__prefix", (F.col("__end") - F.col("__n")).alias("__start"), "__end")
+    placed = hashed.join(F.broadcast(starts), "__prefix")
+    cut = F.lit(False)
+    for end in ends:
+        cut = cut | ((F.col("__start") < end) & (F.col("__end") > end))
+    label = lambda rank: F.when(rank <= ends[0], "train").when(rank <= ends[1], "valid").otherwise("test").alias("split")
+    rank = F.col("__start") + F.row_number().over(Window.partitionBy("__prefix").orderBy(*order))
+    whole = placed.where(~cut).select("video_id", "frame_id", label(F.col("__end")))
+    return whole.unionByName(placed.where(cut).select("video_id", "frame_id", label(rank)))
 
 
 def sample_per_window(frames: DataFrame, window: int, n: int, seed: int = 0) -> DataFrame:

@@ -184,7 +184,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats = common.materialize(statistics(docs, id_col, text_col), "quality-stats").withColumn("base_failed", failed)
     passed = stats.where(~F.col("base_failed"))
-    sample = passed.orderBy(F.xxhash64("id", "th"), "id", "th").limit(FOREST_ROWS).select("features").toPandas()["features"]
+    sample = common.smallest_hashes(passed, FOREST_ROWS, "id", "th").select("features").toPandas()["features"]
     scored = with_scores(stats, fit_forest(np.stack(sample.to_numpy()) if len(sample) else np.zeros((0, 1))))
     limit = calibrate(scored.where(~F.col("base_failed")), labels)
     return scored.select(

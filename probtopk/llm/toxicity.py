@@ -29,7 +29,9 @@ N_FOLDS = 5
 LEAK = -12.0
 STEPS, RATE, L2, MIN_DOCS, MAX_FEATURES, LEAST_G = 150, 0.2, 1e-5, 4, 5000, 15.0
 PREFIXES = (3, 4, 5, 6)
-CACHE = 500_000
+CACHE = 100_000
+#: Rows of an Arrow batch; rows carry whole texts.
+BATCH_ROWS = 1000
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 SCORE_SCHEMA = "id long, score double, sentences array<struct<start:int,end:int,score:double>>"
@@ -56,7 +58,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """Columns text and toxic of at most 2 * TRAIN_ROWS rows outside fold 0: per label those with the smallest hashes."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") != 0))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = [marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for y in (0, 1)]
+    chosen = [common.smallest_hashes(marks.where(F.col("toxic") == y), TRAIN_ROWS, "doc_id") for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= TRAIN_CHARS)
     picked = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # at most 2 * TRAIN_ROWS ids
     return picked.orderBy("doc_id", F.xxhash64("text")).limit(2 * TRAIN_ROWS).select("text", "toxic").toPandas()
@@ -159,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def keep_clean(docs: DataFrame, model: dict[str, float], text_col: str = "text") -> DataFrame:
-    """The rows and columns of `docs` whose text scores below 0.5."""
+    """The rows and columns of `docs` whose text scores below 0.5; written to the shared folder, as that bounds the batches."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -168,7 +170,8 @@ def keep_clean(docs: DataFrame, model: dict[str, float], text_col: str = "text")
         for batch in texts:
             yield pd.Series([score_text(weights, t)[0] for t in batch], dtype="float64")
 
-    return docs.where(scores(F.col(text_col)) < 0.5)
+    with common.arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return common.materialize(docs.where(scores(F.col(text_col)) < 0.5), "clean")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

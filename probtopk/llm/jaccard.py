@@ -218,8 +218,8 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([int(_is_in(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)).sum()) for x, y in both], dtype="int64")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) of the pairs (a, b, n_a, n_b) of keys that link; only texts of these keys are read into sets.
+def measured(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) of keys with o, the size of their intersection; only texts of these keys are read into sets.
 
     Up to BROADCAST_KEYS keys go to the texts; with more, texts are dealt by key.
     """
@@ -234,7 +234,11 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
     overlap = F.pandas_udf(_overlap, "long")
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", overlap("set_a", "set_b").alias("o"))
-    return common.materialize(whole.where(100 * F.col("o") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b"), "links")
+    return common.materialize(whole, "overlaps")
+
+
+def links(overlaps: DataFrame) -> DataFrame:
+    return overlaps.where(100 * F.col("o") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,24 +267,33 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     nodes = common.materialize(nodes, "nodes")
     long = listed.where("kind = 1").select("h", F.col("a").alias("node"), F.col("n_a").alias("n"), "pos")
 
-    # The leader of each long list, and the sets that share much of their prefix with it.
+    # The leader of each long list, the set with the largest share of its prefix in long
+    # lists (the least changed of a group of copies), and the sets that share much of their prefix with it.
     long = common.materialize(long.join(nodes.select("node", "key"), "node").select("h", "key", "n", "pos"), "long-lists")
-    leaders = long.groupBy("h").agg(F.min(F.struct("n", "key")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "lead.*")
+    shared = long.groupBy("key").agg((F.count(F.lit(1)) / (F.floor(F.max("n") / 4) + 1)).alias("share"))
+    ranked = long.join(shared, "key").select("h", "key", "n", "pos", (-F.col("share")).alias("rank"))
+    leaders = ranked.groupBy("h").agg(F.min(F.struct("rank", "n", "key")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "lead.*")
     leaders = leaders.select("h", F.col("n").alias("n_b"), F.col("key").alias("b"))
     led = long.join(leaders, "h").where("key != b").groupBy(F.col("key").alias("a"), "b", F.col("n").alias("n_a"), "n_b").agg(F.count(F.lit(1)).alias("c"))
     likely = led.where((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("c") * 12 >= F.col("n_b")))
-    first = verified(likely.drop("c"), docs, id_col, text_col)
-    known = connected_components(first)
+    answers = measured(likely.drop("c"), docs, id_col, text_col)
+    known = connected_components(links(answers))
 
     # Every other pair of different components.
-    placed = long.join(known, long["key"] == known["node"], "left").select("h", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
+    led_by = answers.groupBy(F.col("a").alias("key")).agg(F.max(F.struct("o", "b")).alias("best"))
+    placed = long.join(known, long["key"] == known["node"], "left").join(led_by, "key", "left").select(
+        "h", "key", "n", "pos", F.coalesce("component", "key").alias("component"), F.coalesce("best.b", "key").alias("lead"), F.coalesce("best.o", "n").alias("o")
+    )
     mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("h")
     open_ = common.materialize(placed.join(mixed, "h"), "open-lists")
     x, y = open_.alias("x"), open_.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
     reach = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     near = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (reach * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n")))
-    across = x.join(y, (F.col("x.h") == F.col("y.h")) & smaller & near & (F.col("x.component") != F.col("y.component")))
+    # What both share with one leader, and what each has besides, bounds what they share.
+    most = F.least("x.o", "y.o") + F.least(F.col("x.n") - F.col("x.o"), F.col("y.n") - F.col("y.o"))
+    may = (F.col("x.lead") != F.col("y.lead")) | (most * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n")))
+    across = x.join(y, (F.col("x.h") == F.col("y.h")) & smaller & near & may & (F.col("x.component") != F.col("y.component")))
     from_long = across.groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.least("x.n", "y.n").alias("low"), F.greatest("x.n", "y.n").alias("high")).agg(
         F.count(F.lit(1)).alias("c")
     )
@@ -296,7 +309,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     after = lambda n: (PERCENT * F.col(n) + 99 - (PERCENT * F.col(n) + 99) % 100) / 100 - 1  # noqa: E731  entries behind the prefix
     enough = (F.col("c") + F.greatest(after("low"), after("high"))) * (100 + PERCENT) >= PERCENT * (F.col("low") + F.col("high"))
     rest = pairs.where(enough).select("a", "b", F.col("low").alias("n_a"), F.col("high").alias("n_b"))
-    second = verified(rest, docs, id_col, text_col)
+    second = links(measured(rest, docs, id_col, text_col))
     stars = known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     components = connected_components(stars.unionByName(second))
     placed = nodes.join(components, nodes["key"] == components["node"], "left").select(nodes["node"], F.coalesce("component", "key").alias("component_id"))

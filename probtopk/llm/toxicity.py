@@ -64,11 +64,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return picked.orderBy("doc_id", F.xxhash64("text")).limit(2 * TRAIN_ROWS).select("text", "toxic").toPandas()
 
 
-def telling(bags: list[list[list[str]]], y: np.ndarray) -> list[str]:
+def telling(texts: list[str], y: np.ndarray) -> list[str]:
     """At most MAX_FEATURES features that toxic rows have more often than others, by the G statistic of their document counts."""
     counts: dict[str, list[int]] = {}
-    for bag, label in zip(bags, y, strict=True):
-        for f in {f for s in bag for f in s}:
+    for text, label in zip(texts, y, strict=True):
+        for f in {f for _, _, words in sentences(text) for w in words for f in features(w)}:
             counts.setdefault(f, [0, 0])[int(label)] += 1
     names = sorted(f for f, n in counts.items() if n[1] >= MIN_DOCS)
     n = np.array([counts[f] for f in names], np.float64).reshape(-1, 2)
@@ -86,12 +86,11 @@ def train(texts: list[str], labels: list[int]) -> dict[str, float]:
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return {}
-    bags = [[[f for w in set(words) for f in features(w)] for _, _, words in sentences(t)] for t in texts]
-    index = {f: i for i, f in enumerate(telling(bags, y))}
+    index = {f: i for i, f in enumerate(telling(texts, y))}
     of_sentence, of_feature, of_bag, n = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for s in bag:
-            if ids := [index[f] for f in s if f in index]:
+    for d, text in enumerate(texts):  # features are made again here: to keep them all would take a GB
+        for _, _, words in sentences(text):
+            if ids := [index[f] for w in sorted(set(words)) for f in features(w) if f in index]:
                 of_sentence += [n] * len(ids)
                 of_feature += ids
                 of_bag.append(d)

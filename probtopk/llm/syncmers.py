@@ -8,11 +8,13 @@ equal distances.
 
 Tokens are the words of a text; texts of fewer than SHORT code points are also
 read as single characters, so that a short text does not stand or fall with one
-word. A text with fewer tokens than K is one anchor.
+word. A text with fewer words than K is one anchor of words.
 
-The fingerprint holds the SKETCH smallest distinct anchor hashes, the likeness
-of two fingerprints is the Jaccard estimate on the SKETCH smallest hashes of
-their union; it is exact where both texts have at most SKETCH anchors.
+The fingerprint holds the SKETCH smallest distinct anchor hashes of words, a
+second one those of characters (null for longer texts). The likeness of two texts
+is the Jaccard estimate on the SKETCH smallest hashes of the union; it is
+exact where both have at most SKETCH anchors. Only readings that both texts have
+are compared, so a short and a longer text are compared by words.
 
 Everything is DataFrame functions.
 """
@@ -56,12 +58,12 @@ def anchors_of(smers: Column) -> Column:
 
 
 def characters(text: Column) -> Column:
-    """Code points of a short text as strings, empty for longer ones."""
-    return F.when(F.length(text) < SHORT, F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """Code points of a short text as strings, null for longer ones."""
+    return F.when(F.length(text) < SHORT, F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0)))
 
 
 def with_smers(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
-    """Columns <prefix>_words and <prefix>_chars: s-mer hashes of the two readings; <prefix>_whole: hash of all words.
+    """Columns <prefix>_words and <prefix>_chars (null for longer texts): s-mer hashes of the two readings; <prefix>_whole: hash of all words.
 
     Tokens are a step of their own: they are read several times in the next one.
     """
@@ -83,12 +85,20 @@ def positional_anchors(df: DataFrame, text_col: str = "text") -> DataFrame:
     return found.select(*df.columns, "anchors")
 
 
+def smallest(hashes: Column) -> Column:
+    return F.slice(F.array_sort(F.array_distinct(F.array_compact(hashes))), 1, SKETCH)
+
+
 def sketch(prefix: str) -> Column:
-    """The SKETCH smallest distinct anchor hashes; the whole text's hash where it has no k-mer of words."""
-    whole = F.when(F.size(f"{prefix}_words") < K - S + 1, F.array(f"{prefix}_whole")).otherwise(F.array().cast("array<long>"))
-    tiny = F.when(F.size(f"{prefix}_chars") < TINY, F.col(f"{prefix}_chars")).otherwise(F.array().cast("array<long>"))
-    every = F.concat(anchors_of(F.col(f"{prefix}_words")), anchors_of(F.col(f"{prefix}_chars")), whole, tiny)
-    return F.slice(F.array_sort(F.array_distinct(F.array_compact(every))), 1, SKETCH)
+    """struct<words, chars>: the SKETCH smallest distinct anchor hashes of each reading.
+
+    words is the whole text's hash where it has no k-mer of words; chars is null for longer texts.
+    """
+    none = F.array().cast("array<long>")
+    whole = F.when(F.size(f"{prefix}_words") < K - S + 1, F.array(f"{prefix}_whole")).otherwise(none)
+    tiny = F.when(F.size(f"{prefix}_chars") < TINY, F.col(f"{prefix}_chars")).otherwise(none)
+    chars = F.when(F.col(f"{prefix}_chars").isNotNull(), smallest(F.concat(anchors_of(F.col(f"{prefix}_chars")), tiny)))
+    return F.struct(smallest(F.concat(anchors_of(F.col(f"{prefix}_words")), whole)).alias("words"), chars.alias("chars"))
 
 
 def as_text(hashes: Column) -> Column:
@@ -96,7 +106,13 @@ def as_text(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; two fingerprints without anchors are alike."""
+    """0 to 1, of two sketches: by words and characters where both texts have both, else by words."""
+    both = lambda s: F.concat(s["words"], s["chars"])
+    return F.when(a["chars"].isNotNull() & b["chars"].isNotNull(), _jaccard(both(a), both(b))).otherwise(_jaccard(a["words"], b["words"]))
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    """0 to 1; two sets without hashes are alike."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
@@ -133,7 +149,7 @@ def links_to_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, n_chars, edited text's sha256, both sketches and their likeness, and that to the next document's.
+    """One row per row: id, n_chars, edited text's sha256, sketches of both texts and their likeness, and that to the next document's.
 
     The edited text has its last floor(n_chars / 4) code points replaced by as
     many first ones of the next document. Null text is empty; a null id comes
@@ -161,7 +177,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sketched = both.select("kid", "known", n_chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch("own").alias("own"), sketch("edited").alias("edited"), "next_sketch")
     return sketched.select(
         F.when(F.col("known"), F.col("kid")).alias(id_col), "n_chars", "edited_sha256",
-        as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
+        as_text(F.col("own.words")).alias("fingerprint"), as_text(F.col("own.chars")).alias("char_fingerprint"),
+        as_text(F.col("edited.words")).alias("edited_fingerprint"), as_text(F.col("edited.chars")).alias("edited_char_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next_sketch")).alias("near_next"),
     )
 

@@ -63,6 +63,20 @@ def test_fingerprints_of_edge_cases(spark, edges):
     assert one["edited_sha256"] == hashlib.sha256(b"alone in the t" + b"alon").hexdigest()
 
 
+@pytest.mark.parametrize("shorter,longer", [(390, 410), (399, 400), (410, 430)])
+def test_near_copies_of_any_length_are_alike(spark, shorter, longer):
+    texts = [(words(200, i)[:shorter], words(200, i)[:longer]) for i in range(20)]
+    rows = [(2 * i + j, t, "a") for i, pair in enumerate(texts) for j, t in enumerate(pair)]
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(table(spark, rows)).collect()}
+    assert np.mean([got[2 * i]["near_next"] for i in range(20)]) > 0.8
+
+
+def test_edits_that_shorten_a_text_keep_it_alike(spark):
+    rows = [(i, words(200, i)[:420] if i % 2 == 0 else "x", "a") for i in range(20)]
+    got = [r for r in syncmers.fingerprints(table(spark, rows)).collect() if r["n_chars"] == 420]
+    assert len(got) == 10 and np.mean([r["near_edited"] for r in got]) > 0.5
+
+
 def test_anchors_move_with_a_passage(spark):
     passage = words(80, 5)
     df = table(spark, [(1, passage, "a"), (2, words(30, 6) + " " + passage, "a")])

@@ -75,6 +75,15 @@ def test_toxicity_of_edge_cases(spark, tox):
     assert toxicity.score(odd, {}).where("score >= 0.5").count() == 0
 
 
+def test_clean_texts_of_any_length_stay_clean(spark, tox):
+    *_, model = tox
+    texts = ["pure clean words. " * 120_000, "line\n" * 200_000, "pure clean words. " * 120_000 + "zorg."]
+    docs = spark.createDataFrame([(i, t, None, "") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got[0] == got[1] == 0 and got[2] >= 0.5
+    assert {r["doc_id"] for r in toxicity.keep_clean(docs, model).collect()} == {0, 1}
+
+
 # SentencePiece.
 TEXTS = ["", "Hello  world", "  lead and trail ", "tabs\tand\nlines\n\n", "漢字😀 é", "▁ mark ▁▁", "a" * 3000, " " * 40, "\x00\x01", "don't stop—now…", "éàü " * 200]
 

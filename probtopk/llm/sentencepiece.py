@@ -4,8 +4,7 @@ The model file, a protocol buffer, is parsed here; from its pieces, scores and
 normaliser settings an equal pipeline of the tokenizers library is built:
 normaliser, metaspace marker, the unigram model with its scores or the byte-pair
 model with merges ordered by score, byte fallback, and the decoder. Texts are encoded in batches by the
-library's threads. Parity is checked against the reference runtime on a stated
-set of rows, and decoding is checked on all.
+library's threads. Parity with the reference runtime and decoding are checked on all rows.
 
 The runtime and the file are both public; the file's path is a parameter.
 """
@@ -30,8 +29,6 @@ from . import common
 
 MODEL = os.environ.get("PROBTOPK_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
-#: Rows whose id is divisible by this are also encoded by the reference runtime.
-PARITY_EVERY = 50
 BATCH_CHARS = 1_000_000
 #: A word of a normalised text with the markers before it.
 WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
@@ -207,44 +204,8 @@ def encoded(data: bytes, texts: list[str]) -> list[list[int]]:
     return out
 
 
-class _Decoder:
-    """Decodes batches. Ids of plain pieces and ASCII bytes read from a table; lists with any other id go through the library."""
-
-    def __init__(self, data: bytes):
-        parsed = parse_model(data)
-        self.tokenizer, self.strip = _built(data), parsed["dummy_prefix"]
-        self.table, self.other = [], set()
-        for i, (piece, _, kind) in enumerate(parsed["pieces"]):
-            code = int(piece[3:-1], 16) if kind == BYTE else None
-            if kind not in (NORMAL, BYTE) or (code or 0) >= 128:
-                self.other.add(i)
-            self.table.append(piece.replace(MARK, " ") if code is None else chr(code))
-
-    def __call__(self, ids: list[list[int]]) -> list[str]:
-        ids = [x.tolist() if isinstance(x, np.ndarray) else x for x in ids]
-        plain = [self.other.isdisjoint(x) for x in ids]
-        rest = iter(self.tokenizer.decode_batch([x for x, p in zip(ids, plain, strict=True) if not p], skip_special_tokens=False))
-        return [self._read(x) if p else next(rest) for x, p in zip(ids, plain, strict=True)]
-
-    def _read(self, ids: list[int]) -> str:
-        text = "".join(map(self.table.__getitem__, ids))
-        return text[1:] if self.strip and text.startswith(" ") else text
-
-
-@lru_cache(1)
-def _decoder(data: bytes) -> _Decoder:
-    return _Decoder(data)
-
-
 def decoded(data: bytes, ids: list[list[int]]) -> list[str]:
-    return _decoder(data)(ids)
-
-
-def _parity(data: bytes, texts: list[str], ids: list[list[int]]) -> list[bool]:
-    import sentencepiece
-
-    runtime = _runtime(data) if texts else None
-    return [runtime.encode(t) == list(i) for t, i in zip(texts, ids, strict=True)] if isinstance(runtime, sentencepiece.SentencePieceProcessor) else []
+    return _built(data).decode_batch(ids, skip_special_tokens=False)
 
 
 @lru_cache(1)
@@ -254,17 +215,20 @@ def _runtime(data: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
+def parity(data: bytes, texts: list[str], ids: list[list[int]]) -> list[bool]:
+    """Whether the reference runtime gives each whole text the same ids."""
+    runtime = _runtime(data)
+    return [runtime.encode(t) == i for t, i in zip(texts, ids, strict=True)]
+
+
 ENCODED = "id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
 
 
 def _coded(data: bytes, row_ids: pd.Series, texts: list[str], keep_ids: bool) -> pd.DataFrame:
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    ids = [np.asarray(i, "<i4") for i in _encoder(data)(texts)]
-    back = decoded(data, ids)
-    checked = [i for i, x in enumerate(row_ids) if not pd.isna(x) and x % PARITY_EVERY == 0]
-    parity: list = [None] * len(texts)
-    for i, same in zip(checked, _parity(data, [texts[i] for i in checked], [ids[i] for i in checked]), strict=True):
-        parity[i] = same
+    lists = _encoder(data)(texts)
+    back, same = decoded(data, lists), parity(data, texts, lists)
+    ids = [np.asarray(i, "<i4") for i in lists]
     return pd.DataFrame(
         {
             "id": row_ids.astype("Int64").to_numpy(),
@@ -274,7 +238,8 @@ def _coded(data: bytes, row_ids: pd.Series, texts: list[str], keep_ids: bool) ->
             "decoded_sha256": [sha(b.encode()) for b in back],
             # The marker itself reads as a space.
             "round_trip": [b == t.replace(MARK, " ") for b, t in zip(back, texts, strict=True)],
-            "parity": pd.array(parity, "boolean"),
+            # A row without an id has no parity, unless its ids differ.
+            "parity": pd.array([None if s and n else s for s, n in zip(same, row_ids.isna(), strict=True)], "boolean"),
         }
     )
 
@@ -295,8 +260,8 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     round_trip says that decoding gives the text again (it does for models
     whose normaliser keeps texts as they are); parity that the reference runtime
-    gives the same ids, for ids divisible by PARITY_EVERY, else null. Null and
-    empty texts have no tokens. Repeated rows each get a row; other columns are ignored.
+    gives the same ids, which is checked on every row; it is null for a null id,
+    unless the ids differ. Null and empty texts have no tokens. Repeated rows each get a row; other columns are ignored.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(read_model(spark, model))  # the model file, a few MB

@@ -158,6 +158,15 @@ def test_encode_edge_cases(spark, model):
     assert sentencepiece.encode(docs.limit(0)).count() == 0
 
 
+def test_parity_is_checked_on_every_row(spark, model, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i}", 0.5, "x") for i in range(1, 120)], DOCS)
+    assert {r["parity"] for r in sentencepiece.encode(docs).collect()} == {True}
+    right = sentencepiece._encoder(model)
+    monkeypatch.setattr(sentencepiece, "_encoder", lambda data: lambda texts: [[*i, 5] if "odd" in t else i for t, i in zip(texts, right(texts), strict=True)])
+    got = sentencepiece._coded(model, sentencepiece.pd.Series([7, 8, None], dtype="Int64"), ["odd one", "even one", "odd"], False)
+    assert got["parity"].tolist() == [False, True, False]
+
+
 # WARC.
 PAGES = "page_id long, url string, html string, shard string"
 

@@ -4,8 +4,10 @@ Both run a few large rounds. A round takes thresholds from the running answer (k
 rows, on the driver), sums ln F(lam) over the uncertain rows, and stops when the
 confidence suffices; else it scores the smallest set of rows that makes it
 suffice (at most `cap`) and merges them. Only the tick lam of a distribution is needed, so no
-CDF arrays are built. The scored ids go out to the next round as a small
-table of at most rounds * cap rows; the uncertain rows are never rewritten.
+CDF arrays are built. A search that needs more than FEW_ROUNDS doubles its cap with every
+further round, so it ends after few rounds however many rows it has to score. The ids scored in the
+first rounds are sent out as a table of at most FEW_ROUNDS * cap rows, those of later rounds are
+checkpointed and never on the driver; the uncertain rows are never rewritten.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 from ..functions.distribution import NEG_INF, cdf_at, safe_ln
 from ..operators import difference, sampling, scoring, topk, windows
 
-MAX_ROUNDS = 50
+#: Rounds of at most cap rows; later ones may take twice as many as the one before.
+FEW_ROUNDS = 8
 
 
 @dataclass
@@ -33,6 +37,11 @@ class Answer:
     log_confidence: float
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """`df` computed once, in the shared checkpoint folder where the session has one, without its plan."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def _rounds(certain: DataFrame | None, uncertain: DataFrame, score_of: Callable[[DataFrame], DataFrame], k: int, conf: float, cap: int) -> Answer:
     """Rows have video_id, frame_id; uncertain ones pi, mu, sigma besides. score_of gives scores of chosen rows and their mirrors.
 
@@ -43,10 +52,13 @@ def _rounds(certain: DataFrame | None, uncertain: DataFrame, score_of: Callable[
     keep = lambda df: [tuple(r) for r in topk.exact_topk(df.select("video_id", "frame_id", "score"), k).collect()]  # noqa: E731  k rows
     best = keep(certain) if certain is not None else []
     done: list[tuple[str, int]] = []
-    n_scored, log_conf, pruned = 0, NEG_INF, None
-    for rounds in range(MAX_ROUNDS + 1):
+    kept: list[DataFrame] = []
+    rounds, n_scored, log_conf, pruned = 0, 0, NEG_INF, None
+    while True:
         scored = spark.createDataFrame(done, "video_id string, frame_id long")
         left = uncertain.join(F.broadcast(scored), ["video_id", "frame_id"], "left_anti") if done else uncertain
+        if kept:
+            left = left.join(reduce(DataFrame.unionByName, kept), ["video_id", "frame_id"], "left_anti")
         lam = best[-1][2] if len(best) >= k else -1
         open_ = left.withColumn("f", cdf_at(lam) if lam >= 0 else F.lit(0.0)).where(F.col("f") < 1.0)
         if lam >= 0 and pruned is None:  # lam never falls: rows with F(lam) = 1 stay out, and few are left to keep
@@ -54,16 +66,26 @@ def _rounds(certain: DataFrame | None, uncertain: DataFrame, score_of: Callable[
             open_ = pruned
         sums = open_.agg(*topk.log_sum(safe_ln(F.col("f"))), F.count(F.lit(1)).alias("n")).first()
         log_conf = NEG_INF if sums["n_inf"] else sums["finite"]
-        if (log_conf >= math.log(conf) and len(best) >= k) or not sums["n"] or rounds == MAX_ROUNDS:
+        if (log_conf >= math.log(conf) and len(best) >= k) or not sums["n"]:
             break
+        most = min(cap << max(0, rounds + 1 - FEW_ROUNDS), 2**31 - 1)
         if lam < 0:  # too few rows known for a threshold: those least likely to score 0
-            chosen = open_.withColumn("f", cdf_at(0)).orderBy("f", "frame_id").limit(max(cap, k))
+            chosen = open_.withColumn("f", cdf_at(0)).orderBy("f", "frame_id").limit(max(most, k))
+        else:
+            chosen = topk.cutoff_candidates(open_, conf, most)
+        chosen = chosen.select("video_id", "frame_id")
+        if rounds < FEW_ROUNDS:
+            rows = [tuple(r) for r in chosen.collect()]  # at most max(cap, k) rows
+            done += rows
+            n, ids = len(rows), F.broadcast(spark.createDataFrame(rows, "video_id string, frame_id long"))
         else:
-            chosen = topk.cutoff_candidates(open_, conf, cap)
-        ids = [tuple(r) for r in chosen.select("video_id", "frame_id").collect()]  # at most cap rows
-        done += ids
-        n_scored += len(ids)
-        new = score_of(spark.createDataFrame(ids, "video_id string, frame_id long"))
+            ids = _kept(chosen)
+            kept.append(ids)
+            n = ids.count()
+        if not n:
+            raise RuntimeError(f"no row was left to score at log confidence {log_conf}")
+        rounds, n_scored = rounds + 1, n_scored + n
+        new = score_of(ids)
         merged = new.select("video_id", "frame_id", F.col("score").cast("int").alias("score"))
         best = keep(merged.unionByName(spark.createDataFrame(best, schema)))
     if pruned is not None:
@@ -90,7 +112,7 @@ def topk_frames(
         uncertain = sampling.complement(uncertain, mirrors)
 
     def score_of(ids: DataFrame) -> DataFrame:
-        cleaned = scoring.lookup_scores(F.broadcast(ids), oracle)
+        cleaned = scoring.lookup_scores(ids, oracle)
         return cleaned if mirrors is None else cleaned.unionByName(windows.propagate_mirrors(cleaned, mirrors))
 
     return _rounds(certain, uncertain, score_of, k, conf_thres, cap)

@@ -108,6 +108,14 @@ def test_search_scores_few_frames_and_rounds_are_few(spark):
     assert a.scored < 1000 and a.rounds < 20
 
 
+def test_search_goes_on_until_the_confidence_is_reached(spark):
+    oracle, _ = proxy(spark, [5] * 119 + [6])
+    _, mix = proxy(spark, [5] * 120, 0.6)  # F(5) is near 0.8: no frame may stay open
+    a = search.topk_frames(oracle, mix, k=1, num_train=0.0, num_valid=0.0, cap=1)
+    assert [(r["frame_id"], r["score"]) for r in a.topk.collect()] == [(119, 6)]
+    assert a.log_confidence >= math.log(0.9) and a.scored > 100 and a.rounds < 20
+
+
 def test_mirrors_enter_with_the_reference_score(spark):
     oracle, mix = proxy(spark, [0, 7, 1, 0, 2])
     mirrors = spark.createDataFrame([("v", 3, 1)], "video_id string, frame_id long, ref_id long")

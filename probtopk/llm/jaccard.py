@@ -7,10 +7,10 @@ Exact, in steps that skip work by what is known of related sets:
    any fixed order gives the same links), and only a prefix can hold the
    first shingle that two linked nodes share. Prefix entries carry the position
    and the size of the set.
-3. Entries of a shingle form its index list. Short lists are joined in place;
-   a list is ordered by size and entries out of the size or position range
-   are skipped as blocks. Entries of long lists, and of frequent shingles, are
-   kept apart.
+3. Entries of a shingle form its index list. Short lists are joined in place:
+   all pairs of a list are formed, then those out of the size or position range
+   are dropped one by one; no blocks are skipped. Entries of long lists, and of
+   frequent shingles, are kept apart.
 4. On long lists the answers of one set are found first: the least set of the
    list, its leader. Sets that link with it have their component from it, so
    pairs between sets whose component is already known are skipped.

@@ -5,9 +5,10 @@ ids, and long hexadecimal runs (the base kinds), and long mixed tokens (kind
 `token`). Every candidate value is hashed, and over the whole corpus the distinct
 repositories and owners that hold the hash are counted. A value that many
 owners share is a widely copied example; one that a single owner holds looks like a
-live credential. Base spans are always reported with their verdict; a `token`
-span is reported only if its value belongs to one owner and is not copied over
-many repositories.
+live credential. A repository is a distinct text unless a column names it, so exact
+copies of a page are one. Base spans are always reported with their verdict; a `token`
+span is among the spans if its value belongs to one owner and is not copied over
+many repositories, and among the copied tokens else.
 
 Everything is DataFrame functions. Positions come from splitting a text at a
 pattern: the pieces between the matches and the matches themselves add up to
@@ -58,14 +59,14 @@ def spans_of(text: Column, kind_no: int, kind: str, pattern: str, group: int, le
     return F.when(text.rlike(cheap), walked).otherwise(none)
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
+def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None, owner_col: str) -> DataFrame:
     """(id, th, repo, owner, base, tokens): spans of every whole text, ordered by start, then kind; null text has none."""
     text = common.text_or_empty(text_col)
     base = F.concat(*[spans_of(text, i, k, p, g, n, FILTERS[k]) for i, (k, p, g, n) in enumerate(BASE_KINDS)])
     ordered = F.array_sort(base, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind_no"] - b["kind_no"]))
     scanned = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
-        F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"),
+        (F.col(repo_col) if repo_col else F.xxhash64(text_col)).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"),
         ordered.alias("base"), spans_of(text, len(BASE_KINDS), "token", TOKEN, 0, 20, TOKEN).alias("tokens"),
     )
     # A token inside a base span is the same finding.
@@ -85,24 +86,27 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return counts.withColumn("example", (F.col("n_owners") > MAX_OWNERS) | (F.col("n_repositories") > MAX_REPOSITORIES))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """One row per row: id, base (array of spans) and spans (array of all spans with verdict `live` or `example`).
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source") -> DataFrame:
+    """One row per row: id, base (array of spans), spans (array of spans with verdict `live` or `example`) and copied (token spans that are examples).
 
     Null text is empty and has no spans. Rows that repeat id and text get the same
-    spans, and count as one repository. Unknown owners are one owner. An empty table gives no
-    rows. Columns other than the four named ones are ignored.
+    spans; without `repo_col` each distinct text counts as one repository. Unknown owners are one owner. An empty table gives no
+    rows. Columns other than the named ones are ignored.
     """
     scanned = common.materialize(scan(docs, id_col, text_col, repo_col, owner_col), "secret-scan")
     each = scanned.select("id", "th", "repo", "owner", F.explode(F.concat("base", "tokens")).alias("s"))
     each = each.select("id", "th", "repo", "owner", "s", F.sha2("s.value", 256).alias("value_hash"))
     verdicts = ownership(each).select("value_hash", "example")
-    judged = each.join(verdicts, "value_hash").where((F.col("s.kind") != "token") | ~F.col("example"))
-    found = judged.groupBy("id", "th").agg(
-        F.array_sort(F.collect_set(F.struct("s.start", "s.kind_no", "s.kind", "s.end", "example"))).alias("spans")
-    ).select(F.col("id").alias("f_id"), F.col("th").alias("f_th"), "spans")
+    copied = lambda s: (s["kind"] == "token") & s["example"]
+    judged = each.join(verdicts, "value_hash").groupBy("id", "th").agg(
+        F.array_sort(F.collect_set(F.struct("s.start", "s.kind_no", "s.kind", "s.end", "example"))).alias("all")
+    )
+    found = judged.select(
+        F.col("id").alias("f_id"), F.col("th").alias("f_th"), F.filter("all", lambda s: ~copied(s)).alias("spans"), F.filter("all", copied).alias("copied")
+    )
     joined = scanned.join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
     empty = F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int,example:boolean>>")
-    return joined.select(F.col("id").alias(id_col), "base", F.coalesce("spans", empty).alias("spans"))
+    return joined.select(F.col("id").alias(id_col), "base", *[F.coalesce(c, empty).alias(c) for c in ("spans", "copied")])
 
 
 def listed(spans: Column) -> Column:
@@ -114,7 +118,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id", *[of_kind(k).alias(f"n_{k}") for k, *_ in BASE_KINDS],
-        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), listed(F.col("copied")).alias("copied_tokens"),
         F.size(F.filter("spans", lambda s: ~s["example"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: s["example"])).cast("long").alias("n_example"),
     )

@@ -263,6 +263,13 @@ def test_widely_copied_values_are_examples(spark):
     assert secrets.find_secrets(table(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_of_a_page_do_not_hide_its_token(spark):
+    rows = [(i, "key Zx9Yw8Vu7Ts6Rq5Po4Nm3", "s1") for i in range(8)] + [(20 + i, "copied Aa1Bb2Cc3Dd4Ee5Ff6Gg7", f"s{i}") for i in range(3)]
+    got = {x["doc_id"]: x for x in secrets.find_secrets(table(spark, rows)).collect()}
+    assert all([(s["kind"], s["example"]) for s in got[i]["spans"]] == [("token", False)] and not got[i]["copied"] for i in range(8))
+    assert all(not got[20 + i]["spans"] and [(s["kind"], s["start"], s["example"]) for s in got[20 + i]["copied"]] == [("token", 7, True)] for i in range(3))
+
+
 # Mixing.
 def test_mix_meets_targets_and_reruns_agree(spark):
     rows = [(i, words(random.Random(i).randrange(1, 60), i), ["a", "b", "c", None][min(i % 7, 3)]) for i in range(300)] + [(300, None, "e"), (301, "", "a")]

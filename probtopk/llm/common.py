@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words, as a regular-expression class body.
@@ -15,20 +12,21 @@ WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
 #: The same characters, spelled out for trim functions.
 WS_CHARS = " \t\n\x0b\x0c\r"
+#: Rows of a table that may be broadcast, some 20 bytes each, and bytes of an Arrow batch.
+BROADCAST_ROWS, BATCH_BYTES = 1_000_000, 4 << 20
+#: Ranges of hashes that are counted to cut a sample.
+SPANS = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: `spark.checkpoint.dir`, or the context's checkpoint folder.
 
-    It is `spark.checkpoint.dir`; a local one is made and set only where the
-    session has none, as in tests.
+    A session without one is refused, as no local folder would do on a cluster.
     """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="probtopk-shared-"))
-        found = context.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -48,28 +46,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Python workers get batches of `rows` rows for what is written inside; the setting is put back after that."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def lookup(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` joined with a written table of a few numbers a row.
+
+    Up to `most` rows, by count, it is broadcast. A larger one is dealt like `df`; as both
+    sides are then plain exchanges, Spark splits the heavy keys of `df`.
+    """
+    return df.join(F.broadcast(table) if table.count() <= most else table, on, how)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = BATCH_BYTES) -> None:
+    """From now on the session's Python workers get Arrow batches of at most `rows` rows and about `size` bytes.
+
+    Results are lazy, so the setting has to hold when they are written; it stays.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def smallest_hashes(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """The `rows` rows with the smallest hash of `key`; a bounded sample that is the same in every run.
 
-    The count sets a cut that lets about four times as many rows through, so what
-    tasks hand over for the final order does not grow with their number.
+    A histogram of SPANS hash ranges gives the cut: the first range in which the
+    count reaches `rows`. Rows of equal keys beyond it are cut by their order, so
+    tables of repeated rows give as many rows as others do.
     """
-    span, n = 1 << 40, df.count()
-    u = F.pmod(F.xxhash64(*key), F.lit(span))
-    near = df.where(u < int(span * 4 * rows / n)) if n > 4 * rows else df
-    return near.orderBy(u, *key).limit(rows)
+    u = F.pmod(F.xxhash64(*key), F.lit(SPANS))
+    up_to = Window.orderBy("__u").rowsBetween(Window.unboundedPreceding, 0)
+    counts = df.groupBy(u.alias("__u")).agg(F.count(F.lit(1)).alias("__n")).select("__u", F.sum("__n").over(up_to).alias("__n"))
+    cut = counts.where(F.col("__n") >= rows).agg(F.min("__u")).first()[0]  # at most SPANS rows are ordered
+    near = df if cut is None else df.where(u <= cut)
+    return near.orderBy(u, F.xxhash64(*key), *key).limit(rows)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,39 +10,42 @@ from . import common
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """One star operation: neighbours of a node are joined to the least id around it.
+def _least(around: DataFrame) -> DataFrame:
+    """(u, w, n) written: the least neighbour of each node and how many it has.
 
-    The least neighbour comes from a combining aggregate and is joined back, so a
-    node with very many neighbours is never gathered in one task.
+    It is a table of its own so that joining it back never gathers the neighbours
+    of one node: either it is broadcast, or Spark can split a node with very many.
     """
-    if larger_only:
-        around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    else:
-        around = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = around.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("least"))
-    joined = around.join(least, "u")
-    moved = joined.where(F.col("v") > F.col("u")) if larger_only else joined
-    out = moved.select(F.col("v").alias("a"), F.col("least").alias("b"))
-    if not larger_only:
-        out = out.unionByName(least.select(F.col("u").alias("a"), F.col("least").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return common.materialize(around.groupBy("u").agg(F.min("v").alias("w"), F.count(F.lit(1)).alias("n")), "least")
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+
+
+def _distinct_edges(edges: DataFrame) -> DataFrame:
+    return edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least id reachable, for every node of edges (a, b).
+    """(node, component): the least id reachable, for every node of edges (a, b); an empty table has no nodes.
 
-    Alternates large-star and small-star, which halve the distances to the least
-    node; each round is written to the shared folder. Ends when every component is a star.
+    Alternates large-star (larger neighbours are joined to the least node around)
+    and small-star (smaller ones), which halve the distances to the least node;
+    each step is written to the shared folder. It ends when every node with a smaller neighbour has no other.
     """
-    now = common.materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    sign = None
+    now = common.materialize(_distinct_edges(edges), "edges")
     for _ in range(MAX_ROUNDS):
-        now = common.materialize(_star(_star(now, True), False), "stars")
-        row = now.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
-        if sign == (row["n"], row["x"]):
+        around = _both_ways(now)
+        least = _least(around)
+        if least.where("w < u AND n > 1").isEmpty():
             break
-        sign = (row["n"], row["x"])
+        large = common.lookup(around, least, "u").where("v > u").select(F.col("v").alias("a"), F.least("u", "w").alias("b"))
+        now = common.materialize(_distinct_edges(large), "stars")
+        around = now.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        least = _least(around)
+        small = common.lookup(around, least, "u").select(F.col("v").alias("a"), F.col("w").alias("b"))
+        now = common.materialize(_distinct_edges(small.unionByName(least.select(F.col("u").alias("a"), F.col("w").alias("b")))), "stars")
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

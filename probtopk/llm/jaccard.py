@@ -3,20 +3,25 @@
 Exact, in steps that skip work by what is known of related sets:
 
 1. Texts with equal shingle sets are one node, however many copies there are.
-2. A node's shingles are ordered, frequent ones last (an estimate from a sample;
-   any fixed order gives the same links), and only a prefix can hold the
-   first shingle that two linked nodes share. Prefix entries carry the position
-   and the size of the set.
-3. Entries of a shingle form its index list. Short lists are joined in place:
-   all pairs of a list are formed, then those out of the size or position range
-   are dropped one by one; no blocks are skipped. Entries of long lists, and of
-   frequent shingles, are kept apart.
-4. On long lists the answers of one set are found first: the least set of the
-   list, its leader. Sets that link with it have their component from it, so
-   pairs between sets whose component is already known are skipped.
-5. What is left, pairs of different components, is counted over all lists; pairs
-   whose shared prefix shingles can't reach the needed overlap go, the rest is
-   verified with whole sets.
+2. A node's shingles are ordered, frequent ones last and the most frequent at the
+   end (an estimate from a sample; any fixed order gives the same links). Two
+   linked sets share a shingle in their prefixes, and at the first that they share each
+   must have as many shingles left as the link needs. Prefix entries carry the
+   position and the size of the set.
+3. Entries of a shingle form its index list. Short lists are joined in place.
+   Entries of long lists, and of frequent shingles, are kept apart.
+4. On long lists, answers of one set come first. A round takes the leader of each
+   list, the set in which the shingle comes earliest (the least changed of a group of
+   copies), and measures it against the sets that it may link with: linear in
+   the list. Sets that link with it have their component from it, so pairs
+   among them are never looked at; a list with one component is done, the leader itself leaves its list.
+   Rounds go on while the open lists hold many pairs of different components.
+5. The rest of the lists is cut into blocks by size, position and whether a set is in the list's main
+   component. Blocks are paired first, by their ranges; only pairs of blocks that may link are opened.
+   What two sets share with one leader bounds what they share with each
+   other: at most min(o_x, o_y) + min(n_x - o_x, n_y - o_y). (At least
+   o_x + o_y - n_L, but that reaches the threshold only where both link with the leader.)
+6. Candidates of different components are verified with whole sets.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -38,11 +43,13 @@ PERCENT = 75
 SAMPLE_EVERY, SAMPLE_DF, MAX_FREQUENT = 16, 3, 200_000
 #: Lists of more entries are long.
 LONG_LIST = 16
-BUCKET_ENTRIES = 200_000
+BUCKET_ENTRIES = 100_000
+#: Entries of a block, and bands of a factor of 2 in size and of a whole set in position.
+BLOCK, SIZE_BANDS, POSITION_BANDS = 64, 8, 32
+#: Leaders are taken while the open pairs are more than OPEN_PAIRS a list entry and a round leaves at most SHRINK of them.
+OPEN_PAIRS, SHRINK = 8, 0.75
 #: Rows of an Arrow batch; rows carry the hashes of a text's words.
 BATCH_ROWS = 1000
-#: So many keys are sent to the texts; a key takes some 20 bytes.
-BROADCAST_KEYS = 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,23 +86,18 @@ def word_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), hashed.alias("words"))
 
 
-def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        sets = [s for s in map(shingle_set, pdf["words"]) if len(s)]
-        yield pd.DataFrame({"node": pd.Series([node_of(s) for s in sets], dtype="int64"), "set": [s.view(np.int64) for s in sets]})
-
-
 def sample_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, set) of the distinct nodes of one row in SAMPLE_EVERY."""
     drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(SAMPLE_EVERY)) == 0)
-    return word_hashes(drawn, id_col, text_col).mapInPandas(_sampled, "node long, set array<long>").dropDuplicates(["node"])
+    return word_hashes(drawn, id_col, text_col).mapInPandas(_sets, "node long, set array<long>").dropDuplicates(["node"])
 
 
-def frequent(sampled: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most MAX_FREQUENT shingles that several sampled nodes hold."""
+def frequent(sampled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most MAX_FREQUENT shingles that several sampled nodes hold, and the place of each by rising count."""
     counted = sampled.select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_DF)
-    top = counted.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).select("h").toPandas()["h"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+    top = counted.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    by_hash = np.argsort(top)
+    return top[by_hash], len(top) - by_hash
 
 
 def prefix_length(n):
@@ -108,10 +110,12 @@ def needed(a, b):
     return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
 
 
-def _is_in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _at(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each of h is in the sorted array known, or -1."""
     if not len(known):
-        return np.zeros(len(h), bool)
-    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, -1)
 
 
 ENTRY = "bucket long, h long, node long, n long, pos long"
@@ -122,9 +126,9 @@ def _entries(held, n_buckets: int):
     frequent shingles by node, as their lists may be very long; the last n_buckets a row per document: its id in h, or 1 in pos if it has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often, seen = held.value, set()
+        (often, places), seen = held.value, set()
         for pdf in batches:
-            hs, meta, rows = [], [], []
+            hs, late, meta, rows = [], [], [], []
             for i, words in zip(pdf["id"], pdf["words"], strict=True):
                 s = shingle_set(words)
                 node = node_of(s) if len(s) else 0
@@ -133,17 +137,21 @@ def _entries(held, n_buckets: int):
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                late = _is_in(s, often)
-                h = np.concatenate([s[~late], s[late]])[: prefix_length(len(s))]
-                hs.append(h)
-                meta.append((node, len(s), len(h)))
+                at = _at(s, often)
+                k = prefix_length(len(s))
+                early = s[at < 0][:k]
+                behind = at[at >= 0]
+                behind = behind[np.argsort(places[behind])][: k - len(early)]
+                hs += [early, often[behind]]
+                late += [np.zeros(len(early), bool), np.ones(len(behind), bool)]
+                meta.append((node, len(s), k))
             yield pd.DataFrame(rows, columns=["bucket", "h", "node", "n", "pos"], dtype="int64")
             if not hs:
                 continue
             h = np.concatenate(hs)
             lengths = [m[2] for m in meta]
             node = np.repeat(np.array([m[0] for m in meta], np.int64), lengths)
-            by = np.where(_is_in(h, often), node.view(np.uint64) % np.uint64(n_buckets) + np.uint64(n_buckets), h % np.uint64(n_buckets))
+            by = np.where(np.concatenate(late), node.view(np.uint64) % np.uint64(n_buckets) + np.uint64(n_buckets), h % np.uint64(n_buckets))
             yield pd.DataFrame(
                 {"bucket": by.astype(np.int64), "h": h.view(np.int64), "node": node, "n": np.repeat([m[1] for m in meta], lengths), "pos": np.concatenate([np.arange(k) for k in lengths])}
             )
@@ -164,7 +172,16 @@ def possible(n_a, pos_a, n_b, pos_b):
     return fits & (np.minimum(pos_a, pos_b) + np.minimum(n_a - pos_a, n_b - pos_b) >= needed(n_a, n_b))
 
 
+def first_possible(n_a, pos_a, n_b, pos_b):
+    """Whether sets may link of which the first shared shingle is at these positions: it and what is after must do."""
+    fits = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+    return fits & (np.minimum(n_a - pos_a, n_b - pos_b) >= needed(n_a, n_b))
+
+
 def _lists(n_buckets: int):
+    """Rows of kind 0: a pair of a short list, in pos the number of shared shingles, in h whether one of them may be
+    the first; kind 1: an entry of a long list; kind 2: a document."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] >= 2 * n_buckets:
             return pd.DataFrame({"kind": 2, "h": pdf["h"], "a": pdf["node"], "b": 0, "n_a": pdf["n"], "n_b": 0, "pos": pdf["pos"]})
@@ -189,10 +206,11 @@ def _lists(n_buckets: int):
         parts = []
         if out:
             a, b = np.concatenate(out, 1)
+            first = first_possible(n[a], pos[a], n[b], pos[b]).astype(np.int64)
             swap = node[a] > node[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            pairs = pd.DataFrame({"a": node[a], "b": node[b], "n_a": n[a], "n_b": n[b]}).groupby(["a", "b", "n_a", "n_b"], sort=False).size()
-            parts.append(pairs.reset_index(name="pos").assign(kind=0, h=0))
+            pairs = pd.DataFrame({"a": node[a], "b": node[b], "n_a": n[a], "n_b": n[b], "h": first}).groupby(["a", "b", "n_a", "n_b"], sort=False)["h"].agg(["size", "max"])
+            parts.append(pairs.reset_index().rename(columns={"size": "pos", "max": "h"}).assign(kind=0))
         long = np.repeat(sizes > LONG_LIST, sizes)
         if long.any():
             parts.append(pd.DataFrame({"kind": 1, "h": h[long], "a": node[long], "b": 0, "n_a": n[long], "n_b": 0, "pos": pos[long]}))
@@ -201,126 +219,196 @@ def _lists(n_buckets: int):
     return run
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"key": pdf["id"], "set": [shingle_set(w).tobytes() for w in pdf["words"]]})
-
-
-def _packed_by_node(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [s for s in map(shingle_set, pdf["words"]) if len(s)]
-        yield pd.DataFrame({"key": pd.Series([node_of(s) for s in sets], dtype="int64"), "set": [s.tobytes() for s in sets]})
+        yield pd.DataFrame({"node": pd.Series([node_of(s) for s in sets], dtype="int64"), "set": pd.Series([s.view(np.int64) for s in sets], dtype="object")})
 
 
-def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Sizes of the intersections of packed sets."""
-    both = zip(a, b, strict=True)
-    return pd.Series([int(_is_in(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)).sum()) for x, y in both], dtype="int64")
+class _Corpus:
+    """The texts, and the nodes with the least id of each."""
 
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame):
+        self.docs, self.id_col, self.text_col, self.nodes = docs, id_col, text_col, nodes
 
-def measured(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) of keys with o, the size of their intersection; only texts of these keys are read into sets.
-
-    Up to BROADCAST_KEYS keys go to the texts; with more, texts are dealt by key.
-    """
-    pairs = common.materialize(pairs, "pairs")
-    keys = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    named = docs.join(wanted, docs[id_col] == wanted["key"], "left_semi")
-    sets = word_hashes(named, id_col, text_col).mapInPandas(_packed, "key long, set binary")
-    unnamed = word_hashes(docs.where(F.col(id_col).isNull()), id_col, text_col).mapInPandas(_packed_by_node, "key long, set binary")
-    sets = common.materialize(sets.unionByName(unnamed).dropDuplicates(["key"]), "sets")
-    left = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
-    overlap = F.pandas_udf(_overlap, "long")
-    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", overlap("set_a", "set_b").alias("o"))
-    return common.materialize(whole, "overlaps")
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, n_a, n_b) of nodes with o, the size of their intersection; only texts of these nodes are read into sets."""
+        pairs = common.materialize(pairs, "pairs")
+        wanted = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        ids = common.materialize(common.lookup(self.nodes.where("id IS NOT NULL"), wanted, "node", "left_semi").select("node", F.col("id").alias(self.id_col)), "wanted-ids")
+        named = common.lookup(self.docs, ids.select(self.id_col).distinct(), self.id_col, "left_semi")
+        read = word_hashes(named.unionByName(self.docs.where(F.col(self.id_col).isNull())), self.id_col, self.text_col)
+        # An id may stand at several texts: only the wanted nodes stay.
+        sets = common.lookup(read.mapInPandas(_sets, "node long, set array<long>"), wanted, "node", "left_semi").dropDuplicates(["node"])
+        sets = common.materialize(sets, "sets")
+        left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+        right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+        both = pairs.join(left, "a").join(right, "b")
+        return common.materialize(both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("o")), "overlaps")
 
 
 def links(overlaps: DataFrame) -> DataFrame:
     return overlaps.where(100 * F.col("o") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
 
 
+def _reaches(overlap: Column, n_a: str, n_b: str) -> Column:
+    """Whether an intersection of so many links sets of these sizes."""
+    return overlap * (100 + PERCENT) >= PERCENT * (F.col(n_a) + F.col(n_b))
+
+
+def _fits(n_a: str, n_b: str) -> Column:
+    return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
+
+
+def _placed(long: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Entries of long lists with the component of their node, itself where none is known."""
+    if known is None:
+        return long.withColumn("component", F.col("node"))
+    return common.lookup(long, known, "node", "left").select(*long.columns, F.coalesce("component", "node").alias("component"))
+
+
+def _open_pairs(placed: DataFrame) -> tuple[int, int]:
+    """Entries of lists with several components, and how many pairs have a set outside the list's main component."""
+    parts = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("m"), F.max("n").alias("main"))
+    row = parts.where("main < m").agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.expr("(m - main) * double(m)")), F.lit(0.0))).first()
+    return int(row[0]), int(row[1])
+
+
+def _lead(long: DataFrame, known: DataFrame | None, corpus: _Corpus) -> tuple[DataFrame, DataFrame]:
+    """One round: what is left of the lists with several components, without their leaders; and the leaders' answers."""
+    placed = common.materialize(_placed(long, known), "placed")
+    first = F.min(F.struct("pos", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))).alias("lead")
+    lists = placed.groupBy("h").agg(first, F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    leaders = common.materialize(lists.select("h", F.col("lead.pos").alias("pos_b"), "lead.b", "lead.n_b", "lead.of_b"), "leaders")
+    led = common.materialize(common.lookup(placed, leaders, "h").where("node != b"), "led")
+    may = _fits("n", "n_b") & _reaches(F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")), "n", "n_b")
+    pairs = led.where(may & (F.col("component") != F.col("of_b"))).select(F.col("node").alias("a"), "b", F.col("n").alias("n_a"), "n_b").distinct()
+    return led.select("h", "node", "n", "pos"), corpus.measured(pairs)
+
+
+BLOCKED = "a long, b long, n_a long, n_b long"
+
+
+def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of nodes that may link of each pair of blocks."""
+    for pdf in batches:
+        parts = []
+        for same, *cols in zip(pdf["same"], *[pdf[f"{s}_{c}"] for s in "xy" for c in ("node", "n", "pos", "component", "lead", "o")], strict=True):
+            x, y = ([np.asarray(c, np.int64) for c in half] for half in (cols[:6], cols[6:]))
+            (node, n, pos, comp, lead, o), (node_y, n_y, pos_y, comp_y, lead_y, o_y) = [c[:, None] for c in x], y
+            ok = first_possible(n, pos, n_y, pos_y) & (comp != comp_y)
+            most = np.minimum(o, o_y) + np.minimum(n - o, n_y - o_y)
+            ok &= (lead != lead_y) | (most >= needed(n, n_y))
+            if same:
+                ok &= node < node_y
+            i, j = np.nonzero(ok)
+            a, b, n_a, n_b = x[0][i], node_y[j], x[1][i], n_y[j]
+            swap = a > b
+            parts.append(np.stack([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n_b, n_a), np.where(swap, n_a, n_b)], 1))
+        found = np.unique(np.concatenate(parts), axis=0) if parts else np.zeros((0, 4), np.int64)
+        yield pd.DataFrame(found, columns=["a", "b", "n_a", "n_b"])
+
+
+def _rest(long: DataFrame, known: DataFrame | None, answers: DataFrame | None) -> DataFrame:
+    """(a, b, n_a, n_b): the pairs of different components in what is left of the lists, by blocks."""
+    placed = _placed(long, known)
+    if answers is None:
+        placed = placed.withColumns({"lead": F.col("node"), "o": F.col("n")})
+    else:
+        best = common.materialize(answers.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("o", "b")).alias("best")).select("node", F.col("best.b").alias("lead"), F.col("best.o").cast("long").alias("best")), "led-by")
+        placed = common.lookup(placed, best, "node", "left").withColumns({"lead": F.coalesce("lead", "node"), "o": F.coalesce("best", "n")})
+    placed = common.materialize(placed.select("h", "node", "n", "pos", "component", "lead", "o"), "open-entries")
+    sizes = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("m"))
+    mains = sizes.groupBy("h").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mains = common.materialize(mains.select("h", F.col("main.component").alias("main")), "main-components")
+    banded = common.lookup(placed, mains, "h").withColumn(
+        "band", F.struct(F.col("component") != F.col("main"), F.floor(F.log2("n") * SIZE_BANDS), F.floor(F.col("pos") * POSITION_BANDS / F.col("n")))
+    )
+    counts = common.materialize(banded.groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks")), "bands")
+    cut = common.lookup(banded, counts, ["h", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
+    held = ["node", "n", "pos", "component", "lead", "o"]
+    blocks = cut.groupBy("h", "band", "block").agg(
+        F.collect_list(F.struct(*held)).alias("held"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left"),
+        F.min("component").alias("of_low"), F.max("component").alias("of_high"),
+    )
+    blocks = common.materialize(blocks.select("h", F.struct("band", "block").alias("at"), *[F.col(f"held.{c}").alias(c) for c in held], "low", "high", "left", "of_low", "of_high"), "blocks")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    near = (100 * F.col("x.high") >= PERCENT * F.col("y.low")) & (100 * F.col("y.high") >= PERCENT * F.col("x.low")) & _reaches(F.least("x.left", "y.left"), "x.low", "y.low")
+    one = (F.col("x.of_low") == F.col("x.of_high")) & (F.col("y.of_low") == F.col("y.of_high")) & (F.col("x.of_low") == F.col("y.of_low"))
+    paired = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.at") <= F.col("y.at")) & near & ~one)
+    paired = paired.select((F.col("x.at") == F.col("y.at")).alias("same"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in held])
+    return paired.mapInPandas(_opened, BLOCKED).distinct()
+
+
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row.
 
     component_id is the least id reachable by links. Null and empty texts have no
-    shingles and link with nothing; a text with fewer words than a shingle has one. Rows that
-    repeat an id each get a row. Among rows without an id, equal texts are known by the hash of
-    their set, which then stands for the id; one without words keeps null. An empty table
-    gives no rows. Columns other than id and text are ignored.
+    shingles and link with nothing; a text with fewer words than a shingle has one; very long texts are
+    read whole. Rows that repeat an id each get a row, of the component of their own text. Rows without an id take
+    part as others do; a component of such rows only is known by a hash of its sets, and a row without id and words keeps null.
+    An empty table gives no rows. Columns other than id and text are ignored.
     """
-    with common.arrow_batches(docs.sparkSession, BATCH_ROWS):  # all Python work is written inside
-        return _classes(docs.select(id_col, text_col), id_col, text_col)
+    common.bound_batches(docs.sparkSession, BATCH_ROWS)
+    return _classes(docs.select(id_col, text_col), id_col, text_col)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     sampled = common.materialize(sample_sets(docs, id_col, text_col), "sampled-sets")
-    held = spark.sparkContext.broadcast(frequent(sampled))  # at most MAX_FREQUENT numbers
+    held = spark.sparkContext.broadcast(frequent(sampled))  # at most 2 * MAX_FREQUENT numbers
     total = sampled.agg(F.coalesce(F.sum(F.size("set")), F.lit(0))).first()[0] * SAMPLE_EVERY / 4
     n_buckets = max(common.n_partitions(spark), int(total // BUCKET_ENTRIES) + 1)
     entries = word_hashes(docs, id_col, text_col).mapInPandas(_entries(held, n_buckets), ENTRY)
     listed = common.materialize(entries.groupBy("bucket").applyInPandas(_lists(n_buckets), LISTED), "lists")
-    rows = listed.where("kind = 2").select(F.when(F.col("pos") == 0, F.col("h")).alias("id"), F.col("n_a").alias("n"), F.col("a").alias("node"))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.coalesce(F.min("id"), F.col("node")).alias("key"))
-    nodes = common.materialize(nodes, "nodes")
-    long = listed.where("kind = 1").select("h", F.col("a").alias("node"), F.col("n_a").alias("n"), "pos")
+    rows = listed.where("kind = 2").select(F.when(F.col("pos") == 0, F.col("h")).alias("id"), F.col("n_a").alias("n"), F.when(F.col("n_a") > 0, F.col("a")).alias("node"))
+    nodes = common.materialize(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id")), "nodes")
+    corpus = _Corpus(docs, id_col, text_col, nodes)
 
-    # The leader of each long list, the set with the largest share of its prefix in long
-    # lists (the least changed of a group of copies), and the sets that share much of their prefix with it.
-    long = common.materialize(long.join(nodes.select("node", "key"), "node").select("h", "key", "n", "pos"), "long-lists")
-    shared = long.groupBy("key").agg((F.count(F.lit(1)) / (F.floor(F.max("n") / 4) + 1)).alias("share"))
-    ranked = long.join(shared, "key").select("h", "key", "n", "pos", (-F.col("share")).alias("rank"))
-    leaders = ranked.groupBy("h").agg(F.min(F.struct("rank", "n", "key")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "lead.*")
-    leaders = leaders.select("h", F.col("n").alias("n_b"), F.col("key").alias("b"))
-    led = long.join(leaders, "h").where("key != b").groupBy(F.col("key").alias("a"), "b", F.col("n").alias("n_a"), "n_b").agg(F.count(F.lit(1)).alias("c"))
-    likely = led.where((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("c") * 12 >= F.col("n_b")))
-    answers = measured(likely.drop("c"), docs, id_col, text_col)
-    known = connected_components(links(answers))
+    # Answers of leaders, and with them the components.
+    long = listed.where("kind = 1").select("h", F.col("a").alias("node"), F.col("n_a").alias("n"), "pos")
+    in_long = common.materialize(long.groupBy("node").agg(F.count(F.lit(1)).alias("long")), "in-long-lists")
+    known = answers = None
+    entries_open, pairs_open = _open_pairs(_placed(long, known))
+    while pairs_open > OPEN_PAIRS * entries_open:
+        long, new = _lead(long, known, corpus)
+        answers = new if answers is None else answers.unionByName(new)
+        found = links(new)
+        known = common.materialize(connected_components(found if known is None else found.unionByName(known.where("node != component").toDF("a", "b"))), "components")
+        before = pairs_open
+        entries_open, pairs_open = _open_pairs(_placed(long, known))
+        if pairs_open > SHRINK * before:
+            break
 
     # Every other pair of different components.
-    led_by = answers.groupBy(F.col("a").alias("key")).agg(F.max(F.struct("o", "b")).alias("best"))
-    placed = long.join(known, long["key"] == known["node"], "left").join(led_by, "key", "left").select(
-        "h", "key", "n", "pos", F.coalesce("component", "key").alias("component"), F.coalesce("best.b", "key").alias("lead"), F.coalesce("best.o", "n").alias("o")
-    )
-    mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("h")
-    open_ = common.materialize(placed.join(mixed, "h"), "open-lists")
-    x, y = open_.alias("x"), open_.alias("y")
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
-    reach = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    near = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (reach * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n")))
-    # What both share with one leader, and what each has besides, bounds what they share.
-    most = F.least("x.o", "y.o") + F.least(F.col("x.n") - F.col("x.o"), F.col("y.n") - F.col("y.o"))
-    may = (F.col("x.lead") != F.col("y.lead")) | (most * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n")))
-    across = x.join(y, (F.col("x.h") == F.col("y.h")) & smaller & near & may & (F.col("x.component") != F.col("y.component")))
-    from_long = across.groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.least("x.n", "y.n").alias("low"), F.greatest("x.n", "y.n").alias("high")).agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    short = listed.where("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.sum("pos").alias("c"))
-    k_a, k_b = nodes.select(F.col("node").alias("a"), F.col("key").alias("key_a")), nodes.select(F.col("node").alias("b"), F.col("key").alias("key_b"))
-    short = short.join(k_a, "a").join(k_b, "b").select(
-        F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), F.least("n_a", "n_b").alias("low"), F.greatest("n_a", "n_b").alias("high"), "c"
-    )
-    # A short pair may share long lists as well; both counts meet here.
-    of = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    pairs = from_long.unionByName(short).groupBy("a", "b", "low", "high").agg(F.sum("c").alias("c"))
-    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    from_long = _rest(long, known, answers)
+    short = listed.where("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.sum("pos").alias("c"), F.max("h").alias("first")).where("first = 1")
     after = lambda n: (PERCENT * F.col(n) + 99 - (PERCENT * F.col(n) + 99) % 100) / 100 - 1  # noqa: E731  entries behind the prefix
-    enough = (F.col("c") + F.greatest(after("low"), after("high"))) * (100 + PERCENT) >= PERCENT * (F.col("low") + F.col("high"))
-    rest = pairs.where(enough).select("a", "b", F.col("low").alias("n_a"), F.col("high").alias("n_b"))
-    second = links(measured(rest, docs, id_col, text_col))
-    stars = known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    components = connected_components(stars.unionByName(second))
-    placed = nodes.join(components, nodes["key"] == components["node"], "left").select(nodes["node"], F.coalesce("component", "key").alias("component_id"))
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(placed, "node", "left")
+    # Shared entries of long lists are not counted: as many as either set has may be added.
+    for side in ("a", "b"):
+        short = common.lookup(short, in_long.toDF(side, f"long_{side}"), side, "left").withColumn(f"long_{side}", F.coalesce(f"long_{side}", F.lit(0)))
+    most = F.col("c") + F.least("long_a", "long_b") + F.greatest(after("n_a"), after("n_b"))
+    pairs = from_long.unionByName(short.where(_reaches(most, "n_a", "n_b")).select("a", "b", "n_a", "n_b")).distinct()
+    if known is not None:
+        for side in ("a", "b"):
+            pairs = common.lookup(pairs, known.toDF(side, f"of_{side}"), side, "left")
+        pairs = pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "n_a", "n_b")
+    second = links(corpus.measured(pairs))
+    components = connected_components(second if known is None else second.unionByName(known.where("node != component").toDF("a", "b")))
+    placed = nodes.join(components, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
+    placed = common.materialize(placed, "placed-nodes")
+    named = placed.groupBy("component").agg(F.coalesce(F.min("id"), F.min("node")).alias("component_id"))
+    placed = common.materialize(common.lookup(placed, common.materialize(named, "component-ids"), "component").select("node", "component_id"), "node-components")
+    out = rows.join(placed, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with one document per component: the one with the least id.
 
-    Rows that repeat an id are one document and stay or go together; rows without words and rows without an id all stay.
+    Rows without words, and rows without an id, all stay. Of rows that repeat an id, all go if one of them is
+    in the component of a smaller id, else all stay. Null and empty texts stay, very long texts are read whole, an empty
+    table gives no rows, and columns other than id and text are handed on.
     """
     classes = similarity_classes(docs, id_col, text_col)
     gone = classes.where((F.col("n_shingles") > 0) & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
@@ -328,6 +416,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """similarity_classes of all documents; a null text has no shingles and a null id its own row."""
     return similarity_classes(common.documents(spark, sf_dir).select("doc_id", "text"))
 
 

@@ -147,12 +147,9 @@ def plain_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("long_list,sample_df", [(16, 3), (2, 1)])
-def test_jaccard_equals_all_pairs(spark, monkeypatch, long_list, sample_df):
-    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
-    monkeypatch.setattr(jaccard, "SAMPLE_DF", sample_df)
-    monkeypatch.setattr(jaccard, "SAMPLE_EVERY", 2)
-    r, rows = random.Random(1), []
+def near_copies(seed):
+    """Groups of edited copies of several sizes, with short texts among them."""
+    r, rows = random.Random(seed), []
     for g in range(12):
         base = words(r.randrange(3, 60), g).split()
         for _ in range(r.choice([1, 2, 5, 25])):
@@ -160,18 +157,54 @@ def test_jaccard_equals_all_pairs(spark, monkeypatch, long_list, sample_df):
             for _ in range(r.randrange(4)):
                 w[r.randrange(len(w))] = f"x{r.randrange(1000)}"
             rows.append((len(rows) * 3, " ".join(w), "a"))
+    return rows
+
+
+def found_classes(spark, rows):
+    return {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.similarity_classes(table(spark, rows)).collect()}
+
+
+@pytest.mark.parametrize("long_list,sample_df,open_pairs", [(16, 3, 8), (2, 1, 0), (2, 1, 1e9)])
+def test_jaccard_equals_all_pairs(spark, monkeypatch, long_list, sample_df, open_pairs):
+    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
+    monkeypatch.setattr(jaccard, "SAMPLE_DF", sample_df)
+    monkeypatch.setattr(jaccard, "SAMPLE_EVERY", 2)
+    monkeypatch.setattr(jaccard, "OPEN_PAIRS", open_pairs)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rows = near_copies(1)
     rows += [(1001, None, "a"), (1002, "", "a"), (1003, " \n", "a"), (1004, "A b", "a"), (1005, "a B", "a")]
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.similarity_classes(table(spark, rows)).collect()}
+    got = found_classes(spark, rows)
     assert got == plain_components(rows)
     kept = {x["doc_id"] for x in jaccard.keep_one(table(spark, rows)).collect()}
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+@pytest.mark.parametrize("open_pairs", [8, 1e9])
+def test_jaccard_of_sets_that_share_much_but_do_not_link(spark, monkeypatch, open_pairs):
+    """A passage that all texts start with, so that the lists stay open after their leaders."""
+    monkeypatch.setattr(jaccard, "OPEN_PAIRS", open_pairs)
+    monkeypatch.setattr(jaccard, "SAMPLE_EVERY", 1)
+    passage = words(120, 77)
+    rows = [(i, f"{passage} {words(20 + i % 5, 1000 + i // 2)}", "a") for i in range(120)]
+    assert found_classes(spark, rows) == plain_components(rows)
+
+
 def test_jaccard_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
-    rows = [(i, words(50, i // 3) + (" end" if i % 3 else ""), "a") for i in range(30)]
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.similarity_classes(table(spark, rows)).collect()}
-    assert got == plain_components(rows)
+    monkeypatch.setattr(common.lookup, "__defaults__", ("inner", 0))
+    rows = [(i, words(50, i // 3) + (" end" if i % 3 else ""), "a") for i in range(30)] + [(100 + i, t, s) for i, t, s in near_copies(2)]
+    assert found_classes(spark, rows) == plain_components(rows)
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    a, b = words(60, 1), words(60, 2)
+    got = jaccard.similarity_classes(table(spark, [(7, a, "x"), (7, b, "x"), (8, f"{b} tail", "x"), (9, f"{a} tail", "x"), (10, words(60, 3), "x")])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(7, 7), (7, 7), (8, 7), (9, 7), (10, 10)]
+
+
+def test_rows_without_id_link_as_others(spark):
+    a = words(60, 1)
+    got = jaccard.similarity_classes(table(spark, [(None, a, "x"), (5, f"{a} tail", "x"), (None, None, "x")])).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(5, 57, 5), (None, 56, 5), (None, 0, None)}
 
 
 def test_jaccard_of_edge_cases(spark, edges):
@@ -188,6 +221,10 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 150), 100)}
 
 
+def test_components_of_no_edges(spark):
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # Quality.
 def plain_base(t):
     w = [x for x in WS.split(t or "") if x]

@@ -129,16 +129,21 @@ def hypotheses_to_mixture(df: DataFrame, h: str = "h", z: str = "z") -> DataFram
 
     @F.pandas_udf("struct<pi:array<double>,mu:array<double>,sigma:array<double>>")
     def run(h_col: pd.Series, z_col: pd.Series) -> pd.DataFrame:
-        rows = []
-        for hyp, comp in zip(h_col, z_col, strict=True):
-            hyp, comp = np.asarray(hyp, float), np.stack([np.asarray(c, float) for c in comp])
-            gamma = np.exp(comp - comp.max(0))
-            gamma /= gamma.sum(0)
-            total = gamma.sum(1) + small
-            mu = (gamma * hyp).sum(1) / total
-            var = (gamma * (hyp - mu[:, None]) ** 2).sum(1) / total + small
-            rows.append((gamma.mean(1), mu, np.sqrt(var)))
-        return pd.DataFrame(rows, columns=["pi", "mu", "sigma"])
+        out = pd.DataFrame({c: pd.Series([None] * len(h_col), dtype="object") for c in ("pi", "mu", "sigma")})
+        shapes = pd.Series([(len(z), len(h)) for h, z in zip(h_col, z_col, strict=True)], dtype="object")
+        for shape in set(shapes):  # rows of one shape are computed together
+            at = np.flatnonzero([x == shape for x in shapes])
+            hyp = np.stack([np.asarray(h_col.iloc[i], float) for i in at])[:, None, :]
+            comp = np.stack([np.stack(z_col.iloc[i]).astype(float) for i in at])
+            gamma = np.exp(comp - comp.max(1, keepdims=True))
+            gamma /= gamma.sum(1, keepdims=True)
+            total = gamma.sum(2) + small
+            mu = (gamma * hyp).sum(2) / total
+            var = (gamma * (hyp - mu[..., None]) ** 2).sum(2) / total + small
+            for name, rows in (("pi", gamma.mean(2)), ("mu", mu), ("sigma", np.sqrt(var))):
+                for i, row in zip(at, rows, strict=True):
+                    out.at[i, name] = row
+        return out
 
     return df.withColumn("mixture", run(h, z)).select(*df.columns, "mixture.*")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import with_ordinal
+
 MAX_SCORE = 50
 
 
@@ -29,10 +31,8 @@ FRAMES = """(SELECT 'v0' AS video_id, event_id AS frame_id, least(CAST(floor(val
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many videos: one per event type, frames numbered by event id."""
-    turn = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("video_id"), turn.cast("long").alias("frame_id"), F.least(F.floor(F.col("value") / 10).cast("int"), F.lit(49)).alias("score")
-    )
+    numbered = with_ordinal(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "frame_id")
+    return numbered.select(F.col("event_type").alias("video_id"), "frame_id", F.least(F.floor(F.col("value") / 10).cast("int"), F.lit(49)).alias("score"))
 
 
 VIDEOS = """(SELECT event_type AS video_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS frame_id,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.distribution import ERF_A, ERF_P, FLOOR, LOG_SQRT_2PI, SNAP, SQRT2
 from ..functions.boxes import EPS, TINY
 from .fixtures import BOXES, EMBEDDED, FRAMES, VIDEOS, mixtures_sql
-from .queries import DIFF, K, LAM, MAX, MU, REF_DIST
+from .queries import DIFF, K, LAM, MAX, REF_DIST, TOP_LAM, TOP_MU
 
 INF = "'-Infinity'::DOUBLE"
 
@@ -106,28 +106,68 @@ VARIANTS = f"""(SELECT *, inter / uni AS iou FROM (SELECT *, wa * ha + wb * hb -
     x2 - x1 AS wa, y2 - y1 + {EPS} AS ha, n_x2 - n_x1 AS wb, n_y2 - n_y1 + {EPS} AS hb,
     greatest(x2, n_x2) - least(x1, n_x1) AS cw, greatest(y2, n_y2) - least(y1, n_y1) AS ch,
     ((n_x1 + n_x2 - x1 - x2) ** 2 + (n_y1 + n_y2 - y1 - y2) ** 2) / 4 AS rho FROM {NEIGHBOURS})))"""
+NMS = f"""(WITH RECURSIVE g AS (
+    SELECT frame_id, cls, list({{'det_id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'obj_conf': obj_conf, 'cls_conf': cls_conf}}
+      ORDER BY obj_conf * cls_conf DESC, det_id) AS rest FROM {BOXES} WHERE obj_conf >= 0.1 GROUP BY frame_id, cls),
+  r AS (SELECT frame_id, cls, rest FROM g UNION ALL
+    SELECT frame_id, cls, list_filter(rest[2:], lambda b: {box_iou([f'rest[1].{c}' for c in CORNERS], [f'b.{c}' for c in CORNERS])} <= 0.45) FROM r WHERE len(rest) > 1),
+  h AS (SELECT frame_id, cls, rest[1] AS first,
+    [rest[1]] || list_filter(rest[2:], lambda b: {box_iou([f'rest[1].{c}' for c in CORNERS], [f'b.{c}' for c in CORNERS])} > 0.45) AS hits FROM r WHERE len(rest) > 0)
+  SELECT frame_id, first.det_id AS det_id, cls, first.obj_conf AS obj_conf,
+    {', '.join(f'list_sum(list_transform(hits, lambda b: b.{c} * b.obj_conf)) / list_sum(list_transform(hits, lambda b: b.obj_conf)) AS {c}' for c in CORNERS)} FROM h)"""
+
+
+def matched(pred: str) -> str:
+    """One-to-one matches of boxes (frame_id, det_id, cls, obj_conf, corners) with the truth, prediction by prediction."""
+    over = box_iou([f"preds[i + 1].{c}" for c in CORNERS], [f"t.{c}" for c in CORNERS])
+    return f"""(WITH RECURSIVE p AS (SELECT frame_id, list({{'det_id': det_id, 'cls': cls, 'conf': obj_conf, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY det_id) AS preds FROM {pred} GROUP BY frame_id),
+      t AS (SELECT frame_id, list({{'cls': cls, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY cls, x1, y1, x2, y2) AS truth FROM {TRUTH} GROUP BY frame_id),
+      s AS (SELECT frame_id, preds, coalesce(truth, []) AS truth, list_transform(coalesce(truth, []), lambda t: true) AS free, 0 AS i, 0 AS tp FROM p LEFT JOIN t USING (frame_id)
+        UNION ALL SELECT frame_id, preds, truth, list_transform(free, lambda x, j: x AND NOT (hit AND j = best)), i + 1, CASE WHEN hit THEN 1 ELSE 0 END FROM (
+          SELECT *, coalesce(free[best], false) AND ious[best] >= 0.5 AND list_contains(list_transform(truth, lambda t: t.cls), preds[i + 1].cls) AS hit FROM (
+            SELECT *, coalesce(list_position(ious, list_max(ious)), 0) AS best FROM (
+              SELECT *, list_transform(truth, lambda t: {over}) AS ious FROM s WHERE i < len(preds)))))
+      SELECT frame_id, preds[i].det_id AS det_id, preds[i].cls AS cls, preds[i].conf AS conf, tp FROM s WHERE i > 0)"""
+
+
+def curve(matches: str) -> str:
+    return f"""(SELECT *, tpc / t.n_truth AS recall, tpc / rank AS precision FROM (
+      SELECT *, row_number() OVER w AS rank, sum(tp) OVER w AS tpc FROM {matches}
+      WINDOW w AS (PARTITION BY cls ORDER BY -floor(conf * 1000), conf DESC, frame_id, det_id ROWS UNBOUNDED PRECEDING)) m
+      JOIN (SELECT cls, count(*) AS n_truth FROM {TRUTH} GROUP BY cls) t USING (cls))"""
+
+
 MATCHES = f"(SELECT frame_id, det_id, cls, obj_conf AS conf, CAST(flag = 'R' AS INT) AS tp FROM {BOXES})"
-CURVE = f"""(SELECT *, tpc / t.n_truth AS recall, tpc / rank AS precision FROM (
-  SELECT *, row_number() OVER w AS rank, sum(tp) OVER w AS tpc FROM {MATCHES}
-  WINDOW w AS (PARTITION BY cls ORDER BY -floor(conf * 1000), conf DESC, frame_id, det_id ROWS UNBOUNDED PRECEDING)) m
-  JOIN (SELECT cls, count(*) AS n_truth FROM {TRUTH} GROUP BY cls) t USING (cls))"""
-OPEN = f"(SELECT frame_id, log_cdf, log_pdf FROM {logs('two')} WHERE log_cdf[{LAM + 1}] < 0 AND log_cdf[{LAM + 1}] > -20.0)"
+CURVE = curve(MATCHES)
+
+
+def average_precision(of: str) -> str:
+    return f"""SELECT t.cls, {', '.join(f'round(coalesce({c}, 0), 6) + 0.0 AS {c}' for c in ('ap', 'precision', 'recall'))},
+        round(coalesce(2 * precision * recall / (precision + recall + 1e-16), 0), 6) + 0.0 AS f1 FROM (SELECT DISTINCT cls FROM {TRUTH}) t
+        LEFT JOIN (SELECT cls, sum((recall - prev) * env) AS ap FROM (
+          SELECT cls, recall, coalesce(lag(recall) OVER (PARTITION BY cls ORDER BY rank), 0) AS prev, max(precision) OVER (PARTITION BY cls ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env
+          FROM {of}) GROUP BY cls) a ON a.cls = t.cls
+        LEFT JOIN (SELECT cls, arg_max(precision, rank) AS precision, arg_max(recall, rank) AS recall FROM {of} GROUP BY cls) l ON l.cls = t.cls"""
+
 
+def opened(lam: int) -> str:
+    return f"(SELECT frame_id, log_cdf, log_pdf FROM {logs('two')} WHERE log_cdf[{lam + 1}] < 0)"
 
-def expected() -> str:
+
+def expected(lam: int, mu: int) -> str:
     """Frames with expected and bound, from the log sums over the open frames."""
     sums = ", ".join(
-        f"coalesce(sum(log_cdf[{s + 1}]) FILTER (log_cdf[{s + 1}] <> {INF}), 0.0) AS f{s}, count(*) FILTER (log_cdf[{s + 1}] = {INF}) AS i{s}" for s in range(LAM, MU + 1)
+        f"coalesce(sum(log_cdf[{s + 1}]) FILTER (log_cdf[{s + 1}] <> {INF}), 0.0) AS f{s}, count(*) FILTER (log_cdf[{s + 1}] = {INF}) AS i{s}" for s in range(lam, mu + 1)
     )
     total = lambda s: f"CASE WHEN i{s} > 0 THEN {INF} ELSE f{s} END"
     is_inf = lambda s: f"(log_cdf[{s + 1}] = {INF})"
     without = lambda s: f"CASE WHEN i{s} - {is_inf(s)}::INT > 0 THEN {INF} ELSE f{s} - CASE WHEN {is_inf(s)} THEN 0.0 ELSE log_cdf[{s + 1}] END END"
     above = lambda s: ln(f"(1.0 - exp(log_cdf[{s + 1}]))")
-    terms = [total(LAM), *(f"({without(s)}) + log_pdf[{s + 1}]" for s in range(LAM + 1, MU + 1)), f"({without(MU)}) + ({above(MU)})"]
+    terms = [total(lam), *(f"({without(s)}) + log_pdf[{s + 1}]" for s in range(lam + 1, mu + 1)), f"({without(mu)}) + ({above(mu)})"]
     lse = lambda v: f"CASE WHEN list_max({v}) = {INF} THEN {INF} ELSE list_max({v}) + ln(list_sum(list_transform({v}, lambda x: exp(x - list_max({v}))))) END"
     return f"""(SELECT *, {lse('e')} AS expected, {lse('b')} AS bound FROM (
-      SELECT frame_id, [{', '.join(terms)}] AS e, [{total(LAM)}, ({above(LAM)}) + ({without(MU)})] AS b
-      FROM {OPEN}, (SELECT {sums} FROM {OPEN})))"""
+      SELECT frame_id, [{', '.join(terms)}] AS e, [{total(lam)}, ({above(lam)}) + ({without(mu)})] AS b
+      FROM {opened(lam)}, (SELECT {sums} FROM {opened(lam)})))"""
 
 
 def _r6(*cols: str) -> str:
@@ -148,7 +188,7 @@ ORACLES: dict[str, str] = {
     "split_frames": f"SELECT * FROM {SPLIT}",
     "sample_per_window": f"SELECT video_id, window_id, frame_id, score FROM {sampled(VIDEOS, 64, 6)}",
     "complement": f"SELECT video_id, frame_id FROM {SPLIT} WHERE split = 'test'",
-    "union_certain": f"SELECT video_id, frame_id, score, CASE WHEN k < 10 THEN 'label' WHEN k = 20 THEN 'cleaned' ELSE 'mirror' END AS source FROM {FRAMES} WHERE k < 10 OR k IN (20, 30)",
+    "union_certain": f"SELECT video_id, frame_id, score, CASE WHEN k < 50 THEN 'label' WHEN k < 80 THEN 'cleaned' ELSE 'mirror' END AS source FROM {FRAMES}",
     "multiset_overlap": f"SELECT count(*) AS overlap FROM (SELECT score FROM {FRAMES} WHERE k < 50 INTERSECT ALL SELECT score FROM {FRAMES} WHERE k >= 50)",
     "segment": f"SELECT video_id, frame_id, score, pos, seg, pos_in_seg, seg_len FROM {SEGMENTS}",
     "pick_reference": f"SELECT video_id, seg, ref_id, len(ref_features)::INT AS n_features FROM {REFS}",
@@ -163,11 +203,11 @@ ORACLES: dict[str, str] = {
     "smooth_labels": f"SELECT video_id, frame_id, score, round(avg(score) OVER (PARTITION BY video_id ORDER BY frame_id RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smoothed FROM {VIDEOS}",
     "fit_binned_proxy": f"""SELECT bin, score, round(n / sum(n) OVER (PARTITION BY bin), 6) AS pi FROM (
         SELECT b.i::INT AS bin, s.i::INT AS score, coalesce(n, 0) + 0.1::DOUBLE AS n FROM range(40) b(i) CROSS JOIN range({MAX}) s(i) LEFT JOIN (
-          SELECT least(greatest(floor((value + k / 10.0) / (500.0 / 40)), 0), 39)::INT AS bin, score, count(*) AS n FROM {FRAMES} WHERE k % 5 = 0 GROUP BY ALL) c
+          SELECT least(greatest(floor((value + k / 10.0) / (500.0 / 40)), 0), 39)::INT AS bin, score, count(*) AS n FROM {FRAMES} GROUP BY ALL) c
         ON c.bin = b.i AND c.score = s.i)""",
     "model_grid": f"""SELECT (a.i * 3 + b.i)::INT AS model_id, [5, 8, 10, 15][a.i + 1]::BIGINT AS m, [20, 30, 40][b.i + 1]::BIGINT AS h, (SELECT max(score) + 1 FROM {FRAMES}) AS n FROM range(4) a(i), range(3) b(i)""",
     "select_model": f"""SELECT model_id, round(nll, 6) AS nll FROM (SELECT model_id, avg((((score - mu[1]) / w) ** 2) * 0.5 + ln(w) + {LOG_SQRT_2PI}) AS nll
-        FROM {mixtures_sql('noisy')}, (VALUES (0, 0.3::DOUBLE), (1, 0.6::DOUBLE), (2, 1.2::DOUBLE)) g(model_id, w) WHERE k % 4 = 1 GROUP BY model_id) ORDER BY nll, model_id LIMIT 1""",
+        FROM {mixtures_sql('noisy')}, (VALUES (0, 0.3::DOUBLE), (1, 0.6::DOUBLE), (2, 1.2::DOUBLE)) g(model_id, w) GROUP BY model_id) ORDER BY nll, model_id LIMIT 1""",
     "normal_cdf": f"SELECT frame_id, round({phi('20.5::DOUBLE', 'score + (k - 49.5::DOUBLE) / 50.0::DOUBLE', '2.0::DOUBLE')}, 6) + 0.0 AS p FROM {FRAMES}",
     "mixture_cdf": f"SELECT frame_id, i::INT AS s, round(cdf[i + 1], 6) AS cdf FROM {cdfs('two')}, range({MAX}) r(i)",
     "log_tables": f"""SELECT frame_id, i::INT AS s, round(exp(log_cdf[i + 1]), 6) AS cdf, round(exp(log_pdf[i + 1]), 6) AS pdf, log_pdf[i + 1] = {INF} AS never
@@ -185,12 +225,10 @@ ORACLES: dict[str, str] = {
         FROM {moments('noisy')} GROUP BY ROLLUP (score)""",
     "window_distribution": f"SELECT video_id, frame_id // 64 AS window_id, round(avg(mean), 11) AS mu, round(sqrt(avg(var)), 6) AS sigma FROM {moments('two')} GROUP BY ALL",
     "window_truth": f"SELECT * FROM {clips(VIDEOS, 30)}",
-    "sampled_window_scores": f"SELECT * FROM {clips(sampled(VIDEOS, 64, 6), 64)} WHERE window_id % 3 = 0",
+    "sampled_window_scores": f"SELECT * FROM {clips(sampled(VIDEOS, 64, 6), 64)}",
     "result_summary": f"SELECT min(score) AS low, max(score) AS high, avg(score) AS mean FROM {topk(FRAMES)}",
-    "complete_mixtures": f"""SELECT video_id, frame_id, round(CASE WHEN k < 5 THEN score ELSE mu[1] END, 6) + 0.0 AS mu, CASE WHEN k < 5 THEN 0.1 ELSE sigma[1] END::DOUBLE AS sigma
-        FROM {mixtures_sql('noisy')} WHERE k < 5 OR frame_id % 10 = 0 UNION ALL
-        SELECT m.video_id, m.frame_id, round(r.mu[1], 6) + 0.0, r.sigma[1] FROM {mixtures_sql('noisy')} m JOIN {mixtures_sql('noisy')} r ON r.frame_id = m.frame_id // 10 * 10
-        WHERE m.k >= 5 AND m.frame_id % 10 <> 0 AND r.k >= 5""",
+    "complete_mixtures": f"""SELECT m.video_id, m.frame_id, round(CASE WHEN r.k < 5 THEN r.score ELSE r.mu[1] END, 6) + 0.0 AS mu, CASE WHEN r.k < 5 THEN 0.1 ELSE r.sigma[1] END::DOUBLE AS sigma
+        FROM {mixtures_sql('noisy')} m JOIN {mixtures_sql('noisy')} r ON r.frame_id = CASE WHEN m.k < 5 THEN m.frame_id ELSE m.frame_id // 10 * 10 END""",
     "propagate_mirrors": f"SELECT m.video_id, m.frame_id, r.score FROM {FRAMES} m JOIN {FRAMES} r ON r.frame_id = m.frame_id // 10 * 10 WHERE m.frame_id % 10 <> 0 AND r.score > 5",
     "box_iou_join": f"""SELECT * REPLACE (round(iou, 6) AS iou) FROM (SELECT p.frame_id, p.det_id, p.cls, t.cls AS t_cls, t.x1 AS t_x1, t.y1 AS t_y1,
         {box_iou([f'p.{c}' for c in CORNERS], [f't.{c}' for c in CORNERS])} AS iou FROM {BOXES} p JOIN {TRUTH} t USING (frame_id)) WHERE iou >= 0.3""",
@@ -199,9 +237,10 @@ ORACLES: dict[str, str] = {
     "thresholds": f"SELECT max(score) FILTER (r = {K}) AS lam, max(score) FILTER (r = {K - 1}) AS mu FROM {by_rank(topk(FRAMES))}",
     "topk_confidence": f"SELECT round(CASE WHEN count(*) FILTER (log_cdf[49] = {INF}) > 0 THEN {INF} ELSE sum(log_cdf[49]) END, 4) AS log_confidence FROM {logs('two')}",
     "bootstrap_candidates": f"SELECT video_id, frame_id FROM {logs('two')} ORDER BY log_cdf[1], frame_id LIMIT {K}",
-    "expected_confidence": f"SELECT frame_id, round(expected, 4) AS expected FROM {expected()}",
-    "upper_bound": f"SELECT frame_id, round(bound, 4) AS bound, bound >= expected - 1e-9 AS holds FROM {expected()}",
-    "select_candidates": f"SELECT round(expected, 4) AS expected FROM {expected()} ORDER BY expected DESC, frame_id LIMIT 20",
+    "expected_confidence_below": f"SELECT frame_id, round(expected, 4) AS expected FROM {expected(LAM, MAX - 1)}",
+    "expected_confidence": f"SELECT frame_id, round(expected, 4) AS expected FROM {expected(TOP_LAM, TOP_MU)}",
+    "upper_bound": f"SELECT frame_id, round(bound, 4) AS bound, bound >= expected - 1e-9 AS holds FROM {expected(TOP_LAM, TOP_MU)}",
+    "select_candidates": f"SELECT round(expected, 4) AS expected FROM {expected(TOP_LAM, TOP_MU)} ORDER BY expected DESC, frame_id LIMIT 20",
     "cutoff_candidates": f"""SELECT frame_id, round(f, 6) + 0.0 AS f FROM (
         SELECT *, sum(CASE WHEN f > 0 THEN ln(f) ELSE -1e9 END) OVER (ORDER BY f DESC, frame_id DESC ROWS UNBOUNDED PRECEDING) AS tail
         FROM (SELECT *, {cdf_at(f'{LAM + 0.5}::DOUBLE')} AS f FROM {mixtures_sql('noisy')}) WHERE f < 1.0) WHERE tail < ln(0.9::DOUBLE)""",
@@ -216,11 +255,8 @@ ORACLES: dict[str, str] = {
     "score_error": f"SELECT round(score_error, 6) + 0.0 AS score_error FROM {ERROR}",
     "evaluate_topk": f"SELECT {_r6('precision', 'rank_distance', 'score_error')} FROM {PRECISION}, {RANKS}, {ERROR}",
     "pr_curve": f"SELECT frame_id, det_id, cls, rank, tpc::BIGINT AS tpc, (rank - tpc)::BIGINT AS fpc, {_r6('recall', 'precision')} FROM {CURVE}",
-    "average_precision": f"""SELECT t.cls, {_r6('ap', 'precision', 'recall')}, round(2 * precision * recall / (precision + recall + 1e-16), 6) + 0.0 AS f1 FROM (SELECT DISTINCT cls FROM {TRUTH}) t
-        JOIN (SELECT cls, sum((recall - prev) * env) AS ap FROM (
-          SELECT cls, recall, coalesce(lag(recall) OVER (PARTITION BY cls ORDER BY rank), 0) AS prev, max(precision) OVER (PARTITION BY cls ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env
-          FROM {CURVE}) GROUP BY cls) a ON a.cls = t.cls
-        JOIN (SELECT cls, arg_max(precision, rank) AS precision, arg_max(recall, rank) AS recall FROM {CURVE} GROUP BY cls) l ON l.cls = t.cls""",
+    "average_precision": average_precision(CURVE),
+    "detector_quality": average_precision(curve(matched(NMS))),
     "xywh_to_xyxy": f"SELECT frame_id, det_id, x1, y1, x2, y2 FROM {BOXES}",
     "iou": f"SELECT frame_id, det_id, round(v, 6) + 0.0 AS iou, round(v, 6) + 0.0 AS iou_xywh FROM (SELECT *, {box_iou(CORNERS, OTHERS)} AS v FROM {NEIGHBOURS})",
     "iou_variant": f"""SELECT frame_id, det_id, {_r6('iou', 'giou', 'diou', 'ciou')} FROM (
@@ -235,4 +271,20 @@ ORACLES: dict[str, str] = {
     "relative_boxes": f"""SELECT frame_id, det_id, round(cx / 640.0::DOUBLE, 10) AS cx, round(cy / 480.0::DOUBLE, 10) AS cy, round(w / 640.0::DOUBLE, 10) AS w, round(h / 480.0::DOUBLE, 10) AS h,
         round(1.0::DOUBLE - cx / 640.0::DOUBLE, 10) + 0.0 AS flipped, round(h, 10) AS h_back FROM {BOXES}""",
     "detection_scores": f"SELECT frame_id, det_id, cls, round(cls_conf, 6) AS cls_conf, round(obj_conf * cls_conf, 11) AS rank_score FROM {BOXES} WHERE obj_conf >= 0.3",
+    "non_max_suppression": f"SELECT frame_id, det_id, cls, {_r6(*CORNERS)} FROM {NMS}",
+    "match_detections": f"SELECT * FROM {matched(BOXES)}",
+    "read_frame_dir": "SELECT name, row_number() OVER (ORDER BY length(name), name) - 1 AS frame_id FROM (SELECT 'f' || (event_id * 7) || '.jpg' AS name FROM events)",
+    "decode_box_blobs": f"""SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY det_id) - 1 AS det_id, cls,
+        {', '.join(f'CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}' for c in (*CORNERS, 'obj_conf', 'cls_conf'))} FROM {BOXES}""",
+    "saved_stage": f"SELECT frame_id, score, k FROM {FRAMES}",
+    "split_sizes": """SELECT a AS num_train, b AS num_valid, CASE WHEN a <= 1 THEN trunc(n * a) ELSE trunc(a) END::BIGINT AS n_train, CASE WHEN b <= 1 THEN trunc(n * b) ELSE trunc(b) END::BIGINT AS n_valid
+        FROM (VALUES (0.005::DOUBLE, 3000.0::DOUBLE), (0.0333, 0.25), (1.0, 0.0), (250.0, 1.0)) g(a, b), (SELECT count(*) AS n FROM events)""",
+    "apply_proxy": f"""SELECT frame_id, 0.75::DOUBLE AS pi_0, 0.25::DOUBLE AS pi_1, round(value / 10, 6) + 0.0 AS mu_0, round(value / 10 + 1.0, 6) + 0.0 AS mu_1, 0.5::DOUBLE AS sigma_0, 1.0::DOUBLE AS sigma_1 FROM {FRAMES}""",
+    "hypotheses_to_mixture": f"""SELECT frame_id, {_r6('pi_0', 'pi_1', 'mu_0', 'mu_1', 'sigma_0', 'sigma_1')} FROM (SELECT frame_id, {', '.join(
+        f"list_avg(g{m}) AS pi_{m}, mu{m} AS mu_{m}, sqrt(list_sum(list_transform([1, 2, 3], lambda i: g{m}[i] * (h[i] - mu{m}) * (h[i] - mu{m}))) / (list_sum(g{m}) + 0.0001) + 0.0001) AS sigma_{m}" for m in (0, 1))}
+        FROM (SELECT *, {', '.join(f'list_sum(list_transform([1, 2, 3], lambda i: g{m}[i] * h[i])) / (list_sum(g{m}) + 0.0001) AS mu{m}' for m in (0, 1))}
+        FROM (SELECT *, {', '.join(f'list_transform([1, 2, 3], lambda i: exp(z{m}[i]) / (exp(z0[i]) + exp(z1[i]))) AS g{m}' for m in (0, 1))}
+        FROM (SELECT frame_id, [score::DOUBLE, score + 1.0::DOUBLE, score - k / 50.0::DOUBLE] AS h, [k / 100.0::DOUBLE, 0.5::DOUBLE, -1.0::DOUBLE] AS z0, [0.25::DOUBLE, score / 10.0::DOUBLE, k / 40.0::DOUBLE] AS z1 FROM {FRAMES}))))""",
+    "query_frames": f"SELECT * FROM {by_rank(topk(FRAMES))}",
+    "query_documents": f"SELECT row_number() OVER (ORDER BY score DESC, doc_id DESC)::INT AS r, score FROM (SELECT doc_id, least(len(regexp_extract_all(coalesce(text, ''), '[Tt]he')), 49)::INT AS score FROM documents) ORDER BY r LIMIT 20",
 }

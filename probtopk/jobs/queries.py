@@ -13,12 +13,15 @@ from ..functions import distribution as D
 from ..operators import detections, difference, metrics, sampling, scoring, topk, windows
 from ..operators.scoring import ScoringUDF
 from ..sources import frames as sources
+from ..sources.shared import scratch
 from . import fixtures as X
-from . import search
+from . import query, search
 
 MAX = X.MAX_SCORE
 K = 100
-LAM, MU = 30, 33
+LAM = 30
+#: Thresholds at which few frames are surely above, so that what is to be expected differs by frame.
+TOP_LAM, TOP_MU = 46, 48
 REF_DIST, DIFF = 30, 0.030
 
 
@@ -46,11 +49,33 @@ def read_oracle(s, d):
     return sources.cut(X.frames(s, d).select("video_id", "frame_id", "score"), 250)
 
 
+def read_frame_dir(s, d):
+    """The numbers that files named by event would get."""
+    return sources.frame_numbers(X.table(s, d, "events").select(F.concat(F.lit("f"), F.col("event_id") * 7, F.lit(".jpg")).alias("name")))
+
+
+def decode_box_blobs(s, d):
+    boxes = X.boxes(s, d).select("frame_id", F.col("det_id"), *detections.CORNERS, "obj_conf", "cls_conf", "cls")
+    return sources.decode_box_blobs(sources.encode_box_blobs(boxes))
+
+
+def saved_stage(s, d):
+    folder = scratch(s, "stages")
+    sources.save_stage(X.frames(s, d), folder, "frames")
+    return sources.load_stage(s, folder, "frames").select("frame_id", "score", "k")
+
+
 def video_prefix(s, d):
     return X.table(s, d, "pages").select("page_id", sources.video_prefix(F.col("url")).alias("prefix"))
 
 
 # Sampling.
+def split_sizes(s, d):
+    n = X.frames(s, d).count()
+    rows = [(*given, *sampling.split_sizes(n, *given)) for given in ((0.005, 3000.0), (0.0333, 0.25), (1.0, 0.0), (250.0, 1.0))]
+    return s.createDataFrame(rows, "num_train double, num_valid double, n_train long, n_valid long")
+
+
 def split_frames(s, d):
     return _labelled(s, d)
 
@@ -66,8 +91,7 @@ def complement(s, d):
 
 def union_certain(s, d):
     f = X.frames(s, d)
-    labelled, cleaned = f.where("k < 10"), f.where("k = 20")
-    mirrors = f.where("k = 30")
+    labelled, cleaned, mirrors = f.where("k < 50"), f.where("k >= 50 AND k < 80"), f.where("k >= 80")
     return sampling.union_certain(labelled, cleaned, mirrors)
 
 
@@ -133,10 +157,23 @@ def _binned(s, d):
 
 
 def fit_binned_proxy(s, d):
-    fitted = scoring.fit_binned_proxy(_binned(s, d).where("k % 5 = 0"), 40, 0.6, MAX)
+    fitted = scoring.fit_binned_proxy(_binned(s, d), 40, 0.6, MAX)
     return fitted.select("bin", *listed("pi", name="pi", index="score")).withColumn("pi", r6("pi"))
 
 
+class Linear:
+    """A proxy of two components around a linear function of one column."""
+
+    def predict(self, batch: pd.DataFrame):
+        mu = batch["value"].to_numpy(float)[:, None] / 10 + [0.0, 1.0]
+        return [[0.75, 0.25]] * len(mu), mu.tolist(), [[0.5, 1.0]] * len(mu)
+
+
+def apply_proxy(s, d):
+    mix = scoring.apply_proxy(X.frames(s, d), Linear())
+    return mix.select("frame_id", *[r6(F.get(c, F.lit(i)), f"{c}_{i}") for c in ("pi", "mu", "sigma") for i in (0, 1)])
+
+
 def model_grid(s, d):
     bins = X.frames(s, d).agg((F.max("score") + 1).alias("n"))
     grid = scoring.model_grid(s, {"m": [5, 8, 10, 15], "h": [20, 30, 40]})
@@ -144,7 +181,7 @@ def model_grid(s, d):
 
 
 def _model_nll(s, d):
-    f = X.mixtures(s, d, "noisy").where("k % 4 = 1")
+    f = X.mixtures(s, d, "noisy")
     grid = s.createDataFrame([(i, x) for i, x in enumerate((0.3, 0.6, 1.2))], "model_id int, width double")
     each = f.join(F.broadcast(grid)).withColumn("sigma", F.array("width"))
     return each.select("model_id", D.mixture_nll(F.col("score")).alias("nll"))
@@ -185,6 +222,14 @@ def logsumexp(s, d):
     return f.select("frame_id", r6(D.logsumexp(F.concat("mu", "pi")), "v"))
 
 
+def hypotheses_to_mixture(s, d):
+    at = lambda c: F.col(c).cast("double")
+    h = F.array(at("score"), at("score") + 1.0, at("score") - at("k") / 50.0)
+    z = F.array(F.array(at("k") / 100.0, F.lit(0.5), F.lit(-1.0)), F.array(F.lit(0.25), at("score") / 10.0, at("k") / 40.0))
+    mix = D.hypotheses_to_mixture(X.frames(s, d).select("frame_id", h.alias("h"), z.alias("z")))
+    return mix.select("frame_id", *[r6(F.get(c, F.lit(i)), f"{c}_{i}") for c in ("pi", "mu", "sigma") for i in (0, 1)])
+
+
 def round_half_even(s, d):
     return X.frames(s, d).select("frame_id", D.round_half_even(F.col("k") / 2.0).alias("v"))
 
@@ -220,7 +265,7 @@ def window_truth(s, d):
 
 def sampled_window_scores(s, d):
     v = X.videos(s, d)
-    clips = v.select("video_id", windows.window_id(64).alias("window_id")).where("window_id % 3 = 0").distinct()
+    clips = v.select("video_id", windows.window_id(64).alias("window_id")).distinct()
     return windows.sampled_window_scores(clips, v, 64, 6)
 
 
@@ -273,26 +318,34 @@ def bootstrap_candidates(s, d):
 
 
 def _open(s, d):
-    """Frames whose CDF is below 1 and not 0 at LAM, and the log sums over them (one row of numbers per score)."""
-    u = _uncertain(s, d).where((F.get("log_cdf", F.lit(LAM)) < 0) & (F.get("log_cdf", F.lit(LAM)) > -20.0))
+    """Frames whose CDF is below 1 at the threshold, and the log sums over them (one row of numbers per score)."""
+    u = _uncertain(s, d).where(F.get("log_cdf", F.lit(TOP_LAM)) < 0)
     rows = {r["s"]: (r["finite"], r["n_inf"]) for r in topk.column_log_sums(u, MAX).collect()}
     return u, [rows[i] for i in range(MAX)]
 
 
+def expected_confidence_below(s, d):
+    """At a threshold that many frames are surely above, where logs are minus infinity."""
+    u = _uncertain(s, d).where(F.get("log_cdf", F.lit(LAM)) < 0)
+    rows = {r["s"]: (r["finite"], r["n_inf"]) for r in topk.column_log_sums(u, MAX).collect()}
+    expected = topk.expected_confidence(u, [rows[i] for i in range(MAX)], LAM, MAX - 1)
+    return expected.select("frame_id", F.round("expected", 4).alias("expected"))
+
+
 def expected_confidence(s, d):
     u, h = _open(s, d)
-    return topk.expected_confidence(u, h, LAM, MU).select("frame_id", F.round("expected", 4).alias("expected"))
+    return topk.expected_confidence(u, h, TOP_LAM, TOP_MU).select("frame_id", F.round("expected", 4).alias("expected"))
 
 
 def upper_bound(s, d):
     u, h = _open(s, d)
-    both = topk.upper_bound(topk.expected_confidence(u, h, LAM, MU), h, LAM, MU)
+    both = topk.upper_bound(topk.expected_confidence(u, h, TOP_LAM, TOP_MU), h, TOP_LAM, TOP_MU)
     return both.select("frame_id", F.round("bound", 4).alias("bound"), (F.col("bound") >= F.col("expected") - 1e-9).alias("holds"))
 
 
 def select_candidates(s, d):
     u, h = _open(s, d)
-    return topk.select_candidates(u, h, LAM, MU, 20).select(F.round("expected", 4).alias("expected"))
+    return topk.select_candidates(u, h, TOP_LAM, TOP_MU, 20).select(F.round("expected", 4).alias("expected"))
 
 
 def cutoff_candidates(s, d):
@@ -322,6 +375,43 @@ def topk_frames_deduplicated(s, d):
     return metrics.by_rank(found.topk)
 
 
+def _featured(s, d):
+    """Frames with a cheap feature and no score, and their scores."""
+    f = X.frames(s, d)
+    return f.select("video_id", "frame_id", (F.col("value") + F.col("k") / 10.0).alias("feature")), f.select("video_id", "frame_id", "score")
+
+
+FRAME_OPTIONS = query.Options(low=0.0, high=500.0, bins=(25, 50), max_score=MAX, num_train=0.1, num_valid=0.05)
+
+
+def query_frames(s, d):
+    """The whole query: split, labels, proxy, scan, search."""
+    frames, scores = _featured(s, d)
+    return metrics.by_rank(query.query_frames(frames, scores, FRAME_OPTIONS, k=K, conf_thres=0.99).topk)
+
+
+def query_frames_deduplicated(s, d):
+    """The whole query over embeddings with labelled frames: near-duplicate test frames take their reference's score."""
+    e = X.embedded(s, d)
+    frames = e.select("video_id", "frame_id", "features", (F.col("score") + 0.5).alias("feature"))
+    options = query.Options(low=0.0, high=10.0, bins=(10,), sigmas=(0.1, 0.3), max_score=10, num_train=0.2, num_valid=0.1, diff_thres=DIFF, ref_dist=REF_DIST)
+    return metrics.by_rank(query.query_frames(frames, e.select("video_id", "frame_id", "score"), options, k=20, conf_thres=0.99).topk)
+
+
+def query_documents(s, d):
+    """The whole query with a scorer that runs on the chosen documents only; the feature is a count of letters."""
+    docs = X.table(s, d, "documents").select(F.lit("v0").alias("video_id"), F.col("doc_id").alias("frame_id"), "text", F.regexp_count(F.coalesce("text", F.lit("")), F.lit("he")).cast("double").alias("feature"))
+    options = query.Options(low=0.0, high=100.0, bins=(50, 100), max_score=MAX, num_train=0.1, num_valid=0.05)
+    return metrics.by_rank(query.query_frames(docs, TheCount(), options, k=20, conf_thres=0.99).topk)
+
+
+def query_windows(s, d):
+    """The whole query for clips, scored by half of their frames."""
+    frames, scores = _featured(s, d)
+    answer = query.query_windows(frames, scores, FRAME_OPTIONS, 30, 0.5, k=20, conf_thres=0.9)
+    return answer.topk.select(F.col("frame_id").alias("window_id"), "score")
+
+
 def topk_windows(s, d):
     m = X.mixtures(s, d, "exact")
     a = search.topk_windows(m.select("video_id", "frame_id", "score"), m.select("video_id", "frame_id", "pi", "mu", "sigma"), 30, 1.0, k=50)
@@ -367,6 +457,17 @@ def average_precision(s, d):
     return ap.select("cls", r6("ap"), r6("precision"), r6("recall"), r6("f1"))
 
 
+def detector_quality(s, d):
+    """From raw detections to average precision: class scores, suppression, matching, curve."""
+    raw = X.boxes(s, d).withColumn("cls_prob", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i == F.col("cls"), F.col("cls_conf")).otherwise(0.0)))
+    boxes = detections.corner_boxes(raw.withColumnRenamed("obj_conf", "obj").drop("x1", "y1", "x2", "y2", "cls", "cls_conf"))
+    kept = detections.non_max_suppression(boxes, 0.1, 0.45)
+    truth = X.truth_boxes(s, d)
+    matches = detections.match_detections(kept.withColumnRenamed("obj_conf", "conf"), truth, 0.5)
+    ap = metrics.average_precision(metrics.pr_curve(matches, truth), truth)
+    return ap.select("cls", r6("ap"), r6("precision"), r6("recall"), r6("f1"))
+
+
 # Boxes.
 def xywh_to_xyxy(s, d):
     b = X.boxes(s, d).select("frame_id", "det_id", "cx", "cy", "w", "h")
@@ -431,13 +532,13 @@ def match_detections(s, d):
     return detections.match_detections(pred, X.truth_boxes(s, d), 0.5)
 
 
-_NAMES = """read_frames read_oracle video_prefix split_frames sample_per_window complement union_certain multiset_overlap
-segment pick_reference mse_diff difference_detect mirror_lists apply_oracle lookup_scores object_count smooth_labels
+_NAMES = """read_frame_dir read_frames read_oracle decode_box_blobs saved_stage video_prefix split_sizes split_frames sample_per_window complement union_certain multiset_overlap
+segment pick_reference mse_diff difference_detect mirror_lists apply_oracle apply_proxy lookup_scores object_count smooth_labels
 fit_binned_proxy model_grid select_model normal_cdf mixture_cdf log_tables mixture_moments mixture_nll logsumexp
-round_half_even score_weights column_log_sums calibration_profile window_distribution window_truth
+hypotheses_to_mixture round_half_even score_weights column_log_sums calibration_profile window_distribution window_truth
 sampled_window_scores result_summary complete_mixtures propagate_mirrors box_iou_join exact_topk merge_topk thresholds
-topk_confidence bootstrap_candidates expected_confidence upper_bound select_candidates cutoff_candidates topk_frames
-topk_frames_exact_proxy topk_frames_deduplicated topk_windows precision_at_k rank_distance score_error evaluate_topk
-pr_curve average_precision xywh_to_xyxy iou iou_variant wh_iou rescale_boxes relative_boxes detection_scores
+topk_confidence bootstrap_candidates expected_confidence expected_confidence_below upper_bound select_candidates cutoff_candidates topk_frames
+topk_frames_exact_proxy topk_frames_deduplicated topk_windows query_frames query_frames_deduplicated query_documents query_windows precision_at_k rank_distance score_error evaluate_topk
+pr_curve average_precision detector_quality xywh_to_xyxy iou iou_variant wh_iou rescale_boxes relative_boxes detection_scores
 non_max_suppression match_detections"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES.split()}

@@ -7,7 +7,9 @@ suffice (at most `cap`) and merges them. Only the tick lam of a distribution is
 CDF arrays are built. A search that needs more than FEW_ROUNDS doubles its cap with every
 further round, so it ends after few rounds however many rows it has to score. The ids scored in the
 first rounds are sent out as a table of at most FEW_ROUNDS * cap rows, those of later rounds are
-checkpointed and never on the driver; the uncertain rows are never rewritten.
+written and never on the driver; the uncertain rows are never rewritten.
+
+The scorer is a table of scores or a ScoringUDF; a UDF runs on the labelled and the chosen frames only, once each.
 """
 
 from __future__ import annotations
@@ -20,45 +22,74 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distribution import NEG_INF, cdf_at, safe_ln
+from ..functions.distribution import NEG_INF, cdf_at, log_tables, mixture_cdf, safe_ln
 from ..operators import difference, sampling, scoring, topk, windows
+from ..operators.scoring import ScoringUDF
+from ..sources.shared import scratch, written
 
 #: Rounds of at most cap rows; later ones may take twice as many as the one before.
 FEW_ROUNDS = 8
+IDS = ["video_id", "frame_id"]
+
+#: Gives (video_id, frame_id, score) of chosen rows.
+Scorer = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
 class Answer:
-    """The k best rows as a DataFrame (video_id, frame_id, score), and what the search took."""
+    """The k best rows as a DataFrame (video_id, frame_id, score), and what the search took; reached is False only if max_rounds ended it."""
 
     topk: DataFrame
     rounds: int
     scored: int
     log_confidence: float
+    reached: bool = True
+
+
+def scorer(oracle: DataFrame | ScoringUDF, frames: DataFrame | None = None, max_score: int | None = None) -> Scorer:
+    """Looks chosen frames up in a table, or runs a ScoringUDF on the rows of `frames` that were chosen; these scores are written, so that no frame is scored twice."""
+    if isinstance(oracle, DataFrame):
+        return lambda ids: scoring.lookup_scores(ids, oracle)
+    if frames is None:
+        raise ValueError("a ScoringUDF needs the frames")
 
+    def run(ids: DataFrame) -> DataFrame:
+        chosen = frames.join(ids.select(*IDS).distinct(), IDS)
+        return written(scoring.apply_oracle(chosen, oracle, max_score).select(*IDS, "score"), scratch(frames.sparkSession, "scored"))
 
-def _kept(df: DataFrame) -> DataFrame:
-    """`df` computed once, in the shared checkpoint folder where the session has one, without its plan."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    return run
 
 
-def _rounds(certain: DataFrame | None, uncertain: DataFrame, score_of: Callable[[DataFrame], DataFrame], k: int, conf: float, cap: int) -> Answer:
+def _chosen(open_: DataFrame, best: list[tuple], conf: float, most: int, rule: str, max_score: int) -> DataFrame:
+    """What to score next: the smallest set that suffices, or the frames with the largest expected confidence."""
+    if rule == "cutoff":
+        return topk.cutoff_candidates(open_, conf, most)
+    lam, mu = best[-1][2], best[-2][2] if len(best) > 1 else best[-1][2]
+    tables = log_tables(mixture_cdf(open_, max_score))
+    sums = {r["s"]: (r["finite"], r["n_inf"]) for r in topk.column_log_sums(tables, max_score).collect()}  # a row per score
+    return topk.select_candidates(tables, [sums[s] for s in range(max_score)], lam, min(mu, max_score - 1), most)
+
+
+def _rounds(
+    certain: DataFrame | None, uncertain: DataFrame, score_of: Scorer, k: int, conf: float, cap: int,
+    max_rounds: int | None = None, rule: str = "cutoff", max_score: int = 50,
+) -> Answer:
     """Rows have video_id, frame_id; uncertain ones pi, mu, sigma besides. score_of gives scores of chosen rows and their mirrors.
 
     Rows that come with a score but were not chosen (mirrors) enter the answer only.
     """
     spark = uncertain.sparkSession
     schema = "video_id string, frame_id long, score int"
-    keep = lambda df: [tuple(r) for r in topk.exact_topk(df.select("video_id", "frame_id", "score"), k).collect()]  # noqa: E731  k rows
+    keep = lambda df: [tuple(r) for r in topk.exact_topk(df.select(*IDS, "score"), k).collect()]  # noqa: E731  k rows
     best = keep(certain) if certain is not None else []
     done: list[tuple[str, int]] = []
     kept: list[DataFrame] = []
-    rounds, n_scored, log_conf, pruned = 0, 0, NEG_INF, None
+    rounds, n_scored, log_conf, pruned, reached = 0, 0, NEG_INF, None, True
     while True:
         scored = spark.createDataFrame(done, "video_id string, frame_id long")
-        left = uncertain.join(F.broadcast(scored), ["video_id", "frame_id"], "left_anti") if done else uncertain
+        left = uncertain.join(F.broadcast(scored), IDS, "left_anti") if done else uncertain
         if kept:
-            left = left.join(reduce(DataFrame.unionByName, kept), ["video_id", "frame_id"], "left_anti")
+            left = left.join(reduce(DataFrame.unionByName, kept), IDS, "left_anti")
         lam = best[-1][2] if len(best) >= k else -1
         open_ = left.withColumn("f", cdf_at(lam) if lam >= 0 else F.lit(0.0)).where(F.col("f") < 1.0)
         if lam >= 0 and pruned is None:  # lam never falls: rows with F(lam) = 1 stay out, and few are left to keep
@@ -68,74 +99,90 @@ def _rounds(certain: DataFrame | None, uncertain: DataFrame, score_of: Callable[
         log_conf = NEG_INF if sums["n_inf"] else sums["finite"]
         if (log_conf >= math.log(conf) and len(best) >= k) or not sums["n"]:
             break
+        if rounds == max_rounds:
+            reached = False
+            break
         most = min(cap << max(0, rounds + 1 - FEW_ROUNDS), 2**31 - 1)
         if lam < 0:  # too few rows known for a threshold: those least likely to score 0
             chosen = open_.withColumn("f", cdf_at(0)).orderBy("f", "frame_id").limit(max(most, k))
         else:
-            chosen = topk.cutoff_candidates(open_, conf, most)
-        chosen = chosen.select("video_id", "frame_id")
+            chosen = _chosen(open_, best, conf, most, rule, max_score)
+        chosen = chosen.select(*IDS)
         if rounds < FEW_ROUNDS:
             rows = [tuple(r) for r in chosen.collect()]  # at most max(cap, k) rows
             done += rows
             n, ids = len(rows), F.broadcast(spark.createDataFrame(rows, "video_id string, frame_id long"))
         else:
-            ids = _kept(chosen)
+            ids = written(chosen, scratch(spark, "chosen"))
             kept.append(ids)
             n = ids.count()
         if not n:
             raise RuntimeError(f"no row was left to score at log confidence {log_conf}")
         rounds, n_scored = rounds + 1, n_scored + n
-        new = score_of(ids)
-        merged = new.select("video_id", "frame_id", F.col("score").cast("int").alias("score"))
-        best = keep(merged.unionByName(spark.createDataFrame(best, schema)))
+        merged = score_of(ids).select(*IDS, F.col("score").cast("int").alias("score"))
+        best = keep(merged.unionByName(spark.createDataFrame(best, schema)).dropDuplicates(IDS))
     if pruned is not None:
         pruned.unpersist()
-    return Answer(spark.createDataFrame(best, schema), rounds, n_scored, log_conf)
+    return Answer(spark.createDataFrame(best, schema), rounds, n_scored, log_conf, reached)
+
+
+def _with_mirrors(score_of: Scorer, mirrors: DataFrame | None) -> Scorer:
+    """Discarded frames take the score that their reference gets."""
+    if mirrors is None:
+        return score_of
+
+    def run(ids: DataFrame) -> DataFrame:
+        cleaned = score_of(ids)
+        return cleaned.unionByName(windows.propagate_mirrors(cleaned, mirrors))
+
+    return run
 
 
 def topk_frames(
-    oracle: DataFrame, mixtures: DataFrame, k: int = 100, conf_thres: float = 0.9, num_train: float = 0.005, num_valid: float = 3000,
-    cap: int = 256, mirrors: DataFrame | None = None, seed: int = 0,
+    oracle: DataFrame | ScoringUDF, mixtures: DataFrame, k: int = 100, conf_thres: float = 0.9, num_train: float = 0.005, num_valid: float = 3000,
+    cap: int = 256, mirrors: DataFrame | None = None, seed: int = 0, frames: DataFrame | None = None, max_rounds: int | None = None, rule: str = "cutoff",
 ) -> Answer:
     """The k frames with the highest scores, right with probability conf_thres or more.
 
-    `oracle` (video_id, frame_id, score) is looked up only for labelled and chosen
-    frames; `mixtures` holds the proxy's distribution of every frame; discarded frames
-    (`mirrors`: frame_id, ref_id) are not searched and take their reference's score.
+    The oracle, a table (video_id, frame_id, score) or a ScoringUDF over `frames`, is asked only for labelled and chosen
+    frames. `mixtures` holds the proxy's distribution of every frame, as a stored table: rounds read it
+    again. Discarded frames (`mirrors`: frame_id, ref_id), which have to be test frames, are not searched and take their reference's score.
+    `rule` is "cutoff", or "expected" for the frames with the largest expected confidence (give a small cap then).
     """
-    n_train, n_valid = sampling.split_sizes(mixtures.count(), num_train, num_valid)
-    split = sampling.split_frames(mixtures, n_train, n_valid, seed)
-    labelled = split.where("split != 'test'")
-    certain = scoring.lookup_scores(labelled, oracle)
+    ids = (mixtures if frames is None else frames).select(*IDS)
+    n_train, n_valid = sampling.split_sizes(ids.count(), num_train, num_valid)
+    labelled = sampling.split_frames(ids, n_train, n_valid, seed).where("split != 'test'")
+    score_of = scorer(oracle, frames)
     uncertain = sampling.complement(mixtures, labelled)
     if mirrors is not None:
         uncertain = sampling.complement(uncertain, mirrors)
-
-    def score_of(ids: DataFrame) -> DataFrame:
-        cleaned = scoring.lookup_scores(ids, oracle)
-        return cleaned if mirrors is None else cleaned.unionByName(windows.propagate_mirrors(cleaned, mirrors))
-
-    return _rounds(certain, uncertain, score_of, k, conf_thres, cap)
+    return _rounds(score_of(labelled), uncertain, _with_mirrors(score_of, mirrors), k, conf_thres, cap, max_rounds, rule)
 
 
 def topk_windows(
-    oracle: DataFrame, mixtures: DataFrame, window: int, window_samples: float = 0.1, k: int = 100, conf_thres: float = 0.9, cap: int = 256, seed: int = 0
-) -> Answer:
+    oracle: DataFrame | ScoringUDF, mixtures: DataFrame, window: int, window_samples: float = 0.1, k: int = 100, conf_thres: float = 0.9, cap: int = 256,
+    seed: int = 0, frames: DataFrame | None = None, max_rounds: int | None = None,
+) -> Answer:
     """The k clips of `window` frames with the highest mean scores; frame_id is the clip's number.
 
-    A clip is scored by window * window_samples of its frames, at least one.
+    `mixtures` has one row for every frame (complete_mixtures). A clip is scored by window * window_samples of its frames, at least one.
     """
     clips = windows.window_distribution(mixtures, window).withColumnRenamed("window_id", "frame_id")
     n = max(1, int(window * window_samples))
+    of_frames = scorer(oracle, frames)
 
     def score_of(ids: DataFrame) -> DataFrame:
-        chosen = ids.withColumnRenamed("frame_id", "window_id")
-        return windows.sampled_window_scores(chosen, oracle, window, n, seed).withColumnRenamed("window_id", "frame_id")
+        sampled = windows.sampled_frames(ids.withColumnRenamed("frame_id", "window_id"), mixtures, window, n, seed)
+        return windows.window_truth(of_frames(sampled), window).withColumnRenamed("window_id", "frame_id")
 
-    return _rounds(None, clips, score_of, k, conf_thres, cap)
+    return _rounds(None, clips, score_of, k, conf_thres, cap, max_rounds)
 
 
-def detect_and_search(frames: DataFrame, oracle: DataFrame, mixtures: DataFrame, diff_thres: float, ref_dist: int, **kw) -> Answer:
-    """topk_frames after the difference detector has set near-duplicate frames aside."""
-    found = difference.difference_detect(frames, diff_thres, ref_dist)
-    return topk_frames(oracle, mixtures, mirrors=difference.mirrors_of(found), **kw)
+def detect_and_search(frames: DataFrame, oracle: DataFrame | ScoringUDF, mixtures: DataFrame, diff_thres: float, ref_dist: int, num_train: float = 0.005, num_valid: float = 3000, seed: int = 0, **kw) -> Answer:
+    """topk_frames after the difference detector has set near-duplicate test frames aside; labelled frames keep their own scores."""
+    n_train, n_valid = sampling.split_sizes(frames.count(), num_train, num_valid)
+    test = sampling.split_frames(frames, n_train, n_valid, seed).where("split = 'test'")
+    found = difference.difference_detect(frames.join(test.select(*IDS), IDS), diff_thres, ref_dist)
+    mirrors = written(difference.mirrors_of(found), scratch(frames.sparkSession, "mirrors"))
+    given = frames if isinstance(oracle, ScoringUDF) else None
+    return topk_frames(oracle, mixtures, mirrors=mirrors, num_train=num_train, num_valid=num_valid, seed=seed, frames=given, **kw)

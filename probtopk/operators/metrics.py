@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinals import SPAN
 from .sampling import multiset_overlap
 from .topk import BEST_FIRST, exact_topk
 
@@ -18,10 +19,12 @@ def precision_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
 def rank_distance(approx: DataFrame, scores: DataFrame) -> DataFrame:
     """(rank_distance): mean distance of the rank in the answer (ties share the first) and the number of all scores above.
 
-    Ranks among all scores come from a histogram of scores; the answer is joined by score.
+    Ranks among all scores come from a histogram of the scores above the answer's last one, which are about
+    as many as the answer has; the answer is joined with it.
     """
     given = approx.select("score", (F.rank().over(Window.orderBy(F.desc("score"))) - 1).alias("given"))
-    counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    last = approx.agg(F.min("score").alias("last"))  # one row
+    counts = scores.join(F.broadcast(last), F.col("score") > F.col("last")).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
     wanted = given.select("score").distinct().join(counts.withColumnRenamed("score", "other"), F.col("other") > F.col("score"), "left")
     above = wanted.groupBy("score").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("above"))
     return given.join(above, "score").agg(F.avg(F.abs(F.col("above") - F.col("given"))).alias("rank_distance"))
@@ -69,15 +72,21 @@ def pr_curve(matches: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def average_precision(curve: DataFrame, truth: DataFrame) -> DataFrame:
+def average_precision(curve: DataFrame, truth: DataFrame, span: int = SPAN) -> DataFrame:
     """(cls, ap, precision, recall, f1) of each class of the truth; 0 without predictions.
 
     Only the last row of each recall step matters: the envelope is the greatest precision from there on.
+    It runs from the last step down, in two levels: spans of steps first, steps inside their span after that.
     """
-    steps = curve.groupBy("cls", "tpc").agg(F.max("precision").alias("precision"), F.max("recall").alias("recall"))
-    ahead = _by_class([F.col("tpc")]).rowsBetween(0, Window.unboundedFollowing)
-    before = F.coalesce(F.lag("recall").over(_by_class([F.col("tpc")])), F.lit(0.0))
-    area = steps.withColumn("part", (F.col("recall") - before) * F.max("precision").over(ahead)).groupBy("cls").agg(F.sum("part").alias("ap"))
+    steps = curve.groupBy("cls", "tpc").agg(F.max("precision").alias("precision"), F.max("recall").alias("recall")).withColumn("span", F.floor(F.col("tpc") / span))
+    spans = steps.groupBy("cls", "span").agg(F.max("precision").alias("top"), F.max("recall").alias("end"))
+    later = Window.partitionBy("cls").orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = spans.select("cls", "span", F.max("top").over(later).alias("ahead"), F.lag("end").over(_by_class([F.col("span")])).alias("behind"))
+    inside = Window.partitionBy("cls", "span")
+    top = F.max("precision").over(inside.orderBy(F.desc("tpc")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = steps.withColumn("top", top).withColumn("before", F.lag("recall").over(inside.orderBy("tpc"))).join(ends, ["cls", "span"])
+    width = F.col("recall") - F.coalesce("before", "behind", F.lit(0.0))
+    area = placed.groupBy("cls").agg(F.sum(width * F.greatest("top", "ahead")).alias("ap"))
     last = curve.groupBy("cls").agg(F.max_by("precision", "rank").alias("precision"), F.max_by("recall", "rank").alias("recall"))
     classes = truth.select("cls").distinct()
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)

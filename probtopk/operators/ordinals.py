@@ -23,13 +23,27 @@ def with_ordinal(df: DataFrame, key: str, order: str, name: str = "pos", span: i
     return spans.withColumn(name, inside).join(starts, [key, "__span"]).withColumn(name, (F.col(name) + F.col("__start")).cast("long")).drop("__span", "__start")
 
 
-def with_suffix_sum(df: DataFrame, value: Column, bin_of: Column, order: list, name: str) -> DataFrame:
-    """`df` with the sum of `value` over all rows from this one on, in order of (bin, order).
+def with_rank(df: DataFrame, bins: list[str], order: list[str], name: str) -> DataFrame:
+    """`df` with the rank from 0 of each row by (bins, order): bins are counted first, rows are ordered inside their bin only."""
+    starts = df.groupBy(*bins).agg(F.count(F.lit(1)).alias("__n"))
+    starts = starts.select(*bins, F.coalesce(F.sum("__n").over(Window.orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(*bins).orderBy(*order)) - 1
+    return df.withColumn(name, inside).join(starts, bins).withColumn(name, (F.col(name) + F.col("__start")).cast("long")).drop("__start")
 
-    `bin_of` must rise with the order. Bins are summed first; rows are ordered inside their bin only.
+
+def low_end(df: DataFrame, value: Column, bin_of: Column, order: list[str], limit: float) -> DataFrame:
+    """The rows, lowest first, from which on the sum of `value` over all higher rows and the row itself is below `limit`.
+
+    `value` is at most 0 and `bin_of` rises with the order. Sums run from the highest row down: bins are summed
+    first, a table of as many rows as there are bins. Bins below the one in which the limit is passed are taken
+    whole; only rows of that bin are ordered.
     """
     binned = df.withColumn("__v", value).withColumn("__bin", bin_of)
-    later = Window.orderBy("__bin").rowsBetween(1, Window.unboundedFollowing)
-    bins = binned.groupBy("__bin").agg(F.sum("__v").alias("__s")).select("__bin", F.coalesce(F.sum("__s").over(later), F.lit(0.0)).alias("__later"))
-    rest = Window.partitionBy("__bin").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    return binned.withColumn(name, F.sum("__v").over(rest)).join(F.broadcast(bins), "__bin").withColumn(name, F.col(name) + F.col("__later")).drop("__v", "__bin", "__later")
+    down = Window.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = binned.groupBy("__bin").agg(F.sum("__v").alias("__s")).withColumn("__to", F.sum("__s").over(down))
+    placed = binned.join(F.broadcast(sums.select("__bin", "__to", (F.col("__to") - F.col("__s")).alias("__higher"))), "__bin").where(F.col("__to") < limit)
+    whole = placed.where(F.col("__higher") < limit)
+    cut = placed.where(F.col("__higher") >= limit)
+    own = F.sum("__v").over(Window.partitionBy("__bin").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
+    part = cut.withColumn("__own", own).where(F.col("__own") + F.col("__higher") < limit)
+    return whole.select(*df.columns).unionByName(part.select(*df.columns))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordinals import SPAN
+
 #: Deviation given to a frame whose score is known.
 KNOWN_SIGMA = 0.1
 
@@ -59,11 +61,16 @@ def object_count(boxes: DataFrame, frames: DataFrame, cls: int, obj_thres: float
     return frames.select("frame_id").join(counted, "frame_id", "left").select("frame_id", F.coalesce("n", F.lit(0)).cast("int").alias("score"))
 
 
-def smooth_labels(labels: DataFrame, kernel: int, fn=F.avg) -> DataFrame:
-    """`labels` with smoothed: a filter over the frames at most kernel div 2 away, cut at the ends."""
+def smooth_labels(labels: DataFrame, kernel: int, fn=F.avg, span: int = SPAN) -> DataFrame:
+    """`labels` with smoothed: a filter over the frames at most kernel div 2 away, cut at the ends.
+
+    Frames are dealt by spans; those near a border are copied to the spans that they reach, so a long video is not one task.
+    """
     half = kernel // 2
-    around = Window.partitionBy("video_id").orderBy("frame_id").rangeBetween(-half, half)
-    return labels.withColumn("smoothed", fn("score").over(around))
+    at = lambda frame: F.floor(frame / span)
+    dealt = labels.withColumn("__span", F.explode(F.sequence(at(F.col("frame_id") - half), at(F.col("frame_id") + half))))
+    around = Window.partitionBy("video_id", "__span").orderBy("frame_id").rangeBetween(-half, half)
+    return dealt.withColumn("smoothed", fn("score").over(around)).where(F.col("__span") == at(F.col("frame_id"))).drop("__span")
 
 
 def score_weights(labels: DataFrame, max_score: int, smooth: int = 10) -> DataFrame:
@@ -74,10 +81,11 @@ def score_weights(labels: DataFrame, max_score: int, smooth: int = 10) -> DataFr
     return n.withColumn("weight", F.max("n").over(Window.partitionBy()) / F.col("n"))
 
 
-def feature_bin(feature: Column, low: float, high: float, n_bins: int) -> Column:
+def feature_bin(feature: Column, low: float, high: float, n_bins: int | Column) -> Column:
     """Equal-width bin from 0 to n_bins - 1; values beyond the ends go to the end bins."""
-    at = F.floor((feature - low) / ((high - low) / n_bins))
-    return F.least(F.greatest(at, F.lit(0)), F.lit(n_bins - 1)).cast("int")
+    n = F.lit(n_bins) if isinstance(n_bins, int) else n_bins
+    at = F.floor((feature - low) / (F.lit(high - low) / n))
+    return F.least(F.greatest(at, F.lit(0)), n - 1).cast("int")
 
 
 def fit_binned_proxy(train: DataFrame, n_bins: int, sigma: float, max_score: int, smooth: float = 0.1) -> DataFrame:

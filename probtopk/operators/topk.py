@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distribution import NEG_INF, logsumexp, safe_ln
-from .ordinals import with_suffix_sum
+from .ordinals import low_end
 
 BEST_FIRST = ("score", "frame_id")
+#: Bins of F(lam) per unit of -ln(1 - F).
 N_BINS = 2000
 
 
@@ -105,15 +106,12 @@ def cutoff_candidates(candidates: DataFrame, conf: float, cap: int | None = None
     """The smallest set of frames, by ascending F(lam), without which the rest reaches the wanted confidence.
 
     `candidates` has f = F(lam) of each uncertain frame. Scoring the set in one go
-    suffices, as lam never falls. Sums run from the safest frame down: logs are
-    summed per bin of f, and rows are ordered inside their bin only.
+    suffices, as lam never falls. Frames with F(lam) = 0 are in the set without being ordered; of the others,
+    logs are summed per bin, which are finer near 1, and only rows of the bin where the set ends are ordered.
     """
-    log_f = safe_ln(F.col(f))
-    big = F.when(log_f == NEG_INF, F.lit(-1e9)).otherwise(log_f)
-    by = [F.col(f), F.col("frame_id")]
-    summed = with_suffix_sum(candidates, big, F.floor(F.col(f) * N_BINS), by, "tail")
-    chosen = summed.where(F.col("tail") < math.log(conf)).drop("tail")
-    return chosen if cap is None else chosen.orderBy(*by).limit(cap)
+    above = candidates.where(F.col(f) > 0)
+    chosen = candidates.where(F.col(f) <= 0).unionByName(low_end(above, F.ln(f), F.floor(-F.log1p(-F.col(f)) * N_BINS), [f, "frame_id"], math.log(conf)))
+    return chosen if cap is None else chosen.orderBy(f, "frame_id").limit(cap)
 
 
 def result_summary(topk: DataFrame) -> DataFrame:

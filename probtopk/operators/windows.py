@@ -23,9 +23,20 @@ def known_mixture(labelled: DataFrame) -> DataFrame:
 
 
 def complete_mixtures(labelled: DataFrame, mix: DataFrame, mirrors: DataFrame) -> DataFrame:
-    """A mixture for every frame: known scores, the proxy's for remaining frames, and the reference's for discarded ones."""
-    copies = mirrors.join(mix.withColumnRenamed("frame_id", "ref_id"), ["video_id", "ref_id"]).select("video_id", "frame_id", *MIX)
-    return known_mixture(labelled).unionByName(mix.select("video_id", "frame_id", *MIX)).unionByName(copies)
+    """A mixture for every frame: known scores, the proxy's for remaining frames, and for discarded ones that of their reference, whichever it has."""
+    own = known_mixture(labelled).unionByName(mix.select("video_id", "frame_id", *MIX))
+    copies = mirrors.join(own.withColumnRenamed("frame_id", "ref_id"), ["video_id", "ref_id"]).select("video_id", "frame_id", *MIX)
+    return own.unionByName(copies)
+
+
+def checked_coverage(full_mix: DataFrame, frames: DataFrame) -> DataFrame:
+    """`full_mix`, if it has one mixture for every frame and none besides; else an error. Both are counted by an order-free hash of their ids."""
+    signs = []
+    for df in (full_mix, frames):
+        signs.append(tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("video_id", "frame_id"))).first()))
+    if signs[0] != signs[1]:
+        raise ValueError(f"{signs[0][0]} mixtures for {signs[1][0]} frames, or other frames")
+    return full_mix
 
 
 def propagate_mirrors(cleaned: DataFrame, mirrors: DataFrame) -> DataFrame:
@@ -45,9 +56,19 @@ def window_truth(oracle: DataFrame, window: int) -> DataFrame:
     return oracle.groupBy("video_id", window_id(window).alias("window_id")).agg(round_half_even(F.avg("score")).alias("score"))
 
 
+def frames_of(windows: DataFrame, window: int) -> DataFrame:
+    """(video_id, window_id, frame_id) of every frame that a clip may have."""
+    clips = windows.select("video_id", "window_id").distinct()
+    return clips.withColumn("frame_id", F.explode(F.sequence(F.col("window_id") * window, (F.col("window_id") + 1) * window - 1)))
+
+
+def sampled_frames(windows: DataFrame, frames: DataFrame, window: int, n: int, seed: int = 0) -> DataFrame:
+    """(video_id, frame_id): n frames of each given clip, or all that it has."""
+    present = frames.select("video_id", "frame_id").join(frames_of(windows, window).select("video_id", "frame_id"), ["video_id", "frame_id"])
+    return sample_per_window(present, window, n, seed).select("video_id", "frame_id")
+
+
 def sampled_window_scores(windows: DataFrame, oracle: DataFrame, window: int, n: int, seed: int = 0) -> DataFrame:
     """(video_id, window_id, score): the rounded mean over n sampled frames of each given clip."""
-    clips = windows.select("video_id", "window_id").distinct()
-    frames = clips.withColumn("frame_id", F.explode(F.sequence(F.col("window_id") * window, (F.col("window_id") + 1) * window - 1)))
-    present = lookup_scores(frames, oracle)
+    present = lookup_scores(frames_of(windows, window), oracle)
     return window_truth(sample_per_window(present, window, n, seed), window)

@@ -6,9 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import with_rank
+
+#: Characters at the end of a name (an extension and some digits) that tell names of one bin apart.
+TAIL = 8
+
+
+def frame_numbers(names: DataFrame) -> DataFrame:
+    """(name, frame_id): names numbered from 0 by length, then name; bins of names that differ in their last TAIL characters only are counted first."""
+    binned = names.select("name", F.length("name").alias("__len"), F.expr(f"left(name, length(name) - {TAIL})").alias("__head"))
+    return with_rank(binned, ["__len", "__head"], ["name"], "frame_id").select("name", "frame_id")
+
 
 def read_frame_dir(spark: SparkSession, path: str) -> DataFrame:
     """(frame_id, name, content) of every jpg in a directory, numbered from 0 by length of name, then name.
@@ -17,9 +28,7 @@ def read_frame_dir(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(path)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    order = Window.orderBy(F.length("name"), "name")
-    numbers = named.select("name").withColumn("frame_id", (F.row_number().over(order) - 1).cast("long"))
-    return named.join(numbers, "name").select("frame_id", "name", "content")
+    return named.join(frame_numbers(named.select("name")), "name").select("frame_id", "name", "content")
 
 
 def cut(frames: DataFrame, offset: int = 0, length: int | None = None) -> DataFrame:
@@ -57,10 +66,29 @@ def decode_box_blobs(blobs: DataFrame) -> DataFrame:
     return blobs.select("frame_id", "blob").mapInPandas(run, BOX_SCHEMA)
 
 
+def encode_box_blobs(boxes: DataFrame) -> DataFrame:
+    """(frame_id, blob): the boxes of a frame in order of det_id as float32 values; the inverse of decode_box_blobs."""
+    names = ["x1", "y1", "x2", "y2", "obj_conf", "cls_conf", "cls"]
+    row = F.array(*[F.col(c).cast("float") for c in names])
+    listed = boxes.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("det_id", row.alias("row")))).alias("rows"))
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([np.concatenate(r).astype(np.float32).tobytes() for r in rows], dtype="object")
+
+    return listed.select("frame_id", run("rows.row").alias("blob"))
+
+
 def save_stage(df: DataFrame, folder: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def has_stage(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether a stage was written to its end; asked of the file system that the folder lies in."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def load_stage(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
 

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch, written
+
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
 #: The white space that separates words, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
@@ -19,20 +26,17 @@ SPANS = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: `spark.checkpoint.dir`, or the context's checkpoint folder.
-
-    A session without one is refused, as no local folder would do on a cluster.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end; what is to stay has to be written outside."""
+    folder = scratch(spark, "work")
+    before = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,9 +45,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage so that what follows does not repeat the work, and survives the
     loss of executors.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = _FOLDER.get()
+    return written(df, f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch(df.sparkSession, name))
 
 
 def lookup(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:

@@ -21,7 +21,8 @@ Exact, in steps that skip work by what is known of related sets:
    What two sets share with one leader bounds what they share with each
    other: at most min(o_x, o_y) + min(n_x - o_x, n_y - o_y). (At least
    o_x + o_y - n_L, but that reaches the threshold only where both link with the leader.)
-6. Candidates of different components are verified with whole sets.
+6. Candidates of different components are verified: by their prefixes, whose common part and
+   what is behind them bound the intersection, then with whole sets.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ BUCKET_ENTRIES = 100_000
 #: Entries of a block, and bands of a factor of 2 in size and of a whole set in position.
 BLOCK, SIZE_BANDS, POSITION_BANDS = 64, 8, 32
 #: Leaders are taken while the open pairs are more than OPEN_PAIRS a list entry and a round leaves at most SHRINK of them.
-OPEN_PAIRS, SHRINK = 8, 0.75
+OPEN_PAIRS, SHRINK = 32, 0.75
 #: Rows of an Arrow batch; rows carry the hashes of a text's words.
 BATCH_ROWS = 1000
 
@@ -86,10 +87,32 @@ def word_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), hashed.alias("words"))
 
 
+SET = "node long, set array<long>"
+
+
+def ordered(s: np.ndarray, often: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set in the order of prefixes, and how many of its shingles are not frequent."""
+    at = _at(s, often)
+    behind = at[at >= 0]
+    return np.concatenate([s[at < 0], often[behind[np.argsort(places[behind])]]]), len(s) - len(behind)
+
+
+def _sets(held):
+    """Nodes and their sets, in the order of prefixes if that is given."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [s for s in map(shingle_set, pdf["words"]) if len(s)]
+            nodes = pd.Series([node_of(s) for s in sets], dtype="int64")
+            yield pd.DataFrame({"node": nodes, "set": pd.Series([(s if held is None else ordered(s, *held.value)[0]).view(np.int64) for s in sets], dtype="object")})
+
+    return run
+
+
 def sample_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, set) of the distinct nodes of one row in SAMPLE_EVERY."""
     drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(SAMPLE_EVERY)) == 0)
-    return word_hashes(drawn, id_col, text_col).mapInPandas(_sets, "node long, set array<long>").dropDuplicates(["node"])
+    return word_hashes(drawn, id_col, text_col).mapInPandas(_sets(None), SET).dropDuplicates(["node"])
 
 
 def frequent(sampled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +160,10 @@ def _entries(held, n_buckets: int):
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                at = _at(s, often)
                 k = prefix_length(len(s))
-                early = s[at < 0][:k]
-                behind = at[at >= 0]
-                behind = behind[np.argsort(places[behind])][: k - len(early)]
-                hs += [early, often[behind]]
-                late += [np.zeros(len(early), bool), np.ones(len(behind), bool)]
+                s, n_early = ordered(s, often, places)
+                hs.append(s[:k])
+                late.append(np.arange(k) >= n_early)
                 meta.append((node, len(s), k))
             yield pd.DataFrame(rows, columns=["bucket", "h", "node", "n", "pos"], dtype="int64")
             if not hs:
@@ -219,32 +239,39 @@ def _lists(n_buckets: int):
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        sets = [s for s in map(shingle_set, pdf["words"]) if len(s)]
-        yield pd.DataFrame({"node": pd.Series([node_of(s) for s in sets], dtype="int64"), "set": pd.Series([s.view(np.int64) for s in sets], dtype="object")})
-
-
 class _Corpus:
-    """The texts, and the nodes with the least id of each."""
+    """The texts, the nodes with the least id of each, and what orders their sets."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame):
-        self.docs, self.id_col, self.text_col, self.nodes = docs, id_col, text_col, nodes
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, held):
+        self.docs, self.id_col, self.text_col, self.nodes, self.held = docs, id_col, text_col, nodes, held
 
-    def measured(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, n_a, n_b) of nodes with o, the size of their intersection; only texts of these nodes are read into sets."""
-        pairs = common.materialize(pairs, "pairs")
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(node, set) of the nodes in pairs; only texts of these nodes are read into sets."""
         wanted = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        ids = common.materialize(common.lookup(self.nodes.where("id IS NOT NULL"), wanted, "node", "left_semi").select("node", F.col("id").alias(self.id_col)), "wanted-ids")
-        named = common.lookup(self.docs, ids.select(self.id_col).distinct(), self.id_col, "left_semi")
+        ids = common.lookup(self.nodes.where("id IS NOT NULL"), wanted, "node", "left_semi").select(F.col("id").alias(self.id_col)).distinct()
+        named = common.lookup(self.docs, common.materialize(ids, "wanted-ids"), self.id_col, "left_semi")
         read = word_hashes(named.unionByName(self.docs.where(F.col(self.id_col).isNull())), self.id_col, self.text_col)
         # An id may stand at several texts: only the wanted nodes stay.
-        sets = common.lookup(read.mapInPandas(_sets, "node long, set array<long>"), wanted, "node", "left_semi").dropDuplicates(["node"])
-        sets = common.materialize(sets, "sets")
-        left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-        both = pairs.join(left, "a").join(right, "b")
-        return common.materialize(both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("o")), "overlaps")
+        sets = common.lookup(read.mapInPandas(_sets(self.held), SET), wanted, "node", "left_semi").dropDuplicates(["node"])
+        return common.materialize(sets, "sets")
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, n_a, n_b) of nodes that may link with o, the size of their intersection.
+
+        Prefixes are compared first, as they are short: what is shared beyond them is bounded by what is behind them.
+        """
+        pairs = common.materialize(pairs, "pairs")
+        sets = self.sets(pairs)
+        head = sets.select("node", F.slice("set", F.lit(1), (F.size("set") - F.ceil(F.size("set") * PERCENT / 100) + 1).cast("int")).alias("set"))
+        most = F.col("o") + F.greatest(*[F.ceil(F.col(n) * PERCENT / 100) - 1 for n in ("n_a", "n_b")])
+        may = common.materialize(_overlaps(pairs, head).where(_reaches(most, "n_a", "n_b")).drop("o"), "may-link")
+        return common.materialize(_overlaps(may, sets), "overlaps")
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left, right = (sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")) for side in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("o"))
 
 
 def links(overlaps: DataFrame) -> DataFrame:
@@ -349,8 +376,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     part as others do; a component of such rows only is known by a hash of its sets, and a row without id and words keeps null.
     An empty table gives no rows. Columns other than id and text are ignored.
     """
-    common.bound_batches(docs.sparkSession, BATCH_ROWS)
-    return _classes(docs.select(id_col, text_col), id_col, text_col)
+    spark = docs.sparkSession
+    common.bound_batches(spark, BATCH_ROWS)
+    path = common.scratch(spark, "similarity-classes")
+    with common.temporary(spark):
+        return common.written(_classes(docs.select(id_col, text_col), id_col, text_col), path)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -363,7 +393,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     listed = common.materialize(entries.groupBy("bucket").applyInPandas(_lists(n_buckets), LISTED), "lists")
     rows = listed.where("kind = 2").select(F.when(F.col("pos") == 0, F.col("h")).alias("id"), F.col("n_a").alias("n"), F.when(F.col("n_a") > 0, F.col("a")).alias("node"))
     nodes = common.materialize(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id")), "nodes")
-    corpus = _Corpus(docs, id_col, text_col, nodes)
+    corpus = _Corpus(docs, id_col, text_col, nodes, held)
 
     # Answers of leaders, and with them the components.
     long = listed.where("kind = 1").select("h", F.col("a").alias("node"), F.col("n_a").alias("n"), "pos")

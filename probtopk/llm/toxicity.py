@@ -152,7 +152,11 @@ def _scorer(held):
 
 
 def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, sentences) of every whole text; null and empty texts score 0, repeated rows each get a row."""
+    """(id, score, sentences) of every whole text, very long ones too.
+
+    Null and empty texts score 0, repeated rows and null ids each get a row, an empty table gives none; other columns are ignored.
+    """
+    common.bound_batches(docs.sparkSession, BATCH_ROWS)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInPandas(_scorer(held), SCORE_SCHEMA).withColumnRenamed("id", id_col)
@@ -165,8 +169,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def keep_clean(docs: DataFrame, model: dict[str, float], text_col: str = "text") -> DataFrame:
-    """The rows and columns of `docs` whose text scores below 0.5; written to the shared folder, as that bounds the batches."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows and columns of `docs` whose whole text scores below 0.5.
+
+    Null and empty texts score 0 and stay, very long texts are read whole, repeated rows and null ids are judged by their
+    text alone, an empty table gives no rows. A score of exactly 0.5 goes.
+    """
+    common.bound_batches(docs.sparkSession, BATCH_ROWS)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     @F.pandas_udf("double")
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -174,11 +183,11 @@ def keep_clean(docs: DataFrame, model: dict[str, float], text_col: str = "text")
         for batch in texts:
             yield pd.Series([score_text(weights, t)[0] for t in batch], dtype="float64")
 
-    with common.arrow_batches(docs.sparkSession, BATCH_ROWS):
-        return common.materialize(docs.where(scores(F.col(text_col)) < 0.5), "clean")
+    return docs.where(scores(F.col(text_col)) < 0.5)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. Null and empty texts score 0; a null id is not held out; equal texts have equal scores; 0.5 counts as toxic."""
     docs = common.documents(spark, sf_dir)
     scored = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scored.select(

@@ -56,11 +56,11 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ma
         "weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % n + 1).cast("int")).cast("double")
     )
     capped = listed.withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", "place")
-    up_to, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
+    up_to = Window.orderBy("ratio", "place").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     budget = F.least(F.sum("source_size").over(everything) * share, F.sum("cap").over(everything))
-    level = (budget - F.coalesce(F.sum("cap").over(up_to), F.lit(0.0))) / F.sum("weight").over(after)
+    before = lambda c: F.coalesce(F.sum(c).over(up_to), F.lit(0.0))
+    level = (budget - before("cap")) / (F.sum("weight").over(everything) - before("weight"))
     # The level is the one of the first source that does not reach its cap.
     first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))).over(everything)
     levels = capped.withColumn("level", level).withColumn("level", first["level"])
@@ -68,15 +68,16 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ma
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weight_col: str = "weight", **kw) -> DataFrame:
-    """Rows (id, source, size, source_size, target, taken) of a mix.
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weight_col: str = "weight", keep: tuple[str, ...] = (), **kw) -> DataFrame:
+    """Rows (id, source, size, source_size, target, taken, epochs) of a mix, and the columns to keep.
 
     `docs` has an id, a source, a size in words and a positive weight. Null
-    sources are one source. Equal keys are ordered by id and size; rows that repeat
-    an id are each a document. An empty table gives no rows.
+    sources are one source, null ids share one random number. Equal keys are ordered by id and size; rows that repeat
+    an id are each a document; one without words takes nothing; a very long one may be taken in part.
+    An empty table gives no rows. Other columns are ignored.
     """
     keyed = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"), es_key(id_col, weight_col).alias("key")
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"), es_key(id_col, weight_col).alias("key"), *keep
     ).withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * N_BUCKETS).cast("int"))
     keyed = common.materialize(keyed, "mix-keys")
     buckets = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -96,21 +97,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     part = F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("start") - F.col("within")))
     return joined.select(
         F.col("id").alias(id_col), ordered["source"].alias("source"), "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), F.col("epochs"),
+        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), F.col("epochs"), *keep,
     )
 
 
 def with_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, size, weight): words of the text and the weight of the quality label."""
+    """(doc_id, source, size, weight, th): words of the text, the weight of the quality label, and the text's hash."""
     good, bad, none = map(F.lit, QUALITY_WEIGHTS)
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sized = docs.select("doc_id", "source", n_words("text").alias("size"))
+    sized = docs.select("doc_id", "source", n_words("text").alias("size"), F.xxhash64("text").alias("th"))
     return sized.join(marks, "doc_id", "left").select(
-        "doc_id", "source", "size", F.when(F.col("quality") == 1, good).when(F.col("quality") == 0, bad).otherwise(none).alias("weight")
+        "doc_id", "source", "size", F.when(F.col("quality") == 1, good).when(F.col("quality") == 0, bad).otherwise(none).alias("weight"), "th"
     )
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents. A null or empty text has no words and nothing is taken of it; the null source comes last; repeated rows are each a document."""
     docs = common.documents(spark, sf_dir)
     mixed = mix(with_weights(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
@@ -148,19 +150,19 @@ def mixed_copies(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A row comes once per complete epoch; a row that is taken in part comes with
     the first words that are taken, and a row of which nothing is taken goes.
-    Rows without words take no part in the count of words and stay once.
+    Rows without words, null and empty texts too, take no part in the count of words and stay once.
+    Null ids and sources are kept, an empty table gives no rows, other columns are handed on.
     """
-    plan = mix(with_weights(docs, labels)).select(
-        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("source").alias("__source")
+    plan = mix(with_weights(docs, labels), keep=("th",)).select(
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("source").alias("__source")
     )
-    # Rows that repeat an id, a source and a size stand for each other: the plan's rows are numbered against the table's.
-    keyed = docs.withColumn("__size", n_words("text"))
-    turn = Window.partitionBy("__id", "__source", "__size")
-    plan = plan.withColumn("__turn", F.row_number().over(turn.orderBy("__taken")))
-    own = Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))
-    keyed = keyed.withColumn("__turn", F.row_number().over(own))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (keyed["__size"] == plan["__size"]) & (keyed["__turn"] == plan["__turn"])
-    joined = keyed.join(plan, on).select(*docs.columns, keyed["__size"].alias("__n"), "__taken")
+    # Rows that repeat an id, a source and a text stand for each other: the plan's rows are numbered against the table's.
+    key = ["__id", "__source", "__th"]
+    plan = plan.withColumn("__turn", F.row_number().over(Window.partitionBy(*key).orderBy("__taken")))
+    keyed = docs.withColumns({"__row_th": F.xxhash64("text"), "__n": n_words("text")})
+    keyed = keyed.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "source", "__row_th").orderBy("__n")))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__row_th") == F.col("__th")) & (F.col("__row") == F.col("__turn"))
+    joined = keyed.join(plan, on).select(*docs.columns, "__n", "__taken")
     whole = F.when(F.col("__n") == 0, 1).otherwise(F.floor(F.col("__taken") / F.col("__n"))).cast("int")
     part = F.when(F.col("__n") == 0, 0).otherwise(F.col("__taken") % F.col("__n")).cast("int")
     takes = F.concat(F.array_repeat(F.col("__n").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))

@@ -3,8 +3,8 @@
 The model file, a protocol buffer, is parsed here; from its pieces, scores and
 normaliser settings an equal pipeline of the tokenizers library is built:
 normaliser, metaspace marker, the unigram model with its scores or the byte-pair
-model with merges ordered by score, byte fallback, and the decoder. Texts are encoded in batches by the
-library's threads. Parity with the reference runtime and decoding are checked on all rows.
+model with merges ordered by score, byte fallback, and the decoder. Whole texts are encoded and decoded in batches by the
+library's threads. Parity with the reference runtime and the round trip are checked on all rows.
 
 The runtime and the file are both public; the file's path is a parameter.
 """
@@ -13,11 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,11 +27,9 @@ from . import common
 
 MODEL = os.environ.get("PROBTOPK_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
-BATCH_CHARS = 1_000_000
-#: A word of a normalised text with the markers before it.
-WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
-#: Distinct words whose ids a worker keeps.
-CACHE = 200_000
+#: Code points that are encoded together, and rows of an Arrow batch.
+BATCH_CHARS, BATCH_ROWS = 200_000, 500
+BATCH_BYTES = 2 << 20
 
 # Fixed values of the model's protocol buffer: field numbers and piece types.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -100,7 +96,7 @@ def parse_model(data: bytes) -> dict:
 
 
 def words_apart(parsed: dict) -> bool:
-    """Whether no piece goes over the start of a word, so that words may be encoded one by one."""
+    """Whether no piece goes over the start of a word, so that the library may split texts there and keep the ids of words."""
     return parsed["escape"] and not any(MARK in p.lstrip(MARK) for p, _, kind in parsed["pieces"] if kind == NORMAL)
 
 
@@ -136,7 +132,7 @@ def build(parsed: dict):
         tokenizer = Tokenizer(model)
     tokenizer.normalizer = normalizers.Sequence(steps)
     if words_apart(parsed):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+"), "merged_with_next")
     strip = [decoders.Strip(" ", 1, 0)] if parsed["dummy_prefix"] else []
     tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *strip])
     return tokenizer
@@ -165,42 +161,17 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-class _Encoder:
-    """Encodes batches. Where words stand apart, each distinct word goes through the library once and its ids are kept."""
-
-    def __init__(self, data: bytes):
-        self.tokenizer, parsed = _built(data), parse_model(data)
-        self.apart, self.ids, self.split = words_apart(parsed), {}, re.compile(WORD)
-        self.plain = not parsed["charsmap"] and not parsed["extra_spaces"] and parsed["dummy_prefix"]
-        if self.apart:
-            self.words = build(parsed)
-            self.words.normalizer = normalizers.Sequence([])
-
-    def normal(self, text: str) -> str:
-        if self.plain:  # what the normaliser does then, without its bookkeeping
-            return MARK + text.replace(" ", MARK) if text else text
-        return self.tokenizer.normalizer.normalize_str(text)
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        if not self.apart:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [self.split.findall(self.normal(t)) for t in texts]
-        if len(self.ids) > CACHE:  # the words that are frequent are among those of this batch
-            self.ids = {w: self.ids[w] for words in split for w in words if w in self.ids}
-        new = list({w for words in split for w in words if w not in self.ids})
-        self.ids.update(zip(new, (e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.ids.__getitem__, words))) for words in split]
-
-
 @lru_cache(1)
-def _encoder(data: bytes) -> _Encoder:
-    return _Encoder(data)
+def _encoder(data: bytes):
+    """Encodes a batch of whole texts by the library's threads."""
+    tokenizer = _built(data)
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encoded(data: bytes, texts: list[str]) -> list[list[int]]:
-    encoder, out = _encoder(data), []
+    encode, out = _encoder(data), []
     for a, b in _batches(texts):
-        out += encoder(texts[a:b])
+        out += encode(texts[a:b])
     return out
 
 
@@ -261,9 +232,11 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     round_trip says that decoding gives the text again (it does for models
     whose normaliser keeps texts as they are); parity that the reference runtime
     gives the same ids, which is checked on every row; it is null for a null id,
-    unless the ids differ. Null and empty texts have no tokens. Repeated rows each get a row; other columns are ignored.
+    unless the ids differ. Null and empty texts have no tokens, very long ones are encoded whole. Repeated rows each get a
+    row, an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
+    common.bound_batches(spark, BATCH_ROWS, BATCH_BYTES)
     held = spark.sparkContext.broadcast(read_model(spark, model))  # the model file, a few MB
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInPandas(_coder(held, keep_ids), ENCODED).withColumnRenamed("id", id_col)
@@ -283,4 +256,5 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataF
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of all documents; null and empty texts have none of either, repeated rows are coded each."""
     return encode(common.documents(spark, sf_dir), keep_ids=False).drop("ids")

@@ -1,13 +1,14 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id, so a shard holds a run of ids. A task
-writes its records as gzip members, one a record, rolls to the next file when the compressed size
+Records are range-sorted by page id, then by payload. The borders of shards come
+from an exact histogram of bytes over that order, never from a sample, and are stored beside the
+manifest. A task writes its records as gzip members, one a record, rolls to the next file when the compressed size
 is reached, and regenerates every header and digest from the payload. Files are
 written under temporary names of the attempt and renamed when complete; the
 manifest, a Parquet table written by one Spark job after the last file, commits
 them. Readers take only files of the manifest, so leftovers of lost executors
-are never read. Times and record ids derive from parameters and page ids, so
-reruns give the same bytes.
+are never read. Times and record ids derive from parameters, page ids and payloads, so
+reruns give the same files with the same bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,6 +34,12 @@ DATE = "2024-01-01T00:00:00Z"
 #: Uncompressed bytes of html per shard that the number of shards aims at.
 SHARD_BYTES = 64 << 20
 READ_STEP = 8192
+#: Rows of an Arrow batch; rows carry whole pages.
+BATCH_ROWS = 500
+#: A place in the order is a string of hexadecimal digits: 1 (0 without an id), 16 of the id, 16 of the payload's digest.
+PLACE = 33
+#: A range of places that holds more than 1 / FINE of a shard's bytes is cut into sixteen.
+FINE = 4
 
 MANIFEST_SCHEMA = "file string, shard int, n_records long, bytes long, sha1 string, first_id long, last_id long"
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -42,21 +49,23 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, payload: bytes = b"") -> str:
+    """From the page id, or for a page without one from its payload."""
+    name = f"page:{page_id}" if page_id is not None else f"payload:{base32_sha1(payload)}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def render(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record before compression; a revisit has no block."""
+def render(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+    """One record before compression; a revisit has no block, a page without id no header for it."""
     block = payload if refers_to is None else b""
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", record_id(page_id, payload)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url) if url is not None else None),
         ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"),
         ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
-        ("WARC-Page-ID", str(page_id)),
+        ("WARC-Page-ID", None if page_id is None else str(page_id)),
         ("WARC-Payload-Length", str(len(payload))),
     ]
     if refers_to is not None:
@@ -78,7 +87,7 @@ class _Roller:
         self.shard, self.attempt, self.roll_bytes = shard, attempt, roll_bytes
         self.seq, self.out = 0, None
 
-    def put(self, page_id: int, record: bytes) -> tuple | None:
+    def put(self, page_id: int | None, record: bytes) -> tuple | None:
         if self.out is None:
             self.name = f"part-{self.shard:05d}-{self.seq:05d}.warc.gz"
             self.temp = f"{self.folder}/.tmp-{self.attempt}-{self.name}"
@@ -100,48 +109,99 @@ class _Roller:
 
 def _writer(folder: str, roll_bytes: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get()
-        roller, done, ref = _Roller(folder, task.partitionId(), task.taskAttemptId(), roll_bytes), [], {}
+        attempt, roller, done, of, refers_to = TaskContext.get().taskAttemptId(), None, [], None, None
         for pdf in batches:
-            for page_id, is_page, refers, url, html in zip(pdf["page_id"], pdf["is_page"], pdf["refers_to"], pdf["url"], pdf["html"], strict=True):
-                if not is_page:  # what was decided for a page comes just before it
-                    ref = {page_id: None if pd.isna(refers) else int(refers)}
+            for shard, page_id, print_, is_page, refers, url, html in zip(*[pdf[c] for c in ("shard", "page_id", "print", "is_page", "refers_to", "url", "html")], strict=True):
+                page_id = None if pd.isna(page_id) else int(page_id)
+                if roller is None or roller.shard != shard:
+                    done.append(roller and roller.close())
+                    roller = _Roller(folder, int(shard), attempt, roll_bytes)
+                if of != (page_id, print_):
+                    of, refers_to = (page_id, print_), None
+                if not is_page:  # what was decided for a page and payload comes just before its records
+                    refers_to = int(refers)
                     continue
-                refers_to = ref.get(page_id)
-                done.append(roller.put(int(page_id), render(int(page_id), url, (html or "").encode(), refers_to)))
-        done.append(roller.close())
-        yield pd.DataFrame([x for x in done if x], columns=["file", "shard", "n_records", "bytes", "sha1", "first_id", "last_id"])
+                done.append(roller.put(page_id, render(page_id, url, (html or "").encode(), refers_to)))
+        done.append(roller and roller.close())
+        frame = pd.DataFrame([x for x in done if x], columns=[x.split(" ")[0] for x in MANIFEST_SCHEMA.split(", ")])
+        yield frame.astype({"first_id": "Int64", "last_id": "Int64"})
 
     return write
 
 
-def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to): pages whose payload a larger page id has, with the largest."""
+def _located(pages: DataFrame) -> DataFrame:
+    """Pages with print, the payload's sha256, and place, a string that orders pages by id (null first), then print."""
     html = F.coalesce("html", F.lit(""))
-    prints = pages.select("page_id", F.unhex(F.sha2(html, 256)).alias("print"), F.octet_length(html).alias("n")).where(F.col("n") >= min_bytes)
-    largest = prints.groupBy("print").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return prints.join(largest, "print").where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    digits = F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # unsigned, in the order of the ids
+    print_ = F.sha2(html, 256)
+    place = F.concat(F.when(F.col("page_id").isNull(), F.lit("0" * 17)).otherwise(F.concat(F.lit("1"), digits)), F.upper(F.substring(print_, 1, 16)))
+    return pages.select("page_id", "url", "html", F.octet_length(html).cast("long").alias("n"), F.unhex(print_).alias("print"), place.alias("place"))
+
+
+def decide(facts: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, print, place, refers_to): pages whose payload a larger page id has, with the largest; no id is smaller than any."""
+    prints = facts.where(F.col("n") >= min_bytes)
+    largest = prints.groupBy("print").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND refers_to IS NOT NULL")
+    found = common.lookup(prints, common.materialize(largest.drop("copies"), "largest-ids"), "print")
+    return found.where("page_id IS NULL OR page_id < refers_to").select("page_id", "print", "place", "refers_to").distinct()
+
+
+def shard_ranges(facts: DataFrame, n_shards: int, total: int) -> DataFrame:
+    """(prefix, shard): ranges of places that hold at most 1 / FINE of a shard, where that can be, dealt in order so that shards hold nearly equal bytes.
+
+    Bytes are counted by the first digits of the place; only heavy ranges are counted by one digit
+    more. There are at most some 64 ranges a shard, and only these are ordered in one task.
+    """
+    most = total / n_shards / FINE
+    open_, ranges, width = facts.select("place", F.greatest("n", F.lit(1)).alias("n")), None, 2
+    ends = open_.agg(F.min("place"), F.max("place")).first()
+    if ends[0] is not None:  # digits that all places share tell nothing
+        width += next((i for i, (x, y) in enumerate(zip(*ends, strict=True)) if x != y), PLACE - 2)
+    while True:
+        width = min(width, PLACE)
+        bins = common.materialize(open_.groupBy(F.substring("place", 1, width).alias("prefix")).agg(F.sum("n").alias("n")), "ranges")
+        heavy = bins.where(F.col("n") > most) if width < PLACE else bins.where("false")
+        light = bins.where(F.col("n") <= most) if width < PLACE else bins
+        ranges = light if ranges is None else ranges.unionByName(light)
+        if heavy.isEmpty():
+            break
+        open_ = common.lookup(open_.withColumn("prefix", F.substring("place", 1, width)), heavy.select("prefix"), "prefix", "left_semi").drop("prefix")
+        width += 1
+    before = F.coalesce(F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shard = F.least(F.floor(before * F.lit(n_shards) / F.lit(max(total, 1))), F.lit(n_shards - 1)).cast("int")
+    return ranges.select("prefix", shard.alias("shard"))
 
 
 def write_warc(pages: DataFrame, folder: str, n_shards: int | None = None, roll_bytes: int = ROLL_BYTES, min_bytes: int = 0) -> DataFrame:
     """Write pages (page_id, url, html) to `folder`; returns the committed manifest.
 
-    Null html is an empty payload, a null url leaves out its header, rows
-    without a page id can't be named and are refused, rows that repeat a page id get a
-    record each, an empty table gives a manifest without files.
+    Null html is an empty payload, a null url leaves out its header. A row
+    without a page id gets a record without that header, named by its payload; it counts as smaller than any id, and refers to a page
+    that has one. Rows that repeat a page id get a record each, decided by their own payloads; repeated rows too. Very long
+    pages are one record. An empty table gives a manifest without files. Other columns are ignored.
     """
     spark = pages.sparkSession
-    if not n_shards:
-        total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.count_if(F.col("page_id").isNull())).first()
-        if total[1]:
-            raise ValueError(f"{total[1]} pages have no page_id")
-        n_shards = max(1, -(-total[0] // SHARD_BYTES), 4)
-    decided = decide(pages, min_bytes).select("page_id", F.lit(False).alias("is_page"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    records = pages.select("page_id", F.lit(True).alias("is_page"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
-    ranged = records.unionByName(decided).repartitionByRange(n_shards, "page_id").sortWithinPartitions("page_id", "is_page", F.xxhash64("url", "html"))
-    place, path = fs.FileSystem.from_uri(folder)
-    place.create_dir(path)
-    ranged.mapInPandas(_writer(folder, roll_bytes), MANIFEST_SCHEMA).write.parquet(f"{folder}/_manifest")
+    common.bound_batches(spark, BATCH_ROWS)
+    with common.temporary(spark):
+        located = _located(pages)
+        facts = common.materialize(located.drop("url", "html"), "page-facts")
+        total = facts.agg(F.coalesce(F.sum(F.greatest("n", F.lit(1))), F.lit(0))).first()[0]
+        n_shards = n_shards or max(-(-total // SHARD_BYTES), 4)
+        shard_ranges(facts, n_shards, total).coalesce(1).write.parquet(f"{folder}/_shards")
+        ranges = spark.read.schema("prefix string, shard int").parquet(f"{folder}/_shards")
+        none = F.lit(None).cast("string")
+        decided = decide(facts, min_bytes).select("page_id", "print", "place", F.lit(False).alias("is_page"), "refers_to", none.alias("url"), none.alias("html"))
+        records = located.select("page_id", "print", "place", F.lit(True).alias("is_page"), F.lit(None).cast("long").alias("refers_to"), "url", "html").unionByName(decided)
+        widths = [r[0] for r in ranges.select(F.length("prefix")).distinct().collect()]  # at most PLACE
+        for w in widths:
+            own = common.materialize(ranges.where(F.length("prefix") == w).select(F.col("prefix").alias(f"p{w}"), F.col("shard").alias(f"s{w}")), "shards")
+            records = common.lookup(records.withColumn(f"p{w}", F.substring("place", 1, w)), own, f"p{w}", "left")
+        shard = F.coalesce(*[f"s{w}" for w in widths]) if widths else F.lit(0)
+        dealt = records.select(shard.alias("shard"), "page_id", "place", "print", "is_page", "refers_to", "url", "html").repartitionById(n_shards, F.col("shard"))
+        ordered = dealt.sortWithinPartitions("place", "print", "is_page", F.xxhash64("url"), "url")
+        place, path = fs.FileSystem.from_uri(folder)
+        place.create_dir(path)
+        ordered.mapInPandas(_writer(folder, roll_bytes), MANIFEST_SCHEMA).write.parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/_manifest")
 
 
@@ -165,10 +225,11 @@ def parse(data: bytes) -> Iterator[tuple]:
         block = rest[: int(fields["Content-Length"])]
         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
         if f"sha1:{base32_sha1(block)}" != fields["WARC-Block-Digest"]:
-            raise ValueError(f"block digest of page {fields['WARC-Page-ID']} differs")
+            raise ValueError(f"block digest of {fields['WARC-Record-ID']} differs")
         kind, refers = fields["WARC-Type"], fields.get("WARC-Refers-To-Page-ID")
         n = len(block) if kind == "response" else int(fields["WARC-Payload-Length"])
-        yield int(fields["WARC-Page-ID"]), fields.get("WARC-Target-URI"), n, digest, kind, refers and int(refers), block if kind == "response" else None
+        page_id = fields.get("WARC-Page-ID")
+        yield page_id and int(page_id), fields.get("WARC-Target-URI"), n, digest, kind, refers and int(refers), block if kind == "response" else None
 
 
 def _read(keep_payload: bool):
@@ -189,11 +250,12 @@ def _read(keep_payload: bool):
 
 
 def _frame(rows: list, names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64"})
+    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
 def read_warc(spark: SparkSession, folder: str, keep_payload: bool = True) -> DataFrame:
-    """Records of the files that the manifest commits; files are read one at a time a task."""
+    """Records of the files that the manifest commits; files are read one at a time a task. A record without a page id has null."""
+    common.bound_batches(spark, 1)  # a row is a whole file
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/_manifest")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     named = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
@@ -202,6 +264,7 @@ def read_warc(spark: SparkSession, folder: str, keep_payload: bool = True) -> Da
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages, reads the archives back. Null html is an empty payload, a null id stays null, repeated rows have a record each."""
     folder = common.scratch(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_warc(spark, folder, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

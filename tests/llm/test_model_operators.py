@@ -222,8 +222,39 @@ def test_warc_of_repeated_rows_small_payloads_and_empty_tables(spark):
     empty = common.scratch(spark, "warc")
     assert warc.write_warc(spark.createDataFrame([], PAGES), empty).count() == 0
     assert warc.read_warc(spark, empty).count() == 0
-    with pytest.raises(ValueError):
-        written(spark, [(None, "a", "b")])
+
+
+@pytest.mark.parametrize("n_shards", [None, 3])
+def test_warc_of_repeated_ids_with_other_payloads(spark, n_shards):
+    folder, manifest = written(spark, [(1, "a", "same"), (1, "b", "UNIQUE PAYLOAD"), (9, "c", "same"), (-5, "d", "same")], n_shards=n_shards)
+    got = warc.read_warc(spark, folder).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, bytes(r["payload"] or b"")) for r in got) == [
+        (-5, "revisit", 9, b""), (1, "response", 0, b"UNIQUE PAYLOAD"), (1, "revisit", 9, b""), (9, "response", 0, b"same")]
+
+
+@pytest.mark.parametrize("n_shards", [None, 3])
+def test_warc_keeps_pages_without_id(spark, n_shards):
+    folder, manifest = written(spark, [(None, "a", "same"), (None, None, None), (4, "b", "same"), (None, "c", "own"), (None, "d", "own")], n_shards=n_shards)
+    got = warc.read_warc(spark, folder).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0, bytes(r["payload"] or b"")) for r in got) == [
+        (0, "response", 0, b""), (0, "response", 0, b"own"), (0, "response", 0, b"own"), (0, "revisit", 4, b""), (4, "response", 0, b"same")]
+    assert sum(r["n_records"] for r in manifest.collect()) == 5
+
+
+def test_warc_borders_are_the_same_in_every_run(spark):
+    """As many rows as Spark's own range partitioner would sample; ids in clusters, one of them with large pages."""
+    from pyspark.sql import functions as F
+
+    ids = F.col("id") * F.when(F.col("id") < 20_000, 1).otherwise(1_000_003)
+    rows = spark.range(40_000).select(ids.alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.expr("repeat(concat('p', id), cast(if(id between 500 and 900, 400, id % 7) as int))").alias("html"))
+    made = []
+    for df in (rows, rows.repartition(7)):
+        folder = common.scratch(spark, "warc")
+        made.append(warc.write_warc(df, folder, n_shards=6).orderBy("file").collect())
+    assert made[0] == made[1] and sum(r["n_records"] for r in made[0]) == 40_000 and len(made[0]) == 6
+    ranges = [(r["first_id"], r["last_id"]) for r in made[0]]
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert max(r["n_records"] for r in made[0]) < 40_000 / 2
 
 
 def test_cut_off_records_are_refused():

@@ -20,7 +20,7 @@ WORD = rf"[^{WS}]+"
 #: The same characters, spelled out for trim functions.
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: Rows of a table that may be broadcast, some 20 bytes each, and bytes of an Arrow batch.
-BROADCAST_ROWS, BATCH_BYTES = 1_000_000, 4 << 20
+BROADCAST_ROWS, BATCH_BYTES = 500_000, 4 << 20
 #: Ranges of hashes that are counted to cut a sample.
 SPANS = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

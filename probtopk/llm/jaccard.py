@@ -397,7 +397,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     # Answers of leaders, and with them the components.
     long = listed.where("kind = 1").select("h", F.col("a").alias("node"), F.col("n_a").alias("n"), "pos")
-    in_long = common.materialize(long.groupBy("node").agg(F.count(F.lit(1)).alias("long")), "in-long-lists")
+    in_long = common.materialize(long.groupBy("node").agg(F.collect_list("h").alias("long")), "in-long-lists")  # at most a prefix each
     known = answers = None
     entries_open, pairs_open = _open_pairs(_placed(long, known))
     while pairs_open > OPEN_PAIRS * entries_open:
@@ -414,10 +414,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     from_long = _rest(long, known, answers)
     short = listed.where("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.sum("pos").alias("c"), F.max("h").alias("first")).where("first = 1")
     after = lambda n: (PERCENT * F.col(n) + 99 - (PERCENT * F.col(n) + 99) % 100) / 100 - 1  # noqa: E731  entries behind the prefix
-    # Shared entries of long lists are not counted: as many as either set has may be added.
+    # A short pair may share long lists as well.
     for side in ("a", "b"):
-        short = common.lookup(short, in_long.toDF(side, f"long_{side}"), side, "left").withColumn(f"long_{side}", F.coalesce(f"long_{side}", F.lit(0)))
-    most = F.col("c") + F.least("long_a", "long_b") + F.greatest(after("n_a"), after("n_b"))
+        short = short.join(in_long.toDF(side, f"long_{side}"), side, "left")
+    shared = F.coalesce(F.size(F.array_intersect("long_a", "long_b")), F.lit(0))
+    most = F.col("c") + shared + F.greatest(after("n_a"), after("n_b"))
     pairs = from_long.unionByName(short.where(_reaches(most, "n_a", "n_b")).select("a", "b", "n_a", "n_b")).distinct()
     if known is not None:
         for side in ("a", "b"):

@@ -150,7 +150,7 @@ def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_docs: int = M
 def with_kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """All rows and columns of `docs` and `__lines`, `__kept` (arrays of lines).
 
-    Null or empty text is one empty line, which has no key and stays. Rows that
+    Null or empty text is one empty line, which has no key and stays; very long texts are split whole. Rows that
     repeat an id or a text count as documents of their own. An empty table gives no rows.
     """
     drops = repeated_keys(docs, id_col, text_col, **kw).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop"))
@@ -168,6 +168,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines kept of all documents. A null or empty text is one empty line, which stays; very long texts are split whole; repeated rows count as documents of their own."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     lines = with_kept_lines(docs)
     return lines.select(

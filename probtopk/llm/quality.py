@@ -178,10 +178,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The forest is grown on FOREST_ROWS rows (those with the smallest hashes) that
     pass the base rules; every row is scored. Null text has no words and fails.
-    Repeated rows and ids are judged each. An empty table gives no rows; without
+    Very long texts are measured whole; repeated rows and ids are judged each, null ids too. An empty table gives no rows; without
     labels the base rules alone decide. Columns other than id and text are ignored.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    common.bound_batches(docs.sparkSession)
     stats = common.materialize(statistics(docs, id_col, text_col), "quality-stats").withColumn("base_failed", failed)
     passed = stats.where(~F.col("base_failed"))
     sample = common.smallest_hashes(passed, FOREST_ROWS, "id", "th").select("features").toPandas()["features"]
@@ -194,5 +195,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents. Null and empty texts have no words and fail the base rules; equal rows have equal results."""
     judged = judge(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.drop("th")

@@ -96,9 +96,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = common.materialize(scan(docs, id_col, text_col, repo_col, owner_col), "secret-scan")
     each = scanned.select("id", "th", "repo", "owner", F.explode(F.concat("base", "tokens")).alias("s"))
     each = each.select("id", "th", "repo", "owner", "s", F.sha2("s.value", 256).alias("value_hash"))
-    verdicts = ownership(each).select("value_hash", "example")
+    verdicts = common.materialize(ownership(each).select("value_hash", "example"), "secret-verdicts")
     copied = lambda s: (s["kind"] == "token") & s["example"]
-    judged = each.join(verdicts, "value_hash").groupBy("id", "th").agg(
+    judged = common.lookup(each, verdicts, "value_hash").groupBy("id", "th").agg(
         F.array_sort(F.collect_set(F.struct("s.start", "s.kind_no", "s.kind", "s.end", "example"))).alias("all")
     )
     found = judged.select(
@@ -114,6 +114,7 @@ def listed(spans: Column) -> Column:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents. Null and empty texts have none, very long ones are scanned whole, repeated rows get a row each, an unknown source is one owner."""
     found = find_secrets(common.documents(spark, sf_dir))
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(

@@ -184,4 +184,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts. Null texts are empty, a null id comes first, very long texts are read whole, repeated rows get a row each."""
     return fingerprints(common.documents(spark, sf_dir))

@@ -70,3 +70,25 @@ def test_lines_that_went_are_gone_everywhere(spark):
     docs = common.documents(spark, DATA)
     once = common.materialize(linededup.dedup_lines(docs), "once")
     assert linededup.repeated_keys(once, "doc_id", "text").count() == 0
+
+
+EDGES = [
+    (None, "no id here", None, "a", 10), (None, None, None, None, None), (1, None, "en", "a", 0), (2, "", "en", "b", 0), (3, " \t\n", "en", "a", 3), (4, "w " * 30_000, "en", "a", 60_000),
+    (5, "one two three four five six seven", "en", "a", 33), (5, "one two three four five six seven", "en", "a", 33), (6, "one two three four five six seven", "en", "b", 33),
+]
+
+
+def test_pipeline_on_edge_rows_and_on_an_empty_table(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = spark.createDataFrame(EDGES, schema)
+    for docs in (rows, rows.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.materialize(stage(spark, docs, DATA), name)
+            assert docs.columns == rows.columns
+            if name in ("toxicity", "line_dedup"):
+                assert docs.count() == n  # nothing toxic, and no document goes with its lines
+            if name == "ngram_jaccard" and n:
+                assert sorted(str(r["doc_id"]) for r in docs.collect()) == sorted(map(str, [None, None, 1, 2, 3, 4, 5, 5]))
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+        assert out.count() == docs.count() and (n or not out.count())

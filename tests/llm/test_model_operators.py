@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -55,6 +56,37 @@ def test_offending_sentences_are_located(tox):
     assert spans and sum(any(b in t[s["start"] : s["end"]] for b in BAD) for t, s in spans) / len(spans) > 0.95
 
 
+def plain_score(model, text):
+    """Noisy-or by its definition, sentence by sentence, without the leak's own share."""
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    clean, sentence = 1.0, []
+    for c in (text or "") + ".":
+        if c not in ".!?\n":
+            sentence.append(c)
+            continue
+        weight = 0.0
+        for w in set("".join(sentence).split()):
+            bare = w.lower().strip("'\"()[]{},;:-|*#%$&<>_=")
+            weight += sum(model.get(f, 0.0) for f in [bare, *(f"^{bare[:n]}" for n in (3, 4, 5, 6) if len(bare) >= n)]) if bare else 0.0
+        clean *= (1 - sigmoid(-12 + weight)) / (1 - sigmoid(-12)) if weight > 0 else 1.0
+        sentence = []
+    return 1 - clean
+
+
+def test_scores_equal_a_plain_noisy_or(spark, tox):
+    rows, docs, _, model = tox
+    texts = {i: t for i, t, _ in rows} | {-1: "zorg! blarg? fnord\nzorg", -2: "", -3: "...", -4: "Zorg, (ZORG) 'zorg' zorgon."}
+    got = toxicity.score(spark.createDataFrame([(i, t, None, "x") for i, t in texts.items()], DOCS), model).collect()
+    assert len(got) == len(texts) and all(r["score"] == pytest.approx(plain_score(model, texts[r["doc_id"]]), abs=1e-9) for r in got)
+
+
+def test_the_limit_of_toxic_texts(spark):
+    docs = spark.createDataFrame([(1, "even", None, "x"), (2, "less", None, "x")], DOCS)
+    model = {"even": -toxicity.LEAK + 1e-4, "less": -toxicity.LEAK - 1e-4}  # just above and just below
+    assert [r["doc_id"] for r in toxicity.keep_clean(docs, model).collect()] == [2]
+    assert {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(docs, model).collect()} == {1: True, 2: False}
+
+
 def test_held_out_labels_do_not_matter(spark, tox):
     rows, docs, labels, model = tox
     from pyspark.sql import functions as F

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from probtopk.llm import common, jaccard, linededup, mixing, quality, secrets, sharding, syncmers
 from probtopk.llm.components import connected_components
@@ -84,6 +85,58 @@ def test_anchors_move_with_a_passage(spark):
     assert len({(p + 30, h) for p, h in a} - b) == 0
 
 
+def xx(*parts, seed=42):
+    """Spark's xxhash64 of strings and longs."""
+    for x in parts:
+        data = x.encode() if isinstance(x, str) else (x & 2**64 - 1).to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def plain_anchors(tokens):
+    """Closed syncmers by their definition: windows of four tokens whose least run of two lies at an edge."""
+    h = [xx(t) for t in tokens]
+    out = []
+    for i in range(len(h) - 3):
+        runs = [xx(*h[i + j : i + j + 2], seed=42) for j in range(3)]
+        if min(runs) in (runs[0], runs[2]):
+            out.append(xx(runs[0], runs[2]))
+    return out
+
+
+def plain_sketch(t):
+    w = [x for x in WS.split(t) if x]
+    hashes = plain_anchors(w)
+    if len(w) < 4:
+        seed = 42
+        for x in w:
+            seed = xx(xx(x), seed=seed) & 2**64 - 1
+        hashes = [seed - 2**64 if seed >= 2**63 else seed]
+    of_words = set(sorted(set(hashes))[:64])
+    if len(t) >= 400:
+        return of_words, None
+    h = [xx(c) for c in t]
+    runs = [xx(h[i], h[i + 1]) for i in range(len(h) - 1)]
+    return of_words, set(sorted(set(plain_anchors(list(t)) + (runs if len(runs) < 32 else [])))[:64])
+
+
+def plain_likeness(a, b):
+    both = a[1] is not None and b[1] is not None
+    x, y = (a[0] | a[1], b[0] | b[1]) if both else (a[0], b[0])
+    union = set(sorted(x | y)[:64])
+    return len(union & x & y) / len(union) if union else 1.0
+
+
+def test_fingerprints_equal_plain_syncmers(spark):
+    texts = [words(random.Random(i).randrange(0, 130), i // 3, 80) for i in range(60)] + ["", "a", "a b c", "é漢😀 x y z", "a b c d e f g"]
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    hexes = lambda s: ",".join(f"{h & 2**64 - 1:016x}" for h in sorted(s))
+    for i, t in enumerate(texts):
+        own, other, nxt = plain_sketch(t), plain_sketch(edited(texts, i)), plain_sketch(texts[(i + 1) % len(texts)])
+        assert got[i]["fingerprint"] == hexes(own[0]) and got[i]["edited_fingerprint"] == hexes(other[0])
+        assert got[i]["near_edited"] == pytest.approx(plain_likeness(own, other)) and got[i]["near_next"] == pytest.approx(plain_likeness(own, nxt))
+
+
 # Lines.
 def plain_dedup(rows, min_docs):
     key = lambda x: x.strip(common.WS_CHARS).translate(str.maketrans(common.UPPER, common.LOWER))
@@ -263,6 +316,52 @@ def test_forest_finds_junk_and_labels_set_the_limit(spark):
     assert nothing.where("kept").count() == 400
 
 
+def test_path_lengths_equal_a_plain_walk():
+    rng = np.random.default_rng(3)
+    rows = np.round(rng.normal(size=(300, 4)), 1)
+    forest = quality.fit_forest(rows, n_trees=7, tree_rows=32)
+
+    def walk(tree, row):
+        feature, cut, left, right, _ = tree
+        at, depth = 0, 0
+        while feature[at] >= 0:
+            at, depth = (left[at] if row[feature[at]] < cut[at] else right[at]), depth + 1
+        return at, depth
+
+    harmonic = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    got = quality.anomaly(forest, rows)
+    for i, row in enumerate(rows):
+        paths = [t[4][walk(t, row)[0]] for t in forest["trees"]]
+        assert all(p >= walk(t, row)[1] for p, t in zip(paths, forest["trees"], strict=True))
+        assert got[i] == pytest.approx(2 ** (-np.mean(paths) / harmonic(32)))
+    # A tree over all rows: the path at a leaf is its depth and what its rows would add.
+    tree = quality._tree(rows[:16], np.random.default_rng(0))
+    leaves = {}
+    for row in rows[:16]:
+        leaves.setdefault(walk(tree, row), []).append(row)
+    assert all(tree[4][at] == pytest.approx(depth + harmonic(len(held))) for (at, depth), held in leaves.items())
+
+
+def test_the_limit_parts_the_labels_best(spark):
+    rng = np.random.default_rng(5)
+    good, bad = rng.uniform(0.3, 0.6, 400).round(4), rng.uniform(0.45, 0.9, 100).round(4)
+    scored = spark.createDataFrame([(i, float(x)) for i, x in enumerate([*good, *bad])], "id long, score double")
+    labels = spark.createDataFrame([(i, int(i < 400)) for i in range(500)], "doc_id long, quality int")
+    limits = np.arange(1001) / 1000
+    lost, caught = [np.array([(np.floor(x * 1000) >= limit * 1000).mean() for limit in limits]) for x in (good, bad)]
+    gain = np.where(lost <= quality.MAX_GOOD_LOST, caught - lost, -1)
+    got = quality.calibrate(scored, labels)
+    assert (np.floor(bad * 1000) >= got * 1000).mean() - (np.floor(good * 1000) >= got * 1000).mean() == pytest.approx(gain.max())
+
+
+def test_quality_of_repeated_rows(spark):
+    rows = [(1, words(80, 1), "a")] * 200 + [(i, words(80, i), "a") for i in range(2, 40)]
+    df = spark.createDataFrame([(i % 3,) for i in range(500)], "k long")
+    assert common.smallest_hashes(df, 120, "k").count() == 120 and common.smallest_hashes(df, 900, "k").count() == 500
+    got = quality.judge(table(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
 def test_quality_of_edge_cases(spark, edges):
     labels = spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.judge(edges, labels).count() == len(EDGES)
@@ -352,6 +451,24 @@ def test_shards_have_equal_bytes_and_gapless_places(spark):
     assert all(zlib.crc32(texts[r.doc_id].encode()) == r.text_crc32 and len(texts[r.doc_id].encode()) + 8 == r.size for r in got.itertuples())
 
 
+def test_shards_equal_plain_dealing(spark):
+    """Slots by hash, heaviest slot first to the emptiest shard, places in order of slot and id."""
+    rows = [(i * 3, words(random.Random(i).randrange(1, 90), i), "a") for i in range(700)]
+    slots = {}
+    for i, t, _ in rows:
+        slots.setdefault(xx(i) % sharding.N_SLOTS, []).append((i, len(t.encode()) + 8))
+    loads, shard_of = [0] * 24, {}
+    for n, s in sorted((-sum(b for _, b in slots.get(s, [])), s) for s in range(sharding.N_SLOTS)):
+        shard_of[s] = loads.index(min(loads))
+        loads[shard_of[s]] += 1 - n
+    places, want = [0] * 24, {}
+    for s in sorted(slots):
+        for i, _ in sorted(slots[s]):
+            want[i] = (shard_of[s], places[shard_of[s]])
+            places[shard_of[s]] += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(table(spark, rows), 24).collect()} == want
+
+
 def test_map_versions_and_growth(spark):
     slotted = sharding.with_slot(table(spark, [(i, words(20, i), "a") for i in range(2000)]), "doc_id", "text")
     path = common.scratch(spark, "map")

@@ -44,12 +44,13 @@ def _list(*xs) -> F.Column:
 
 
 def mixtures(spark: SparkSession, sf_dir: str, kind: str = "noisy") -> DataFrame:
-    """The frames with pi, mu, sigma: a noisy proxy, one of two components, or an exact one."""
+    """The frames with pi, mu, sigma: a noisy proxy, one of two components, a wide one, or an exact one."""
     f = frames(spark, sf_dir)
     off = F.col("k") - F.lit(49.5)
     parts = {
         "noisy": (_list(1.0), _list(F.col("score") + off / 50.0), _list(0.6)),
         "two": (_list(0.7, 0.3), _list(F.col("score"), F.col("score") + off / 25.0), _list(0.5, 1.0)),
+        "wide": (_list(0.7, 0.3), _list(F.col("score"), F.col("score") + off / 25.0), _list(4.0, 6.0)),
         "exact": (_list(1.0), _list(F.col("score")), _list(0.1)),
     }[kind]
     return f.select("*", *[c.alias(n) for c, n in zip(parts, ("pi", "mu", "sigma"), strict=True)])
@@ -59,6 +60,7 @@ def mixtures_sql(kind: str = "noisy") -> str:
     pi, mu, sigma = {
         "noisy": ("[1.0]", "[score + (k - 49.5) / 50.0]", "[0.6]"),
         "two": ("[0.7, 0.3]", "[score, score + (k - 49.5) / 25.0]", "[0.5, 1.0]"),
+        "wide": ("[0.7, 0.3]", "[score, score + (k - 49.5) / 25.0]", "[4.0, 6.0]"),
         "exact": ("[1.0]", "[score]", "[0.1]"),
     }[kind]
     return f"(SELECT *, {pi}::DOUBLE[] AS pi, {mu}::DOUBLE[] AS mu, {sigma}::DOUBLE[] AS sigma FROM {FRAMES})"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.distribution import ERF_A, ERF_P, FLOOR, LOG_SQRT_2PI, SNAP, SQRT2
 from ..functions.boxes import EPS, TINY
 from .fixtures import BOXES, EMBEDDED, FRAMES, VIDEOS, mixtures_sql
-from .queries import DIFF, K, LAM, MAX, REF_DIST, TOP_LAM, TOP_MU
+from .queries import DIFF, K, LAM, MAX, MU, REF_DIST
 
 INF = "'-Infinity'::DOUBLE"
 
@@ -151,7 +151,7 @@ def average_precision(of: str) -> str:
 
 
 def opened(lam: int) -> str:
-    return f"(SELECT frame_id, log_cdf, log_pdf FROM {logs('two')} WHERE log_cdf[{lam + 1}] < 0)"
+    return f"(SELECT frame_id, log_cdf, log_pdf FROM {logs('wide')} WHERE log_cdf[{lam + 1}] < 0)"
 
 
 def expected(lam: int, mu: int) -> str:
@@ -237,10 +237,9 @@ ORACLES: dict[str, str] = {
     "thresholds": f"SELECT max(score) FILTER (r = {K}) AS lam, max(score) FILTER (r = {K - 1}) AS mu FROM {by_rank(topk(FRAMES))}",
     "topk_confidence": f"SELECT round(CASE WHEN count(*) FILTER (log_cdf[49] = {INF}) > 0 THEN {INF} ELSE sum(log_cdf[49]) END, 4) AS log_confidence FROM {logs('two')}",
     "bootstrap_candidates": f"SELECT video_id, frame_id FROM {logs('two')} ORDER BY log_cdf[1], frame_id LIMIT {K}",
-    "expected_confidence_below": f"SELECT frame_id, round(expected, 4) AS expected FROM {expected(LAM, MAX - 1)}",
-    "expected_confidence": f"SELECT frame_id, round(expected, 4) AS expected FROM {expected(TOP_LAM, TOP_MU)}",
-    "upper_bound": f"SELECT frame_id, round(bound, 4) AS bound, bound >= expected - 1e-9 AS holds FROM {expected(TOP_LAM, TOP_MU)}",
-    "select_candidates": f"SELECT round(expected, 4) AS expected FROM {expected(TOP_LAM, TOP_MU)} ORDER BY expected DESC, frame_id LIMIT 20",
+    "expected_confidence": f"SELECT frame_id, round(expected, 4) AS expected FROM {expected(LAM, MU)}",
+    "upper_bound": f"SELECT frame_id, round(bound, 4) AS bound, bound >= expected - 1e-9 AS holds FROM {expected(LAM, MU)}",
+    "select_candidates": f"SELECT round(expected, 4) AS expected FROM {expected(LAM, MU)} ORDER BY expected DESC, frame_id LIMIT 20",
     "cutoff_candidates": f"""SELECT frame_id, round(f, 6) + 0.0 AS f FROM (
         SELECT *, sum(CASE WHEN f > 0 THEN ln(f) ELSE -1e9 END) OVER (ORDER BY f DESC, frame_id DESC ROWS UNBOUNDED PRECEDING) AS tail
         FROM (SELECT *, {cdf_at(f'{LAM + 0.5}::DOUBLE')} AS f FROM {mixtures_sql('noisy')}) WHERE f < 1.0) WHERE tail < ln(0.9::DOUBLE)""",

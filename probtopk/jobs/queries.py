@@ -19,9 +19,7 @@ from . import query, search
 
 MAX = X.MAX_SCORE
 K = 100
-LAM = 30
-#: Thresholds at which few frames are surely above, so that what is to be expected differs by frame.
-TOP_LAM, TOP_MU = 46, 48
+LAM, MU = 30, 33
 REF_DIST, DIFF = 30, 0.030
 
 
@@ -239,8 +237,8 @@ def score_weights(s, d):
     return scoring.score_weights(X.frames(s, d), MAX).withColumn("weight", r6("weight"))
 
 
-def _uncertain(s, d):
-    return D.log_tables(D.mixture_cdf(X.mixtures(s, d, "two").select("video_id", "frame_id", "pi", "mu", "sigma"), MAX))
+def _uncertain(s, d, kind="two"):
+    return D.log_tables(D.mixture_cdf(X.mixtures(s, d, kind).select("video_id", "frame_id", "pi", "mu", "sigma"), MAX))
 
 
 def column_log_sums(s, d):
@@ -318,34 +316,26 @@ def bootstrap_candidates(s, d):
 
 
 def _open(s, d):
-    """Frames whose CDF is below 1 at the threshold, and the log sums over them (one row of numbers per score)."""
-    u = _uncertain(s, d).where(F.get("log_cdf", F.lit(TOP_LAM)) < 0)
+    """Frames of a wide proxy whose CDF is below 1 at the threshold, and the log sums over them (one row of numbers per score)."""
+    u = _uncertain(s, d, "wide").where(F.get("log_cdf", F.lit(LAM)) < 0)
     rows = {r["s"]: (r["finite"], r["n_inf"]) for r in topk.column_log_sums(u, MAX).collect()}
     return u, [rows[i] for i in range(MAX)]
 
 
-def expected_confidence_below(s, d):
-    """At a threshold that many frames are surely above, where logs are minus infinity."""
-    u = _uncertain(s, d).where(F.get("log_cdf", F.lit(LAM)) < 0)
-    rows = {r["s"]: (r["finite"], r["n_inf"]) for r in topk.column_log_sums(u, MAX).collect()}
-    expected = topk.expected_confidence(u, [rows[i] for i in range(MAX)], LAM, MAX - 1)
-    return expected.select("frame_id", F.round("expected", 4).alias("expected"))
-
-
 def expected_confidence(s, d):
     u, h = _open(s, d)
-    return topk.expected_confidence(u, h, TOP_LAM, TOP_MU).select("frame_id", F.round("expected", 4).alias("expected"))
+    return topk.expected_confidence(u, h, LAM, MU).select("frame_id", F.round("expected", 4).alias("expected"))
 
 
 def upper_bound(s, d):
     u, h = _open(s, d)
-    both = topk.upper_bound(topk.expected_confidence(u, h, TOP_LAM, TOP_MU), h, TOP_LAM, TOP_MU)
+    both = topk.upper_bound(topk.expected_confidence(u, h, LAM, MU), h, LAM, MU)
     return both.select("frame_id", F.round("bound", 4).alias("bound"), (F.col("bound") >= F.col("expected") - 1e-9).alias("holds"))
 
 
 def select_candidates(s, d):
     u, h = _open(s, d)
-    return topk.select_candidates(u, h, TOP_LAM, TOP_MU, 20).select(F.round("expected", 4).alias("expected"))
+    return topk.select_candidates(u, h, LAM, MU, 20).select(F.round("expected", 4).alias("expected"))
 
 
 def cutoff_candidates(s, d):
@@ -387,7 +377,7 @@ FRAME_OPTIONS = query.Options(low=0.0, high=500.0, bins=(25, 50), max_score=MAX,
 def query_frames(s, d):
     """The whole query: split, labels, proxy, scan, search."""
     frames, scores = _featured(s, d)
-    return metrics.by_rank(query.query_frames(frames, scores, FRAME_OPTIONS, k=K, conf_thres=0.99).topk)
+    return metrics.by_rank(query.query_frames(frames, scores, FRAME_OPTIONS, k=K, conf_thres=0.99, cap=1024).topk)
 
 
 def query_frames_deduplicated(s, d):
@@ -537,7 +527,7 @@ segment pick_reference mse_diff difference_detect mirror_lists apply_oracle appl
 fit_binned_proxy model_grid select_model normal_cdf mixture_cdf log_tables mixture_moments mixture_nll logsumexp
 hypotheses_to_mixture round_half_even score_weights column_log_sums calibration_profile window_distribution window_truth
 sampled_window_scores result_summary complete_mixtures propagate_mirrors box_iou_join exact_topk merge_topk thresholds
-topk_confidence bootstrap_candidates expected_confidence expected_confidence_below upper_bound select_candidates cutoff_candidates topk_frames
+topk_confidence bootstrap_candidates expected_confidence upper_bound select_candidates cutoff_candidates topk_frames
 topk_frames_exact_proxy topk_frames_deduplicated topk_windows query_frames query_frames_deduplicated query_documents query_windows precision_at_k rank_distance score_error evaluate_topk
 pr_curve average_precision detector_quality xywh_to_xyxy iou iou_variant wh_iou rescale_boxes relative_boxes detection_scores
 non_max_suppression match_detections"""

@@ -32,7 +32,8 @@ class Options:
     low: float = 0.0
     high: float = 1.0
     bins: tuple[int, ...] = (20, 40)
-    sigmas: tuple[float, ...] = (0.3, 0.6, 1.2)
+    sigmas: tuple[float, ...] = (0.1, 0.3, 0.6, 1.2)
+    smooths: tuple[float, ...] = (0.1, 0.01, 0.001)
     max_score: int = 50
     num_train: float = 0.005
     num_valid: float = 3000
@@ -43,11 +44,18 @@ class Options:
 
 @dataclass
 class Scanned:
-    """Stored tables: labelled (score, split), mirrors (ref_id) and mixtures of the frames that remain."""
+    """Stored tables: labelled (score, split), mirrors (ref_id), the proxy's bin of each frame that remains, and the proxy (bin, pi, mu, sigma).
+
+    A frame has the mixture of its bin, so mixtures are never stored a frame and their CDFs are computed once a bin.
+    """
 
     labelled: DataFrame
     mirrors: DataFrame
-    mixtures: DataFrame
+    binned: DataFrame
+    proxy: DataFrame
+
+    def mixtures(self) -> DataFrame:
+        return self.binned.join(F.broadcast(self.proxy), "bin").select(*IDS, *PROXY[1:])
 
 
 def _stage(folder: str, name: str, made: Callable[[], DataFrame], like: DataFrame) -> DataFrame:
@@ -59,29 +67,32 @@ def _stage(folder: str, name: str, made: Callable[[], DataFrame], like: DataFram
 
 
 def fit_proxy(labelled: DataFrame, options: Options) -> DataFrame:
-    """(bin, pi, mu, sigma, n_bins) of the model, among all numbers of bins and deviations, with the least mean NLL over the valid split.
+    """(bin, pi, mu, sigma, n_bins) of the model with the least mean NLL over the valid split.
 
-    Scores weigh by how rare they are. Models are fitted on the train split; a model has at most max(bins) rows.
+    A model is a binned proxy (fit_binned_proxy); the grid is all numbers of bins, deviations and smoothings, and is
+    fitted on the train split in one pass. Scores weigh by how rare they are.
     """
-    grid = [(i, b, s) for i, (b, s) in enumerate((b, s) for b in options.bins for s in options.sigmas)]
-    bin_of = lambda b: scoring.feature_bin(F.col(options.feature), options.low, options.high, b)
-    train, valid = labelled.where("split = 'train'"), labelled.where("split = 'valid'")
-    weights = scoring.score_weights(labelled, options.max_score).select("score", "weight")
-    fitted, losses = [], []
-    for model_id, b, sigma in grid:  # a handful of small tables
-        model = scoring.fit_binned_proxy(train.select(bin_of(b).alias("bin"), "score"), b, sigma, options.max_score)
-        fitted.append(model.select(F.lit(model_id).alias("model_id"), *PROXY, F.lit(b).alias("n_bins")))
-        known = valid.select(bin_of(b).alias("bin"), "score").join(F.broadcast(model), "bin").join(F.broadcast(weights), "score")
-        losses.append(known.select(F.lit(model_id).alias("model_id"), mixture_nll(F.col("score"), weight=F.col("weight")).alias("nll")))
-    models, nll = fitted[0], losses[0]
-    for more, loss in zip(fitted[1:], losses[1:], strict=True):
-        models, nll = models.unionByName(more), nll.unionByName(loss)
-    best = scoring.select_model(nll).select("model_id")
+    spark, top = labelled.sparkSession, options.max_score
+    grid = scoring.model_grid(spark, {"n_bins": options.bins, "width": options.sigmas, "smooth": options.smooths})  # a handful of rows
+    bin_of = scoring.feature_bin(F.col(options.feature), options.low, options.high, F.col("n_bins"))
+    binned = labelled.crossJoin(F.broadcast(grid)).select("split", "score", "model_id", bin_of.alias("bin"))
+    counts = binned.where("split = 'train'").groupBy("model_id", "bin", "score").agg(F.count(F.lit(1)).alias("n"))
+    cell = grid.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("n_bins") * top - 1)))
+    cells = cell.select("model_id", "n_bins", "width", "smooth", F.floor(F.col("cell") / top).cast("int").alias("bin"), (F.col("cell") % top).cast("int").alias("score"))
+    filled = cells.join(counts, ["model_id", "bin", "score"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.col("smooth"))
+    listed = filled.groupBy("model_id", "bin", "n_bins", "width").agg(F.array_sort(F.collect_list(F.struct("score", "n"))).alias("c"), F.sum("n").alias("total"))
+    models = listed.select(
+        "model_id", "bin", F.transform("c.n", lambda n: n / F.col("total")).alias("pi"), F.transform("c.score", lambda s: s.cast("double")).alias("mu"),
+        F.transform("c.score", lambda s: F.col("width")).alias("sigma"), "n_bins",
+    )
+    weights = scoring.score_weights(labelled, top).select("score", "weight")
+    valid = binned.where("split = 'valid'").join(F.broadcast(weights), "score").join(models, ["model_id", "bin"])
+    best = scoring.select_model(valid.select("model_id", mixture_nll(F.col("score"), weight=F.col("weight")).alias("nll"))).select("model_id")
     return models.join(F.broadcast(best), "model_id").drop("model_id")  # one row
 
 
 def scan(frames: DataFrame, oracle: DataFrame | ScoringUDF, options: Options, folder: str) -> Scanned:
-    """Everything before the search, each table written once: labels by the oracle, the proxy, mirrors among the test frames, mixtures.
+    """Everything before the search, each table written once: labels by the oracle, the proxy, mirrors among the test frames, the rest by the proxy's bins.
 
     `frames` has video_id, frame_id, the feature column, and features (an array) if a difference threshold is given.
     """
@@ -109,9 +120,9 @@ def scan(frames: DataFrame, oracle: DataFrame | ScoringUDF, options: Options, fo
         n_bins = proxy.agg(F.max("n_bins").alias("n_bins"))  # one row
         binned = sampling.complement(test.select(*IDS, options.feature), mirrors).crossJoin(F.broadcast(n_bins))
         at = scoring.feature_bin(F.col(options.feature), options.low, options.high, F.col("n_bins"))
-        return binned.select(*IDS, at.alias("bin")).join(F.broadcast(proxy.drop("n_bins")), "bin").select(*IDS, *PROXY[1:])  # max(bins) rows
+        return binned.select(*IDS, at.alias("bin"))
 
-    return Scanned(labelled, mirrors, _stage(folder, "mixtures", mixed, frames))
+    return Scanned(labelled, mirrors, _stage(folder, "binned", mixed, frames), proxy.select(*PROXY))
 
 
 def query_frames(
@@ -121,7 +132,7 @@ def query_frames(
     """The k best frames from nothing but frames and a scorer. Stages of `folder`, if it has any, are not made again."""
     s = scan(frames, oracle, options, folder or scratch(frames.sparkSession, "query"))
     score_of = search._with_mirrors(search.scorer(oracle, frames, options.max_score), s.mirrors)
-    return search._rounds(s.labelled.select(*IDS, "score"), s.mixtures, score_of, k, conf_thres, cap, max_rounds, rule, options.max_score)
+    return search._rounds(s.labelled.select(*IDS, "score"), s.binned, score_of, k, conf_thres, cap, max_rounds, rule, options.max_score, s.proxy)
 
 
 def query_windows(
@@ -130,7 +141,7 @@ def query_windows(
 ) -> Answer:
     """The k best clips. Labelled frames count with their known score and discarded ones as their reference; every frame has to be covered."""
     s = scan(frames, oracle, options, folder or scratch(frames.sparkSession, "query"))
-    full = windows.checked_coverage(windows.complete_mixtures(s.labelled, s.mixtures, s.mirrors), frames)
+    full = windows.checked_coverage(windows.complete_mixtures(s.labelled, s.mixtures(), s.mirrors), frames)
     return search.topk_windows(oracle, full, window, window_samples, k, conf_thres, cap, options.seed, frames, max_rounds)
 
 

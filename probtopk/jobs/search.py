@@ -60,6 +60,13 @@ def scorer(oracle: DataFrame | ScoringUDF, frames: DataFrame | None = None, max_
     return run
 
 
+def _with_f(rows: DataFrame, lam: int, proxy: DataFrame | None) -> DataFrame:
+    """Rows with f = F(lam). Rows that name a bin of a proxy get that of the bin, which is computed once a bin."""
+    if proxy is None:
+        return rows.withColumn("f", cdf_at(lam))
+    return rows.join(F.broadcast(proxy.select("bin", cdf_at(lam).alias("f"))), "bin")  # as many rows as the proxy has bins
+
+
 def _chosen(open_: DataFrame, best: list[tuple], conf: float, most: int, rule: str, max_score: int) -> DataFrame:
     """What to score next: the smallest set that suffices, or the frames with the largest expected confidence."""
     if rule == "cutoff":
@@ -72,9 +79,9 @@ def _chosen(open_: DataFrame, best: list[tuple], conf: float, most: int, rule: s
 
 def _rounds(
     certain: DataFrame | None, uncertain: DataFrame, score_of: Scorer, k: int, conf: float, cap: int,
-    max_rounds: int | None = None, rule: str = "cutoff", max_score: int = 50,
+    max_rounds: int | None = None, rule: str = "cutoff", max_score: int = 50, proxy: DataFrame | None = None,
 ) -> Answer:
-    """Rows have video_id, frame_id; uncertain ones pi, mu, sigma besides. score_of gives scores of chosen rows and their mirrors.
+    """Rows have video_id, frame_id; uncertain ones pi, mu, sigma besides, or the bin of a proxy (bin, pi, mu, sigma). score_of gives scores of chosen rows and their mirrors.
 
     Rows that come with a score but were not chosen (mirrors) enter the answer only.
     """
@@ -91,10 +98,10 @@ def _rounds(
         if kept:
             left = left.join(reduce(DataFrame.unionByName, kept), IDS, "left_anti")
         lam = best[-1][2] if len(best) >= k else -1
-        open_ = left.withColumn("f", cdf_at(lam) if lam >= 0 else F.lit(0.0)).where(F.col("f") < 1.0)
+        open_ = _with_f(left, lam, proxy).where(F.col("f") < 1.0) if lam >= 0 else left.withColumn("f", F.lit(0.0))
         if lam >= 0 and pruned is None:  # lam never falls: rows with F(lam) = 1 stay out, and few are left to keep
-            pruned = uncertain = open_.persist()
-            open_ = pruned
+            pruned = open_.persist()
+            uncertain, open_ = pruned.drop("f"), pruned
         sums = open_.agg(*topk.log_sum(safe_ln(F.col("f"))), F.count(F.lit(1)).alias("n")).first()
         log_conf = NEG_INF if sums["n_inf"] else sums["finite"]
         if (log_conf >= math.log(conf) and len(best) >= k) or not sums["n"]:
@@ -104,9 +111,10 @@ def _rounds(
             break
         most = min(cap << max(0, rounds + 1 - FEW_ROUNDS), 2**31 - 1)
         if lam < 0:  # too few rows known for a threshold: those least likely to score 0
-            chosen = open_.withColumn("f", cdf_at(0)).orderBy("f", "frame_id").limit(max(most, k))
+            chosen = _with_f(open_.drop("f"), 0, proxy).orderBy("f", "frame_id").limit(max(most, k))
         else:
-            chosen = _chosen(open_, best, conf, most, rule, max_score)
+            mixed = open_ if proxy is None or rule == "cutoff" else open_.join(F.broadcast(proxy), "bin")
+            chosen = _chosen(mixed, best, conf, most, rule, max_score)
         chosen = chosen.select(*IDS)
         if rounds < FEW_ROUNDS:
             rows = [tuple(r) for r in chosen.collect()]  # at most max(cap, k) rows

@@ -15,15 +15,15 @@ from probtopk.sources.shared import scratch
 IDS = ["video_id", "frame_id"]
 
 
-class Counting(scoring.ScoringUDF):
-    """Counts the frames that it scores, in an accumulator."""
+def counting(seen):
+    """A scorer that counts the frames that it scores; the class is local, so that it is sent to the workers as a whole."""
 
-    def __init__(self, seen):
-        self.seen = seen
+    class Counting(scoring.ScoringUDF):
+        def score(self, batch):
+            seen.add(len(batch))
+            return batch["truth"].tolist()
 
-    def score(self, batch):
-        self.seen.add(len(batch))
-        return batch["truth"].tolist()
+    return Counting()
 
 
 def table(spark, scores, noise=0.0, seed=0):
@@ -52,7 +52,7 @@ def test_a_scorer_runs_on_few_frames_and_never_twice(spark):
     scores = skewed(2000)
     seen = spark.sparkContext.accumulator(0)
     frames = table(spark, scores, 0.4)
-    a = query.query_frames(frames, Counting(seen), OPTIONS, k=20, conf_thres=0.99)
+    a = query.query_frames(frames, counting(seen), OPTIONS, k=20, conf_thres=0.99)
     assert scores_of(a) == best(scores, 20) and a.reached and a.log_confidence >= math.log(0.99)
     assert seen.value == 300 + a.scored < 1000
     row = query.report(a, frames.select(*IDS, F.col("truth").alias("score")), 20).first()
@@ -63,11 +63,11 @@ def test_a_second_search_starts_from_the_stages(spark):
     scores = skewed(600)
     seen = spark.sparkContext.accumulator(0)
     frames, folder = table(spark, scores, 0.4), scratch(spark, "stages")
-    first = query.query_frames(frames, Counting(seen), OPTIONS, k=5, folder=folder)
+    first = query.query_frames(frames, counting(seen), OPTIONS, k=5, folder=folder)
     labelled = seen.value - first.scored
-    second = query.query_frames(frames, Counting(seen), OPTIONS, k=10, folder=folder)
+    second = query.query_frames(frames, counting(seen), OPTIONS, k=10, folder=folder)
     assert seen.value == labelled + first.scored + second.scored and scores_of(second) == best(scores, 10)
-    assert all(sources.has_stage(spark, folder, s) for s in ("labelled", "mirrors", "proxy", "mixtures")) and not sources.has_stage(spark, folder, "other")
+    assert all(sources.has_stage(spark, folder, s) for s in ("labelled", "mirrors", "proxy", "binned")) and not sources.has_stage(spark, folder, "other")
 
 
 @pytest.mark.parametrize("seed", range(4))

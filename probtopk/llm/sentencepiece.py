@@ -28,8 +28,10 @@ from . import common
 MODEL = os.environ.get("PROBTOPK_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
 #: Code points that are encoded together, and rows of an Arrow batch.
-BATCH_CHARS, BATCH_ROWS = 200_000, 500
+BATCH_CHARS, BATCH_ROWS = 1_000_000, 500
 BATCH_BYTES = 2 << 20
+#: Threads of the library in a Python worker; more would wait for each other, as every core has a worker of its own.
+THREADS = 2
 
 # Fixed values of the model's protocol buffer: field numbers and piece types.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -218,6 +220,7 @@ def _coded(data: bytes, row_ids: pd.Series, texts: list[str], keep_ids: bool) ->
 def _coder(held, keep_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the worker first encodes
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             for a, b in _batches(texts):

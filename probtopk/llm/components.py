@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     each step is written to the shared folder. It ends when every node with a smaller neighbour has no other.
     """
     now = common.materialize(_distinct_edges(edges), "edges")
-    for _ in range(MAX_ROUNDS):
+    for _ in range(0 if now.isEmpty() else MAX_ROUNDS):
         around = _both_ways(now)
         least = _least(around)
         if least.where("w < u AND n > 1").isEmpty():
@@ -47,6 +47,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = common.lookup(around, least, "u").select(F.col("v").alias("a"), F.col("w").alias("b"))
         now = common.materialize(_distinct_edges(small.unionByName(least.select(F.col("u").alias("a"), F.col("w").alias("b")))), "stars")
     else:
-        raise RuntimeError("components did not settle")
+        if not now.isEmpty():
+            raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -261,6 +261,8 @@ class _Corpus:
         Prefixes are compared first, as they are short: what is shared beyond them is bounded by what is behind them.
         """
         pairs = common.materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs.withColumn("o", F.lit(0))
         sets = self.sets(pairs)
         head = sets.select("node", F.slice("set", F.lit(1), (F.size("set") - F.ceil(F.size("set") * PERCENT / 100) + 1).cast("int")).alias("set"))
         most = F.col("o") + F.greatest(*[F.ceil(F.col(n) * PERCENT / 100) - 1 for n in ("n_a", "n_b")])
@@ -411,7 +413,6 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             break
 
     # Every other pair of different components.
-    from_long = _rest(long, known, answers)
     short = listed.where("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.sum("pos").alias("c"), F.max("h").alias("first")).where("first = 1")
     after = lambda n: (PERCENT * F.col(n) + 99 - (PERCENT * F.col(n) + 99) % 100) / 100 - 1  # noqa: E731  entries behind the prefix
     # A short pair may share long lists as well.
@@ -419,7 +420,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         short = short.join(in_long.toDF(side, f"long_{side}"), side, "left")
     shared = F.coalesce(F.size(F.array_intersect("long_a", "long_b")), F.lit(0))
     most = F.col("c") + shared + F.greatest(after("n_a"), after("n_b"))
-    pairs = from_long.unionByName(short.where(_reaches(most, "n_a", "n_b")).select("a", "b", "n_a", "n_b")).distinct()
+    pairs = short.where(_reaches(most, "n_a", "n_b")).select("a", "b", "n_a", "n_b")
+    if pairs_open:
+        pairs = _rest(long, known, answers).unionByName(pairs).distinct()
     if known is not None:
         for side in ("a", "b"):
             pairs = common.lookup(pairs, known.toDF(side, f"of_{side}"), side, "left")

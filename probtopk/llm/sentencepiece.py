@@ -28,10 +28,10 @@ from . import common
 MODEL = os.environ.get("PROBTOPK_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
 #: Code points that are encoded together, and rows of an Arrow batch.
-BATCH_CHARS, BATCH_ROWS = 1_000_000, 500
+BATCH_CHARS, BATCH_ROWS = 250_000, 500
 BATCH_BYTES = 2 << 20
-#: Threads of the library in a Python worker; more would wait for each other, as every core has a worker of its own.
-THREADS = 2
+#: Threads of the library in a Python worker. Spark has a worker on every core; give more where tasks have several cores.
+THREADS = 1
 
 # Fixed values of the model's protocol buffer: field numbers and piece types.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3

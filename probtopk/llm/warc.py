@@ -159,14 +159,15 @@ def shard_ranges(facts: DataFrame, n_shards: int, total: int) -> DataFrame:
         width += next((i for i, (x, y) in enumerate(zip(*ends, strict=True)) if x != y), PLACE - 2)
     while True:
         width = min(width, PLACE)
-        bins = common.materialize(open_.groupBy(F.substring("place", 1, width).alias("prefix")).agg(F.sum("n").alias("n")), "ranges")
-        heavy = bins.where(F.col("n") > most) if width < PLACE else bins.where("false")
-        light = bins.where(F.col("n") <= most) if width < PLACE else bins
+        bins = common.materialize(open_.groupBy(F.substring("place", 1, width).alias("prefix")).agg(F.sum("n").alias("n"), F.min("place").alias("low"), F.max("place").alias("high")), "ranges")
+        is_heavy = (F.col("low") != F.col("high")) & (F.col("n") > most)  # one place can't be cut
+        heavy, light = bins.where(is_heavy), bins.where(~is_heavy).select("prefix", "n")
         ranges = light if ranges is None else ranges.unionByName(light)
-        if heavy.isEmpty():
+        shared = heavy.agg(F.min(F.expr(f"aggregate(sequence(1, {PLACE}), 0, (n, i) -> IF(n = i - 1 AND substring(low, i, 1) = substring(high, i, 1), i, n))"))).first()[0]
+        if shared is None:
             break
         open_ = common.lookup(open_.withColumn("prefix", F.substring("place", 1, width)), heavy.select("prefix"), "prefix", "left_semi").drop("prefix")
-        width += 1
+        width = shared + 1  # all heavy ranges share so many digits within
     before = F.coalesce(F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shard = F.least(F.floor(before * F.lit(n_shards) / F.lit(max(total, 1))), F.lit(n_shards - 1)).cast("int")
     return ranges.select("prefix", shard.alias("shard"))

@@ -22,6 +22,7 @@ COLUMNS = {
     "op8_mixing": "doc_id size source_size target taken",
     "op9_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op12_spelling_variants": "word n n_near form form_n root",
 }
 
 
@@ -38,6 +39,8 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
 def test_query_has_a_row_per_row_and_its_columns(spark, name):
     got = QUERIES[name](spark, DATA)
     assert set(COLUMNS[name].split()) <= set(got.columns)
+    if name == "op12_spelling_variants":  # a row per word; its rows are held against plain Python elsewhere
+        return
     source = "pages" if name == "op9_warc" else "documents"
     assert got.count() == spark.read.parquet(f"{DATA}/{source}.parquet").count()
 

@@ -55,20 +55,20 @@ def cdf_at(score: Column | int, pi: str = "pi", mu: str = "mu", sigma: str = "si
     return snap(_weighted(pi, mu, sigma, value=lambda m, s: normal_cdf(tick, m, s)))
 
 
-def mixture_cdf_columns(max_score: int, pi: str = "pi", mu: str = "mu", sigma: str = "sigma") -> Column:
-    """The whole CDF as one expression; the twin of mixture_cdf."""
-    return F.transform(F.sequence(F.lit(0), F.lit(max_score - 1)), lambda i: cdf_at(i, pi, mu, sigma))
+def mixture_cdf_columns(max_score: int, pi: str = "pi", mu: str = "mu", sigma: str = "sigma", first: int = 0) -> Column:
+    """The CDF at the ticks from `first` to max_score - 1 as one expression; the twin of mixture_cdf."""
+    return F.transform(F.sequence(F.lit(first), F.lit(max_score - 1)), lambda i: cdf_at(i, pi, mu, sigma))
 
 
-def _numpy_cdf(pi: np.ndarray, mu: np.ndarray, sigma: np.ndarray, max_score: int) -> np.ndarray:
-    ticks = np.arange(max_score) + 0.5
+def _numpy_cdf(pi: np.ndarray, mu: np.ndarray, sigma: np.ndarray, max_score: int, first: int = 0) -> np.ndarray:
+    ticks = np.arange(first, max_score) + 0.5
     x = (ticks - mu[..., None]) / (sigma[..., None] * SQRT2)
     cdf = ((_erf_of(x, np.exp, np.abs, np.sign) + 1.0) * 0.5 * pi[..., None]).sum(-2)
     return np.where(cdf >= SNAP, 1.0, np.where(cdf < FLOOR, 0.0, cdf))
 
 
-def mixture_cdf(mix: DataFrame, max_score: int) -> DataFrame:
-    """`mix` with cdf array<double>, in NumPy batches; rows may have any number of components."""
+def mixture_cdf(mix: DataFrame, max_score: int, first: int = 0) -> DataFrame:
+    """`mix` with cdf array<double> of the ticks from `first` to max_score - 1, in NumPy batches; rows may have any number of components."""
 
     @F.pandas_udf("array<double>")
     def run(pi: pd.Series, mu: pd.Series, sigma: pd.Series) -> pd.Series:
@@ -77,7 +77,7 @@ def mixture_cdf(mix: DataFrame, max_score: int) -> DataFrame:
         for m in np.unique(sizes):
             at = np.flatnonzero(sizes == m)
             stacked = [np.stack(x.iloc[at].to_numpy()) for x in (pi, mu, sigma)]
-            for i, row in zip(at, _numpy_cdf(*stacked, max_score), strict=True):
+            for i, row in zip(at, _numpy_cdf(*stacked, max_score, first), strict=True):
                 out[i] = row
         return pd.Series(out)
 
@@ -89,7 +89,10 @@ def safe_ln(x: Column) -> Column:
 
 
 def log_tables(df: DataFrame, cdf: str = "cdf") -> DataFrame:
-    """`df` with log_cdf and log_pdf; pdf[0] = cdf[0], pdf[i] = cdf[i] - cdf[i-1], where steps below FLOOR count as 0."""
+    """`df` with log_cdf and log_pdf; pdf[0] = cdf[0], pdf[i] = cdf[i] - cdf[i-1], where steps below FLOOR count as 0.
+
+    Of a CDF that begins at a later tick, the first element of log_pdf has no meaning.
+    """
     steps = F.transform(cdf, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(F.col(cdf), i - 1)))
     return df.withColumns({"log_cdf": F.transform(cdf, safe_ln), "log_pdf": F.transform(steps, lambda p: safe_ln(F.when(p >= FLOOR, p).otherwise(0.0)))})
 

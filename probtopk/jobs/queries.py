@@ -13,7 +13,7 @@ from ..functions import distribution as D
 from ..operators import detections, difference, metrics, sampling, scoring, topk, windows
 from ..operators.scoring import ScoringUDF
 from ..sources import frames as sources
-from ..sources.shared import scratch
+from ..sources.shared import scratch, written
 from . import fixtures as X
 from . import query, search
 
@@ -451,9 +451,9 @@ def detector_quality(s, d):
     """From raw detections to average precision: class scores, suppression, matching, curve."""
     raw = X.boxes(s, d).withColumn("cls_prob", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i == F.col("cls"), F.col("cls_conf")).otherwise(0.0)))
     boxes = detections.corner_boxes(raw.withColumnRenamed("obj_conf", "obj").drop("x1", "y1", "x2", "y2", "cls", "cls_conf"))
-    kept = detections.non_max_suppression(boxes, 0.1, 0.45)
     truth = X.truth_boxes(s, d)
-    matches = detections.match_detections(kept.withColumnRenamed("obj_conf", "conf"), truth, 0.5)
+    matches = detections.suppress_and_match(boxes, truth, 0.1, 0.45, 0.5)
+    matches = written(matches, scratch(s, "matches"))  # the curve samples its rows before it deals them
     ap = metrics.average_precision(metrics.pr_curve(matches, truth), truth)
     return ap.select("cls", r6("ap"), r6("precision"), r6("recall"), r6("f1"))
 

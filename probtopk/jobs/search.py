@@ -1,12 +1,11 @@
 """Top-k frames and top-k clips with a stated confidence.
 
 Both run a few large rounds. A round takes thresholds from the running answer (k
-rows, on the driver), sums ln F(lam) over the uncertain rows, and stops when the
-confidence suffices; else it scores the smallest set of rows that makes it
-suffice (at most `cap`) and merges them. Only the tick lam of a distribution is needed, so no
-CDF arrays are built. A search that needs more than FEW_ROUNDS doubles its cap with every
-further round, so it ends after few rounds however many rows it has to score. The ids scored in the
-first rounds are sent out as a table of at most FEW_ROUNDS * cap rows, those of later rounds are
+rows, on the driver) and stops when the confidence, ln F(lam) summed over the uncertain rows, suffices; else it scores the smallest
+set of rows that makes it suffice (at most `cap`) and merges them. Only the ticks of a distribution from lam on are needed, so no
+CDF arrays are built, and sums are kept up (jobs.uncertain), so that a round does not pass over all open rows for them. A search that needs
+more than FEW_ROUNDS doubles its cap with every further round, so it ends after few rounds however many rows it has to score. The ids
+scored in the first rounds are sent out as a table of at most FEW_ROUNDS * cap rows, those of later rounds are
 written and never on the driver; the uncertain rows are never rewritten.
 
 The scorer is a table of scores or a ScoringUDF; a UDF runs on the labelled and the chosen frames only, once each.
@@ -17,19 +16,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distribution import NEG_INF, cdf_at, log_tables, mixture_cdf, safe_ln
+from ..functions.distribution import NEG_INF
 from ..operators import difference, sampling, scoring, topk, windows
 from ..operators.scoring import ScoringUDF
 from ..sources.shared import scratch, written
+from .uncertain import IDS, BinnedFrames, MixtureFrames
 
 #: Rounds of at most cap rows; later ones may take twice as many as the one before.
 FEW_ROUNDS = 8
-IDS = ["video_id", "frame_id"]
 
 #: Gives (video_id, frame_id, score) of chosen rows.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -44,6 +42,7 @@ class Answer:
     scored: int
     log_confidence: float
     reached: bool = True
+    evaluated: int = 0  # rows whose expected confidence was computed
 
 
 def scorer(oracle: DataFrame | ScoringUDF, frames: DataFrame | None = None, max_score: int | None = None) -> Scorer:
@@ -60,78 +59,60 @@ def scorer(oracle: DataFrame | ScoringUDF, frames: DataFrame | None = None, max_
     return run
 
 
-def _with_f(rows: DataFrame, lam: int, proxy: DataFrame | None) -> DataFrame:
-    """Rows with f = F(lam). Rows that name a bin of a proxy get that of the bin, which is computed once a bin."""
-    if proxy is None:
-        return rows.withColumn("f", cdf_at(lam))
-    return rows.join(F.broadcast(proxy.select("bin", cdf_at(lam).alias("f"))), "bin")  # as many rows as the proxy has bins
-
-
-def _chosen(open_: DataFrame, best: list[tuple], conf: float, most: int, rule: str, max_score: int) -> DataFrame:
-    """What to score next: the smallest set that suffices, or the frames with the largest expected confidence."""
-    if rule == "cutoff":
-        return topk.cutoff_candidates(open_, conf, most)
-    lam, mu = best[-1][2], best[-2][2] if len(best) > 1 else best[-1][2]
-    tables = log_tables(mixture_cdf(open_, max_score))
-    sums = {r["s"]: (r["finite"], r["n_inf"]) for r in topk.column_log_sums(tables, max_score).collect()}  # a row per score
-    return topk.select_candidates(tables, [sums[s] for s in range(max_score)], lam, min(mu, max_score - 1), most)
-
-
 def _rounds(
     certain: DataFrame | None, uncertain: DataFrame, score_of: Scorer, k: int, conf: float, cap: int,
     max_rounds: int | None = None, rule: str = "cutoff", max_score: int = 50, proxy: DataFrame | None = None,
 ) -> Answer:
     """Rows have video_id, frame_id; uncertain ones pi, mu, sigma besides, or the bin of a proxy (bin, pi, mu, sigma). score_of gives scores of chosen rows and their mirrors.
 
-    Rows that come with a score but were not chosen (mirrors) enter the answer only.
+    Rows that come with a score but were not chosen (mirrors) enter the answer only. While fewer than k rows are known, the
+    missing ones are scored, those least likely to score 0 first.
     """
     spark = uncertain.sparkSession
     schema = "video_id string, frame_id long, score int"
     keep = lambda df: [tuple(r) for r in topk.exact_topk(df.select(*IDS, "score"), k).collect()]  # noqa: E731  k rows
     best = keep(certain) if certain is not None else []
-    done: list[tuple[str, int]] = []
-    kept: list[DataFrame] = []
-    rounds, n_scored, log_conf, pruned, reached = 0, 0, NEG_INF, None, True
+    frames = MixtureFrames(uncertain, max_score) if proxy is None else BinnedFrames(uncertain, proxy, max_score)
+    rounds, n_scored, log_conf, reached = 0, 0, NEG_INF, True
     while True:
-        scored = spark.createDataFrame(done, "video_id string, frame_id long")
-        left = uncertain.join(F.broadcast(scored), IDS, "left_anti") if done else uncertain
-        if kept:
-            left = left.join(reduce(DataFrame.unionByName, kept), IDS, "left_anti")
-        lam = best[-1][2] if len(best) >= k else -1
-        open_ = _with_f(left, lam, proxy).where(F.col("f") < 1.0) if lam >= 0 else left.withColumn("f", F.lit(0.0))
-        if lam >= 0 and pruned is None:  # lam never falls: rows with F(lam) = 1 stay out, and few are left to keep
-            pruned = open_.persist()
-            uncertain, open_ = pruned.drop("f"), pruned
-        sums = open_.agg(*topk.log_sum(safe_ln(F.col("f"))), F.count(F.lit(1)).alias("n")).first()
-        log_conf = NEG_INF if sums["n_inf"] else sums["finite"]
-        if (log_conf >= math.log(conf) and len(best) >= k) or not sums["n"]:
-            break
+        known = len(best) >= k
+        if known:
+            lam, mu, top = best[-1][2], best[-2][2] if len(best) > 1 else best[-1][2], best[0][2]
+            log_conf, n_open = frames.at(lam, top, rule)
+            if log_conf >= math.log(conf) or not n_open:
+                break
         if rounds == max_rounds:
             reached = False
             break
         most = min(cap << max(0, rounds + 1 - FEW_ROUNDS), 2**31 - 1)
-        if lam < 0:  # too few rows known for a threshold: those least likely to score 0
-            chosen = _with_f(open_.drop("f"), 0, proxy).orderBy("f", "frame_id").limit(max(most, k))
+        if not known:
+            chosen = frames.first_candidates(k - len(best))
+        elif rule == "cutoff":
+            chosen = frames.cutoff(lam, conf, most)
         else:
-            mixed = open_ if proxy is None or rule == "cutoff" else open_.join(F.broadcast(proxy), "bin")
-            chosen = _chosen(mixed, best, conf, most, rule, max_score)
-        chosen = chosen.select(*IDS)
-        if rounds < FEW_ROUNDS:
-            rows = [tuple(r) for r in chosen.collect()]  # at most max(cap, k) rows
-            done += rows
-            n, ids = len(rows), F.broadcast(spark.createDataFrame(rows, "video_id string, frame_id long"))
-        else:
-            ids = written(chosen, scratch(spark, "chosen"))
-            kept.append(ids)
-            n = ids.count()
-        if not n:
-            raise RuntimeError(f"no row was left to score at log confidence {log_conf}")
+            chosen = frames.expected(lam, min(mu, max(lam, max_score - 1)), most)
+        chosen, ids, n = _settled(chosen.select(*frames.columns), rounds)
+        if not n and not known:
+            log_conf = 0.0  # all rows are known
+            break
+        if not n:  # sums and choice differ by rounding
+            chosen, ids, n = _settled(frames.lowest_one(lam).select(*frames.columns), rounds)
         rounds, n_scored = rounds + 1, n_scored + n
-        merged = score_of(ids).select(*IDS, F.col("score").cast("int").alias("score"))
+        frames.scored(chosen, ids)
+        merged = score_of(chosen.select(*IDS)).select(*IDS, F.col("score").cast("int").alias("score"))
         best = keep(merged.unionByName(spark.createDataFrame(best, schema)).dropDuplicates(IDS))
-    if pruned is not None:
-        pruned.unpersist()
-    return Answer(spark.createDataFrame(best, schema), rounds, n_scored, log_conf, reached)
+    frames.close()
+    return Answer(spark.createDataFrame(best, schema), rounds, n_scored, log_conf, reached, getattr(frames, "evaluated", 0))
+
+
+def _settled(chosen: DataFrame, rounds: int) -> tuple[DataFrame, list[tuple] | None, int]:
+    """Chosen rows, computed once: those of the first rounds (at most max(cap, k)) as a local table and a list of ids, more as a written table."""
+    spark = chosen.sparkSession
+    if rounds < FEW_ROUNDS:
+        rows = chosen.collect()
+        return F.broadcast(spark.createDataFrame(rows, chosen.schema)), [(r["video_id"], r["frame_id"]) for r in rows], len(rows)
+    table = written(chosen, scratch(spark, "chosen"))
+    return table, None, table.count()
 
 
 def _with_mirrors(score_of: Scorer, mirrors: DataFrame | None) -> Scorer:
@@ -175,7 +156,7 @@ def topk_windows(
 
     `mixtures` has one row for every frame (complete_mixtures). A clip is scored by window * window_samples of its frames, at least one.
     """
-    clips = windows.window_distribution(mixtures, window).withColumnRenamed("window_id", "frame_id")
+    clips = written(windows.window_distribution(mixtures, window).withColumnRenamed("window_id", "frame_id"), scratch(mixtures.sparkSession, "clips"))
     n = max(1, int(window * window_samples))
     of_frames = scorer(oracle, frames)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinals import SPAN
+from ..sources.shared import scratch, written
+from .ordinals import SPAN, range_dealt
 from .sampling import multiset_overlap
 from .topk import BEST_FIRST, exact_topk
 
@@ -19,14 +24,15 @@ def precision_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
 def rank_distance(approx: DataFrame, scores: DataFrame) -> DataFrame:
     """(rank_distance): mean distance of the rank in the answer (ties share the first) and the number of all scores above.
 
-    Ranks among all scores come from a histogram of the scores above the answer's last one, which are about
-    as many as the answer has; the answer is joined with it.
+    Ranks among all scores are running sums over a histogram of the scores above the answer's last one, which
+    are about as many as the answer has; the answer looks its scores up there.
     """
     given = approx.select("score", (F.rank().over(Window.orderBy(F.desc("score"))) - 1).alias("given"))
     last = approx.agg(F.min("score").alias("last"))  # one row
     counts = scores.join(F.broadcast(last), F.col("score") > F.col("last")).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    wanted = given.select("score").distinct().join(counts.withColumnRenamed("score", "other"), F.col("other") > F.col("score"), "left")
-    above = wanted.groupBy("score").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("above"))
+    places = counts.unionByName(approx.select("score", F.lit(0).cast("long").alias("n"))).groupBy("score").agg(F.sum("n").alias("n"))
+    higher = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    above = places.select("score", F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("above"))
     return given.join(above, "score").agg(F.avg(F.abs(F.col("above") - F.col("given"))).alias("rank_distance"))
 
 
@@ -54,21 +60,41 @@ def _by_class(cols: list[Column]) -> Window:
 def pr_curve(matches: DataFrame, truth: DataFrame) -> DataFrame:
     """`matches` (frame_id, det_id, cls, conf, tp) with tp and fp so far, recall and precision, per class by descending confidence.
 
-    The running counts have two levels: bins of the confidence are counted first,
-    rows are ordered inside (class, bin), so a common class is not one task.
+    Rows are dealt by ranges of (class, confidence, frame, detection), so neither a common class nor equal confidences are one
+    task. A pass over the sorted ranges counts inside them and is written once; a row of totals per range and class
+    gives the counts at which it starts.
     """
-    binned = matches.withColumn("__bin", -F.floor(F.col("conf") * 1000))
-    before = _by_class([F.col("__bin")]).rowsBetween(Window.unboundedPreceding, -1)
-    bins = binned.groupBy("cls", "__bin").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
+    cols = ["frame_id", "det_id", "cls", "conf", "tp"]
+    dealt = range_dealt(matches.select(*cols), "cls", F.desc("conf"), "frame_id", "det_id").withColumn("__range", F.spark_partition_id())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, n, tp = None, 0, 0  # the class that a batch before has ended in, and its rows so far
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cls, right = pdf["cls"].to_numpy(), pdf["tp"].to_numpy(np.int64)
+            starts = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+            sizes = np.diff(np.append(starts, len(cls)))
+            sums = np.cumsum(right)
+            seen = np.arange(1, len(cls) + 1) - np.repeat(starts, sizes)
+            hits = sums - np.repeat(sums[starts] - right[starts], sizes)
+            if cls[0] == of:
+                seen[: sizes[0]] += n
+                hits[: sizes[0]] += tp
+            of, n, tp = cls[-1], seen[-1], hits[-1]
+            yield pdf.assign(__n=seen, __tp=hits)
+
+    kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in cols)
+    counted = written(dealt.mapInPandas(run, f"{kinds}, __range int, __n long, __tp long"), scratch(matches.sparkSession, "curve"))
+    before = Window.partitionBy("cls").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counted.groupBy("cls", "__range").agg(F.max("__n").alias("n"), F.max("__tp").alias("tp"))
     zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    starts = bins.select("cls", "__bin", zero("tp").alias("__tp"), zero("n").alias("__n"))
-    order = Window.partitionBy("cls", "__bin").orderBy(F.desc("conf"), "frame_id", "det_id").rowsBetween(Window.unboundedPreceding, 0)
-    counted = binned.withColumn("tp_sum", F.sum("tp").over(order)).withColumn("seen", F.count(F.lit(1)).over(order))
+    starts = ranges.select("cls", "__range", zero("n").alias("__n0"), zero("tp").alias("__tp0"))
     totals = truth.groupBy("cls").agg(F.count(F.lit(1)).alias("n_truth"))
-    joined = counted.join(starts, ["cls", "__bin"]).join(F.broadcast(totals), "cls")
-    tp, n = F.col("tp_sum") + F.col("__tp"), F.col("seen") + F.col("__n")
-    return joined.select(
-        "frame_id", "det_id", "cls", "conf", "tp", n.alias("rank"), tp.alias("tpc"), (n - tp).alias("fpc"), (tp / F.col("n_truth")).alias("recall"), (tp / n).alias("precision")
+    starts = F.broadcast(starts.join(totals, "cls"))  # a row per range and one more per class
+    tp, n = F.col("__tp") + F.col("__tp0"), F.col("__n") + F.col("__n0")
+    return counted.join(starts, ["cls", "__range"]).select(
+        *cols, n.alias("rank"), tp.alias("tpc"), (n - tp).alias("fpc"), (tp / F.col("n_truth")).alias("recall"), (tp / n).alias("precision")
     )
 
 

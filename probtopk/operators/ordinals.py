@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch, written
+
 #: Values of the order column that one task ranks together.
 SPAN = 65_536
 
@@ -23,12 +25,26 @@ def with_ordinal(df: DataFrame, key: str, order: str, name: str = "pos", span: i
     return spans.withColumn(name, inside).join(starts, [key, "__span"]).withColumn(name, (F.col(name) + F.col("__start")).cast("long")).drop("__span", "__start")
 
 
-def with_rank(df: DataFrame, bins: list[str], order: list[str], name: str) -> DataFrame:
-    """`df` with the rank from 0 of each row by (bins, order): bins are counted first, rows are ordered inside their bin only."""
-    starts = df.groupBy(*bins).agg(F.count(F.lit(1)).alias("__n"))
-    starts = starts.select(*bins, F.coalesce(F.sum("__n").over(Window.orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy(*bins).orderBy(*order)) - 1
-    return df.withColumn(name, inside).join(starts, bins).withColumn(name, (F.col(name) + F.col("__start")).cast("long")).drop("__start")
+def range_dealt(df: DataFrame, *order: Column | str) -> DataFrame:
+    """`df` dealt into ranges of the order, sorted inside each. Borders come from a sample of rows and their whole order, so rows
+    that are equal in the first columns are spread by the others."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
+def with_range_rank(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """`df` with the rank from 0 of each row in a total order, whatever the values look like.
+
+    Rows are numbered inside ranges, which are written once; a row of counts per range gives the rank at which it starts.
+    """
+    at = F.monotonically_increasing_id()  # the number of the range in the high bits, that of the row in the low 33
+    numbered = written(range_dealt(df, *order).withColumn("__at", at), scratch(df.sparkSession, "ranges"))
+    placed = numbered.withColumn("__range", F.shiftright("__at", 33))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rank = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), "__range").select(*df.columns, rank.cast("long").alias(name))  # a row per range
 
 
 def low_end(df: DataFrame, value: Column, bin_of: Column, order: list[str], limit: float) -> DataFrame:
@@ -47,3 +63,20 @@ def low_end(df: DataFrame, value: Column, bin_of: Column, order: list[str], limi
     own = F.sum("__v").over(Window.partitionBy("__bin").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
     part = cut.withColumn("__own", own).where(F.col("__own") + F.col("__higher") < limit)
     return whole.select(*df.columns).unionByName(part.select(*df.columns))
+
+
+#: Rows that one task may order.
+ORDERED = 65_536
+
+
+def lowest(df: DataFrame, bin_of: Column, order: list[str], n: int) -> DataFrame:
+    """The n lowest rows. A few are a top-n; of many, bins (which rise with the order) below the cut are taken whole, and only rows of the bin of the cut are ranked."""
+    if n <= ORDERED:
+        return df.orderBy(*order).limit(n)
+    binned = df.withColumn("__bin", bin_of)
+    up = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = binned.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n")).withColumn("__to", F.sum("__n").over(up))
+    placed = binned.join(F.broadcast(counts.select("__bin", "__to", (F.col("__to") - F.col("__n")).alias("__from"))), "__bin").where(F.col("__from") < n)  # a row per bin
+    cut = placed.where(F.col("__to") > n)
+    ranked = with_range_rank(cut, [*order], "__rank").where(F.col("__rank") + F.col("__from") < n)
+    return placed.where(F.col("__to") <= n).select(*df.columns).unionByName(ranked.select(*df.columns))

@@ -9,16 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordinals import with_rank
-
-#: Characters at the end of a name (an extension and some digits) that tell names of one bin apart.
-TAIL = 8
+from ..operators.ordinals import with_range_rank
 
 
 def frame_numbers(names: DataFrame) -> DataFrame:
-    """(name, frame_id): names numbered from 0 by length, then name; bins of names that differ in their last TAIL characters only are counted first."""
-    binned = names.select("name", F.length("name").alias("__len"), F.expr(f"left(name, length(name) - {TAIL})").alias("__head"))
-    return with_rank(binned, ["__len", "__head"], ["name"], "frame_id").select("name", "frame_id")
+    """(name, frame_id): names numbered from 0 by length, then name; ranges of names are ordered apart, so any names spread over all tasks."""
+    return with_range_rank(names.select("name", F.length("name").alias("__len")), ["__len", "name"], "frame_id").select("name", "frame_id")
 
 
 def read_frame_dir(spark: SparkSession, path: str) -> DataFrame:

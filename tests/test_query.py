@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probtopk.jobs import query, search
-from probtopk.operators import metrics, ordinals, scoring, topk, windows
+from probtopk.operators import detections, metrics, ordinals, scoring, topk, windows
 from probtopk.sources import frames as sources
 from probtopk.sources.shared import scratch
 
@@ -178,3 +178,67 @@ def test_with_ordinal_of_one_key(spark):
     df = spark.range(1000).select(F.lit("a").alias("key"), (F.col("id") * 3).alias("at"))
     got = {r["at"]: r["pos"] for r in ordinals.with_ordinal(df, "key", "at", span=64).collect()}
     assert got == {3 * i: i for i in range(1000)}
+
+
+# Ranges.
+def test_many_random_names_are_dealt_evenly(spark):
+    names = spark.range(1_000_000).select(F.concat(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 12), F.lit(".jpg")).alias("name"))
+    sizes = [r["count"] for r in ordinals.range_dealt(names, "name").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * np.median(sizes)
+    numbered = sources.frame_numbers(names).orderBy("frame_id").limit(3).collect()
+    first = names.orderBy("name").limit(3).collect()
+    assert [(r["name"], r["frame_id"]) for r in numbered] == [(r["name"], i) for i, r in enumerate(first)]
+
+
+def test_curve_of_equal_confidences_is_spread_and_exact(spark):
+    """One class, one confidence: the running counts are those in order of frame and detection, and no range has more than its share."""
+    n = 200_000
+    rows = spark.range(n).select(F.floor(F.col("id") / 4).alias("frame_id"), (F.col("id") % 4).alias("det_id"), F.lit(1).alias("cls"), F.lit(0.5).alias("conf"), (F.col("id") % 3 == 0).cast("int").alias("tp"))
+    truth = spark.range(n).select(F.lit(1).alias("cls"))
+    curve = metrics.pr_curve(rows, truth).withColumn("at", F.col("frame_id") * 4 + F.col("det_id"))
+    assert curve.where("rank != at + 1 OR tpc != at div 3 + 1").count() == 0 and curve.count() == n
+    sizes = [r["count"] for r in ordinals.range_dealt(rows, "cls", F.desc("conf"), "frame_id", "det_id").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * np.median(sizes)
+
+
+def test_one_pass_suppresses_and_matches(spark):
+    rng = np.random.default_rng(8)
+    schema = "frame_id long, det_id long, cls int, x1 double, y1 double, x2 double, y2 double, obj_conf double, cls_conf double, rank_score double"
+
+    def some(n_frames, most):
+        for f in range(n_frames):
+            for d in range(int(rng.integers(0, most))):
+                x, y, s = *map(float, rng.integers(0, 60, 2)), float(rng.integers(10, 40))
+                yield f, d, int(rng.integers(0, 3)), x, y, x + s, y + s, float(rng.uniform(0.05, 1)), 0.9, float(rng.integers(1, 4))
+
+    boxes = spark.createDataFrame(list(some(80, 14)), schema)
+    truth = spark.createDataFrame(list(some(80, 8)), schema).select("frame_id", "cls", *detections.CORNERS)
+    two = detections.match_detections(detections.non_max_suppression(boxes, 0.1, 0.3).withColumnRenamed("obj_conf", "conf"), truth, 0.3)
+    one = detections.suppress_and_match(boxes, truth, 0.1, 0.3, 0.3)
+    assert str(one._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(one) == rows(two) and any(r[-1] for r in rows(one))
+    assert detections.suppress_and_match(boxes.limit(0), truth).count() == 0 and detections.suppress_and_match(boxes, truth.limit(0)).where("tp > 0").count() == 0
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 20])
+def test_matches_of_many_pairs_at_once(monkeypatch, pairs):
+    """Against a plain loop, whatever number of pairs is measured together."""
+    monkeypatch.setattr(detections, "PAIRS", pairs)
+    rng = np.random.default_rng(2)
+    rows = sorted((int(rng.integers(0, 25)), int(rng.integers(0, 2)), i) for i in range(400))
+    frame, is_pred, cls = np.array([r[0] for r in rows]), np.array([r[1] == 1 for r in rows]), rng.integers(0, 3, 400)
+    corner = rng.integers(0, 12, (400, 2)).astype(float)
+    corners = np.hstack([corner, corner + rng.integers(4, 9, (400, 2))])
+    want = np.zeros(400, int)
+    for f in set(frame.tolist()):
+        truth, free = np.flatnonzero((frame == f) & ~is_pred), set()
+        free = set(truth.tolist())
+        for i in np.flatnonzero((frame == f) & is_pred):
+            if len(truth) and cls[i] in cls[truth]:
+                overlap = detections._overlaps(corners[i], corners[truth])
+                at = int(overlap.argmax())
+                if overlap[at] >= 0.3 and int(truth[at]) in free:
+                    want[i] = 1
+                    free.discard(int(truth[at]))
+    assert detections._match(frame, is_pred, cls, corners, 0.3).tolist() == want.tolist() and want.sum() > 10

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from probtopk.functions import distribution as D
 from probtopk.jobs import search
-from probtopk.operators import topk
+from probtopk.jobs.uncertain import BinnedFrames, MixtureFrames
+from probtopk.operators import ordinals, topk
 
 NEG = float("-inf")
 
@@ -134,3 +135,85 @@ def test_empty_candidates(spark):
     none = mix.where(F.lit(False))
     a = search.topk_frames(oracle, none, k=2, num_train=0.0, num_valid=0.0)
     assert a.topk.count() == 0 and a.scored == 0
+
+
+def random_mixtures(spark, n, seed=0, sigma=(1.0, 3.0)):
+    rng = np.random.default_rng(seed)
+    mus = np.minimum(rng.exponential(4, n), 48)
+    rows = [("v", i, [0.7, 0.3], [float(m), float(m + 1)], [float(rng.uniform(*sigma)), 2.0]) for i, m in enumerate(mus)]
+    return spark.createDataFrame(rows, "video_id string, frame_id long, pi array<double>, mu array<double>, sigma array<double>")
+
+
+def test_bounds_spare_most_evaluations(spark):
+    lam, mu, b = 22, 25, 10
+    u = D.log_tables(random_mixtures(spark, 4000, 0, (4.0, 9.0)).withColumn("cdf", D.mixture_cdf_columns(50))).where(F.get("log_cdf", F.lit(lam)) < 0).drop("cdf").persist()
+    h = sums(u, 50)
+    brute = topk.expected_confidence(u, h, lam, mu).orderBy(F.desc("expected"), "frame_id").limit(b).collect()
+    found, n = topk.best_by_bound(topk.upper_bound(u, h, lam, mu), lambda rows: topk.expected_confidence(rows, h, lam, mu), b)
+    assert [(r["frame_id"], r["expected"]) for r in found.collect()] == [(r["frame_id"], r["expected"]) for r in brute]
+    assert n < u.count() / 10
+    ticks = D.log_tables(u.select("video_id", "frame_id", "pi", "mu", "sigma").withColumn("cdf", D.mixture_cdf_columns(mu + 1, first=lam)))
+    few = topk.select_candidates(ticks, h, lam, mu, b, first=lam).collect()
+    assert [r["frame_id"] for r in few] == [r["frame_id"] for r in brute]
+
+
+def test_equal_bounds_and_hopeless_frames_go_by_frame_id(spark):
+    u = tables(spark, [[0.2, 0.5, 0.8, 1.0]] * 30)
+    h = sums(u, 4)
+    assert [r["frame_id"] for r in topk.select_candidates(u, h, 1, 2, 3).collect()] == [0, 1, 2]
+    none = tables(spark, [[0.0, 0.0, 0.0, 1.0]] * 30)
+    assert [r["frame_id"] for r in topk.select_candidates(none, sums(none, 4), 1, 2, 3).collect()] == [0, 1, 2]
+
+
+def test_log_tables_of_a_range_of_ticks(spark):
+    mix = random_mixtures(spark, 20)
+    whole = {r["frame_id"]: r for r in D.log_tables(D.mixture_cdf(mix, 30)).collect()}
+    for part in (D.log_tables(D.mixture_cdf(mix, 30, first=7)), D.log_tables(mix.withColumn("cdf", D.mixture_cdf_columns(30, first=7)))):
+        for r in part.collect():
+            assert np.allclose(r["log_cdf"], whole[r["frame_id"]]["log_cdf"][7:]) and np.allclose(r["log_pdf"][1:], whole[r["frame_id"]]["log_pdf"][8:])
+
+
+@pytest.mark.parametrize("rule", ["cutoff", "expected"])
+def test_sums_are_kept_up(spark, rule):
+    frames = MixtureFrames(random_mixtures(spark, 400, 3, (0.1, 2.0)), 50)
+    lam = 12
+    for turn in range(3):
+        conf, n_open = frames.at(lam + turn, 20, rule)
+        fresh = topk.LogSums.of(frames.left(), frames.sums.first, frames.sums.last)
+        assert frames.sums.n_inf == fresh.n_inf and frames.sums.n_open == fresh.n_open and np.allclose(frames.sums.finite, fresh.finite, atol=1e-9)
+        assert n_open == frames.left().where(D.cdf_at(lam + turn) < 1.0).count()
+        chosen = frames.cutoff(lam + turn, 0.9, 7) if rule == "cutoff" else frames.expected(lam + turn, lam + turn + 2, 7)
+        rows = chosen.select(*frames.columns).collect()
+        assert len(rows) == 7 and (conf == NEG or conf < math.log(0.9))
+        frames.scored(spark.createDataFrame(rows, frames.frames.select(*frames.columns).schema), [(r["video_id"], r["frame_id"]) for r in rows])
+    frames.close()
+
+
+@pytest.mark.parametrize("rule", ["cutoff", "expected"])
+def test_bins_choose_what_their_mixtures_would(spark, rule):
+    proxy_rows = [(b, [1.0], [float(b)], [1.5]) for b in range(30)]
+    bins = spark.createDataFrame(proxy_rows, "bin int, pi array<double>, mu array<double>, sigma array<double>")
+    ids = spark.range(900).select(F.lit("v").alias("video_id"), F.col("id").alias("frame_id"), F.pmod(F.col("id") * 7, F.lit(29)).cast("int").alias("bin"))
+    binned, mixed = BinnedFrames(ids, bins, 50), MixtureFrames(ids.join(bins, "bin").drop("bin"), 50)
+    for lam, most in ((27, 11), (28, 40), (29, 5)):
+        got = [x.at(lam, 33, rule) for x in (binned, mixed)]
+        assert got[0][1] == got[1][1] and got[0][0] == pytest.approx(got[1][0])
+        rows = [x.cutoff(lam, 0.9, most) if rule == "cutoff" else x.expected(lam, 31, most) for x in (binned, mixed)]
+        rows = [sorted((r["video_id"], r["frame_id"]) for r in df.collect()) for df in rows]
+        assert rows[0] == rows[1] and len(rows[0]) == most
+        for x in (binned, mixed):
+            at = x.left().where(F.col("frame_id").isin([i for _, i in rows[0]])).select(*x.columns)
+            x.scored(spark.createDataFrame(at.collect(), at.schema), rows[0])
+
+
+def test_lowest_rows_of_many(spark, monkeypatch):
+    monkeypatch.setattr(ordinals, "ORDERED", 10)
+    df = spark.range(500).select(F.col("id").alias("frame_id"), (F.pmod(F.col("id") * 37, F.lit(5)) / 10).alias("f"))
+    want = sorted((r["f"], r["frame_id"]) for r in df.collect())[:333]
+    assert sorted((r["f"], r["frame_id"]) for r in ordinals.lowest(df, F.floor(F.col("f") * 4), ["f", "frame_id"], 333).collect()) == want
+
+
+def test_missing_rows_are_scored_first(spark):
+    oracle, mix = proxy(spark, [1, 5, 9, 3])
+    a = search.topk_frames(oracle, mix, k=2, num_train=0.0, num_valid=0.0, max_rounds=1)
+    assert a.scored == 2 and {r["score"] for r in a.topk.collect()} == {9, 5}

@@ -1,12 +1,13 @@
 """Spelling variants: words one edit apart, grouped under the form that is much commoner.
 
 1. Occurrences are counted per word; Spark sums them partly before the shuffle.
-2. Words are dealt by ranges and cut into trie shards of bounded size. A shard is a trie in
+2. Words are dealt by ranges and cut into trie shards of bounded size. A shard is a trie, and one of the reversed words, in
    a few flat arrays: nodes in breadth-first order, so the children of a node lie
    side by side, with a label each, and a count where a word ends.
 3. Shards are sent to all workers, ROUND_BYTES at a time. Each word's distance-one Levenshtein automaton is intersected
    with every shard depth-first: down the word's own path as long as no edit is spent, from
-   every node of it with one inserted, deleted or replaced letter, after which only one path is left.
+   every node of it with one inserted, deleted or replaced letter, after which only one path is left. Edits
+   in the first half of a word are made on its way down the trie of reversed words.
 4. A word and a round give one row: how many accepting neighbours, and the best. Rows are
    reduced per word; neighbours are never listed.
 5. Roots follow forms by doubling. A form is at least MIN_RATIO times as common, so chains are short.
@@ -29,8 +30,11 @@ from . import common
 #: Letters of words, as a regular-expression class body.
 LETTERS = r"A-Za-zÀ-ÿ"
 MIN_CHARS, MIN_COUNT, MIN_RATIO, EVERY = 7, 2, 10, 31
+#: Words that one task walks through the tries.
+WORDS_A_TASK = 20_000
 #: Letters of a trie shard (a longer word has a shard of its own), and bytes of the shards that are sent out at once.
 SHARD_CHARS, ROUND_BYTES = 1 << 20, 64 << 20
+ARRAYS = ["first", "labels", "counts", "back_first", "back_labels", "back_counts"]
 FOUND_SCHEMA = "word string, n_near long, best_n long, best string"
 
 
@@ -77,58 +81,89 @@ def build_trie(words: list[str], counts: list[int]) -> dict:
 
 
 class Trie:
-    """A shard on a worker, which reads the arrays as they were sent."""
+    """One direction of a shard on a worker, which reads the arrays as they were sent."""
 
     def __init__(self, first: bytes, labels: bytes, counts: bytes):
         self.first, self.counts, self.labels = memoryview(first).cast("I"), memoryview(counts).cast("q"), labels
 
-    def child(self, node: int, letter: int) -> int:
-        return self.labels.find(letter, self.first[node], self.first[node + 1])
-
     def follow(self, node: int, word: bytes, at: int) -> int:
         """The count of the word that ends where word[at:] leads from a node, or 0."""
-        find, labels, first = self.labels.find, self.labels, self.first
-        for letter in word[at:] if len(word) - at < 64 else memoryview(word)[at:]:
-            node = find(letter, first[node], first[node + 1]) if node >= 0 else -1
+        find, first = self.labels.find, self.first
+        while at < len(word):
+            node = find(word[at], first[node], first[node + 1])
             if node < 0:
                 return 0
+            at += 1
         return self.counts[node]
 
-    def neighbours(self, word: bytes) -> Iterator[tuple[int, int, int, str]]:
-        """(count, place, letter, kind) of every word of the trie one edit away, each once: the automaton and the trie in step, depth-first."""
-        node, n, labels, first = 0, len(word), self.labels, self.first
+    def edits(self, word: bytes, start: int) -> Iterator[tuple[int, int, int, str]]:
+        """(count, place, letter, kind) of every word of the trie that is one edit away and shares at least `start` letters, each once.
+
+        The automaton and the trie go in step, depth-first; the place is where the two words first differ.
+        """
+        node, n, labels, first, counts, find = 0, len(word), self.labels, self.first, self.counts, self.labels.find
         for at in range(n + 1):
-            own = word[at] if at < n else -1
-            for child in range(first[node], first[node + 1]):
-                letter = labels[child]
-                if letter != own:
-                    if found := self.follow(child, word, at):
+            own, after = word[at] if at < n else -1, word[at + 1] if at + 1 < n else -1
+            if at >= start:
+                for child in range(first[node], first[node + 1]):
+                    letter = labels[child]
+                    if letter == own:
+                        continue
+                    if at == n:
+                        if counts[child]:
+                            yield counts[child], at, letter, "insert"
+                        continue
+                    low, high = first[child], first[child + 1]  # most ways end at the next letter
+                    down = find(own, low, high)
+                    if down >= 0 and (found := self.follow(down, word, at + 1)):
                         yield found, at, letter, "insert"
-                    if at < n and (found := self.follow(child, word, at + 1)):
+                    if after < 0:
+                        if counts[child]:
+                            yield counts[child], at, letter, "replace"
+                    elif (down := find(after, low, high)) >= 0 and (found := self.follow(down, word, at + 2)):
                         yield found, at, letter, "replace"
+                if at < n and after != own and (found := self.follow(node, word, at + 1)):
+                    yield found, at, 0, "delete"
             if at == n:
                 break
-            if (at + 1 == n or word[at + 1] != own) and (found := self.follow(node, word, at + 1)):
-                yield found, at, 0, "delete"
-            node = self.child(node, own)
+            node = find(own, first[node], first[node + 1])
             if node < 0:
                 break
 
 
+def neighbours(forward: Trie, backward: Trie, word: bytes) -> Iterator[tuple[int, bytes]]:
+    """(count, neighbour) of every word of a shard one edit away, each once.
+
+    Words that first differ in the second half are found in the trie, the others in that of reversed words, so no walk
+    leaves the word's own path near the root, where a trie is broad.
+    """
+    n = len(word)
+    half = n // 2
+    for found, *edit in forward.edits(word, half):
+        yield found, edited(word, *edit)
+    turned = word[::-1]
+    for found, *edit in backward.edits(turned, n - half):
+        other = edited(turned, *edit)[::-1]
+        if not word.startswith(other[:half]) or len(other) < half:  # the two differ before `half`; else they were found above
+            yield found, other
+
+
 def edited(word: bytes, at: int, letter: int, kind: str) -> bytes:
     middle = b"" if kind == "delete" else bytes([letter])
     return word[:at] + middle + word[at + (kind != "insert") :]
 
 
 def build_shards(words: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """(id, first, labels, counts, n_bytes) per trie shard, to be written before it is used. Ranges of words are cut as they stream by, so a task holds one shard of at most shard_chars letters, or one longer word."""
+    """(id, arrays of both tries, n_bytes) per shard, to be written before it is used. Ranges of words are cut as they stream by, so a task holds one shard of at most shard_chars letters, or one longer word."""
     chars = words.agg(F.coalesce(F.sum(F.length("word")), F.lit(0))).first()[0]
     dealt = words.repartitionByRange(max(1, -(-chars // shard_chars)), "word").sortWithinPartitions("word")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def shard() -> pd.DataFrame:
-            trie = build_trie(held, counts)
-            row = {"first": trie["first"].tobytes(), "labels": trie["labels"], "counts": trie["counts"].tobytes()}
+            turned = sorted((w[::-1], n) for w, n in zip(held, counts, strict=True))
+            row = {}
+            for way, trie in (("", build_trie(held, counts)), ("back_", build_trie([w for w, _ in turned], [n for _, n in turned]))):
+                row |= {f"{way}first": trie["first"].tobytes(), f"{way}labels": trie["labels"], f"{way}counts": trie["counts"].tobytes()}
             return pd.DataFrame([row | {"n_bytes": sum(map(len, row.values()))}])
 
         held, counts, size = [], [], 0
@@ -143,7 +178,7 @@ def build_shards(words: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
         if held:
             yield shard()
 
-    return dealt.mapInPandas(run, "first binary, labels binary, counts binary, n_bytes long").withColumn("id", F.monotonically_increasing_id())
+    return dealt.mapInPandas(run, ", ".join(f"{c} binary" for c in ARRAYS) + ", n_bytes long").withColumn("id", F.monotonically_increasing_id())
 
 
 def near_words(words: DataFrame, shards: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
@@ -155,29 +190,27 @@ def near_words(words: DataFrame, shards: DataFrame, round_bytes: int = ROUND_BYT
     upto = F.sum("n_bytes").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
     sizes = shards.select("id", "n_bytes").withColumn("round", F.floor((upto - F.col("n_bytes")) / round_bytes))  # a row of numbers per MB of words
     rounds = sizes.groupBy("round").agg(F.collect_list("id").alias("ids")).orderBy("round")
-    parts = []
+    parts, dealt = [], words.select("word").repartition(max(1, -(-words.count() // WORDS_A_TASK)), "word")
     for ids in [r["ids"] for r in rounds.toLocalIterator()]:
-        rows = shards.where(F.col("id").isin(ids)).select("first", "labels", "counts").collect()  # round_bytes
+        rows = shards.where(F.col("id").isin(ids)).select(*ARRAYS).collect()  # round_bytes
         sent = spark.sparkContext.broadcast([tuple(map(bytes, r)) for r in rows])
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            tries = [Trie(*r) for r in sent.value]
+            tries = [(Trie(*r[:3]), Trie(*r[3:])) for r in sent.value]
             for pdf in batches:
                 out = []
                 for word in pdf["word"]:
                     code, n_near, best_n, best = word.encode("latin-1"), 0, 0, b""
-                    for trie in tries:
-                        for found, *edit in trie.neighbours(code):
+                    for pair in tries:
+                        for found, other in neighbours(*pair, code):
                             n_near += 1
-                            if found >= best_n:
-                                other = edited(code, *edit)
-                                if found > best_n or other < best:
-                                    best_n, best = found, other
+                            if found > best_n or (found == best_n and other < best):
+                                best_n, best = found, other
                     if n_near:
                         out.append((word, n_near, best_n, best.decode("latin-1")))
                 yield pd.DataFrame(out, columns=["word", "n_near", "best_n", "best"])
 
-        parts.append(common.materialize(words.select("word").mapInPandas(run, FOUND_SCHEMA), "near-words"))
+        parts.append(common.materialize(dealt.mapInPandas(run, FOUND_SCHEMA), "near-words"))
         sent.destroy()
     if not parts:
         return words.select("word", F.lit(0).cast("long").alias("n_near"), F.col("word").alias("form"), F.col("n").alias("form_n")).limit(0)

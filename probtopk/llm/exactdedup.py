@@ -29,8 +29,8 @@ from . import common
 
 #: Slots of a bucket, evictions before the buckets double, digests that a task gathers before it hands them on.
 SLOTS, MAX_KICKS, GATHERED = 4, 200, 100_000
-#: Rows behind a shard of the index, and rows that probe one copy of it.
-SHARD_ROWS, PROBE_ROWS = 100_000, 100_000
+#: Rows behind a shard of the index; rows that probe one copy of it, at most, and twice the mean of the shards or this many, if that is less.
+SHARD_ROWS, PROBE_ROWS, LEAST_ROWS = 100_000, 100_000, 500
 
 
 class CuckooIndex:
@@ -273,8 +273,10 @@ def probe(index: DataFrame, rows: DataFrame, n_shards: int) -> DataFrame:
         return frame.astype({"uid": "int64", "group_size": "int64", "kept": bool})
 
     sharded = _sharded(rows, n_shards)
-    copies = sharded.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBE_ROWS).cast("int").alias("copies"))
-    copies = common.materialize(copies, "copies")  # a row of two numbers per shard
+    sizes = common.materialize(sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), "sizes")  # a row of two numbers per shard
+    mean = sizes.agg(F.coalesce(F.avg("n"), F.lit(0.0))).first()[0]
+    a_copy = min(PROBE_ROWS, max(LEAST_ROWS, int(2 * mean)))
+    copies = sizes.select("shard", F.ceil(F.col("n") / a_copy).cast("int").alias("copies"))
     dealt = common.lookup(_wrapped(sharded), copies, "shard").withColumn("copy", F.pmod(F.xxhash64("uid"), F.col("copies").cast("long")).cast("int"))
     of_shard = copies.select("shard", F.col("copies").alias("n"))
     spread = common.lookup(index, of_shard, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))

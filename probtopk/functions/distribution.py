@@ -8,6 +8,7 @@ Minus infinity stands for the logarithm of 0, as ln(0) is null in Spark.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,11 @@ SQRT2, LOG_SQRT_2PI = math.sqrt(2.0), 0.5 * math.log(2 * math.pi)
 ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` a value that is computed once, however often `of` reads it; inside lambdas Spark would compute it at every place."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _erf_of(x, exp, absolute, sign):
     t = 1.0 / (absolute(x) * ERF_P + 1.0)
     poly = t * 0.0
@@ -52,7 +58,7 @@ def _weighted(pi: str, *arrays: str, value) -> Column:
 def cdf_at(score: Column | int, pi: str = "pi", mu: str = "mu", sigma: str = "sigma") -> Column:
     """P(score <= s) of a mixture at one tick; what a round of the search needs."""
     tick = (F.lit(score) if isinstance(score, int) else score) + 0.5
-    return snap(_weighted(pi, mu, sigma, value=lambda m, s: normal_cdf(tick, m, s)))
+    return bound(_weighted(pi, mu, sigma, value=lambda m, s: normal_cdf(tick, m, s)), snap)
 
 
 def mixture_cdf_columns(max_score: int, pi: str = "pi", mu: str = "mu", sigma: str = "sigma", first: int = 0) -> Column:
@@ -103,15 +109,18 @@ def mixture_mean(pi: str = "pi", mu: str = "mu") -> Column:
 
 def mixture_moments(mix: DataFrame) -> DataFrame:
     """`mix` with mean and var of each mixture."""
-    with_mean = mix.withColumn("mean", mixture_mean())
-    return with_mean.withColumn("var", _weighted("pi", "mu", "sigma", value=lambda m, s: s * s + m * m - F.col("mean") * F.col("mean")))
+    around = lambda mean: _weighted("pi", "mu", "sigma", value=lambda m, s: s * s + m * m - mean * mean)
+    return mix.withColumns({"mean": mixture_mean(), "var": bound(mixture_mean(), around)})
 
 
 def logsumexp(values: Column) -> Column:
     """ln of the sum of exponentials; minus infinity where all are."""
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.when(top == NEG_INF, F.lit(NEG_INF)).otherwise(top + F.ln(total))
+
+    def below(v: Column, top: Column) -> Column:
+        total = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+        return F.when(top == NEG_INF, F.lit(NEG_INF)).otherwise(top + F.ln(total))
+
+    return bound(values, lambda v: bound(F.array_max(v), lambda top: below(v, top)))
 
 
 def mixture_nll(score: Column, pi: str = "pi", mu: str = "mu", sigma: str = "sigma", weight: Column | None = None) -> Column:

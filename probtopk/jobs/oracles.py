@@ -194,6 +194,7 @@ ORACLES: dict[str, str] = {
     "pick_reference": f"SELECT video_id, seg, ref_id, len(ref_features)::INT AS n_features FROM {REFS}",
     "mse_diff": f"SELECT a.frame_id, round({mse('a.features', 'b.features')}, 6) AS diff FROM {EMBEDDED} a JOIN {EMBEDDED} b ON b.frame_id = a.frame_id + 1",
     "difference_detect": f"SELECT video_id, frame_id, ref_id, round(diff, 6) + 0.0 AS diff, discarded FROM {DETECTED}",
+    "difference_detect_stored": f"SELECT video_id, frame_id, ref_id, round(diff, 6) + 0.0 AS diff, discarded FROM {DETECTED}",
     "mirror_lists": f"""SELECT k.video_id, k.frame_id, coalesce(string_agg(g.frame_id::VARCHAR, ',' ORDER BY g.frame_id), '') AS mirrors
         FROM {DETECTED} k LEFT JOIN {DETECTED} g ON g.discarded AND g.ref_id = k.frame_id WHERE NOT k.discarded GROUP BY ALL""",
     "apply_oracle": "SELECT doc_id, least(len(regexp_extract_all(coalesce(text, ''), '[Tt]he')), 49)::INT AS score FROM documents",
@@ -285,5 +286,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, {', '.join(f'list_transform([1, 2, 3], lambda i: exp(z{m}[i]) / (exp(z0[i]) + exp(z1[i]))) AS g{m}' for m in (0, 1))}
         FROM (SELECT frame_id, [score::DOUBLE, score + 1.0::DOUBLE, score - k / 50.0::DOUBLE] AS h, [k / 100.0::DOUBLE, 0.5::DOUBLE, -1.0::DOUBLE] AS z0, [0.25::DOUBLE, score / 10.0::DOUBLE, k / 40.0::DOUBLE] AS z1 FROM {FRAMES}))))""",
     "query_frames": f"SELECT * FROM {by_rank(topk(FRAMES))}",
+    "query_frames_model": f"SELECT * FROM {by_rank(topk(FRAMES))}",
+    "query_frames_expected": f"SELECT * FROM {by_rank(topk(FRAMES))}",
+    "query_windows_whole": f"SELECT * FROM {by_rank(f'(SELECT window_id AS frame_id, score FROM {clips(FRAMES, 30)} ORDER BY score DESC, window_id DESC LIMIT 20)')}",
     "query_documents": f"SELECT row_number() OVER (ORDER BY score DESC, doc_id DESC)::INT AS r, score FROM (SELECT doc_id, least(len(regexp_extract_all(coalesce(text, ''), '[Tt]he')), 49)::INT AS score FROM documents) ORDER BY r LIMIT 20",
 }

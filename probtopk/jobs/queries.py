@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -118,6 +119,12 @@ def difference_detect(s, d):
     return difference.difference_detect(X.embedded(s, d), DIFF, REF_DIST).withColumn("diff", r6("diff"))
 
 
+def difference_detect_stored(s, d):
+    """The same from frames stored by segment, which are compared where they are read."""
+    stored = difference.store_segments(X.embedded(s, d), REF_DIST, scratch(s, "segments"))
+    return difference.detect_stored(stored, DIFF).withColumn("diff", r6("diff"))
+
+
 def mirror_lists(s, d):
     found = difference.mirror_lists(difference.difference_detect(X.embedded(s, d), DIFF, REF_DIST))
     return found.select("video_id", "frame_id", F.array_join(F.col("mirrors").cast("array<string>"), ",").alias("mirrors"))
@@ -380,6 +387,38 @@ def query_frames(s, d):
     return metrics.by_rank(query.query_frames(frames, scores, FRAME_OPTIONS, k=K, conf_thres=0.99, cap=1024).topk)
 
 
+class Fitted(scoring.ProxyModel):
+    """Two components around a line through the labelled frames."""
+
+    def fit(self, train: DataFrame) -> Fitted:
+        row = train.agg(F.regr_slope("score", "feature").alias("slope"), F.regr_intercept("score", "feature").alias("start")).first()
+        self.slope, self.start = row["slope"], row["start"]
+        return self
+
+    def predict(self, batch: pd.DataFrame):
+        mu = batch["feature"].to_numpy(float)[:, None] * self.slope + self.start + [-0.4, 0.4]
+        return [[0.5, 0.5]] * len(mu), mu.tolist(), [[0.4, 0.4]] * len(mu)
+
+
+def query_frames_model(s, d):
+    """The whole query with a proxy of the user's own, which has the least validation loss."""
+    frames, scores = _featured(s, d)
+    options = replace(FRAME_OPTIONS, models=(Fitted(),))
+    return metrics.by_rank(query.query_frames(frames, scores, options, k=K, conf_thres=0.999, cap=1024).topk)
+
+
+def query_frames_expected(s, d):
+    """The whole query by the rule of the largest expected confidence."""
+    frames, scores = _featured(s, d)
+    return metrics.by_rank(query.query_frames(frames, scores, FRAME_OPTIONS, k=K, conf_thres=0.99, cap=256, rule="expected").topk)
+
+
+def query_windows_whole(s, d):
+    """The whole query for clips, scored by all of their frames."""
+    frames, scores = _featured(s, d)
+    return metrics.by_rank(query.query(frames, scores, FRAME_OPTIONS, 30, 1.0, k=20, conf_thres=0.999).topk)
+
+
 def query_frames_deduplicated(s, d):
     """The whole query over embeddings with labelled frames: near-duplicate test frames take their reference's score."""
     e = X.embedded(s, d)
@@ -523,12 +562,12 @@ def match_detections(s, d):
 
 
 _NAMES = """read_frame_dir read_frames read_oracle decode_box_blobs saved_stage video_prefix split_sizes split_frames sample_per_window complement union_certain multiset_overlap
-segment pick_reference mse_diff difference_detect mirror_lists apply_oracle apply_proxy lookup_scores object_count smooth_labels
+segment pick_reference mse_diff difference_detect difference_detect_stored mirror_lists apply_oracle apply_proxy lookup_scores object_count smooth_labels
 fit_binned_proxy model_grid select_model normal_cdf mixture_cdf log_tables mixture_moments mixture_nll logsumexp
 hypotheses_to_mixture round_half_even score_weights column_log_sums calibration_profile window_distribution window_truth
 sampled_window_scores result_summary complete_mixtures propagate_mirrors box_iou_join exact_topk merge_topk thresholds
 topk_confidence bootstrap_candidates expected_confidence upper_bound select_candidates cutoff_candidates topk_frames
-topk_frames_exact_proxy topk_frames_deduplicated topk_windows query_frames query_frames_deduplicated query_documents query_windows precision_at_k rank_distance score_error evaluate_topk
+topk_frames_exact_proxy topk_frames_deduplicated topk_windows query_frames query_frames_model query_frames_expected query_windows_whole query_frames_deduplicated query_documents query_windows precision_at_k rank_distance score_error evaluate_topk
 pr_curve average_precision detector_quality xywh_to_xyxy iou iou_variant wh_iou rescale_boxes relative_boxes detection_scores
 non_max_suppression match_detections"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES.split()}

@@ -45,7 +45,7 @@ class Answer:
     evaluated: int = 0  # rows whose expected confidence was computed
 
 
-def scorer(oracle: DataFrame | ScoringUDF, frames: DataFrame | None = None, max_score: int | None = None) -> Scorer:
+def scorer(oracle: DataFrame | ScoringUDF, frames: DataFrame | None = None, max_score: int | None = None, batch: int | None = None) -> Scorer:
     """Looks chosen frames up in a table, or runs a ScoringUDF on the rows of `frames` that were chosen; these scores are written, so that no frame is scored twice."""
     if isinstance(oracle, DataFrame):
         return lambda ids: scoring.lookup_scores(ids, oracle)
@@ -54,7 +54,7 @@ def scorer(oracle: DataFrame | ScoringUDF, frames: DataFrame | None = None, max_
 
     def run(ids: DataFrame) -> DataFrame:
         chosen = frames.join(ids.select(*IDS).distinct(), IDS)
-        return written(scoring.apply_oracle(chosen, oracle, max_score).select(*IDS, "score"), scratch(frames.sparkSession, "scored"))
+        return written(scoring.apply_oracle(chosen, oracle, max_score, batch).select(*IDS, "score"), scratch(frames.sparkSession, "scored"))
 
     return run
 
@@ -150,21 +150,28 @@ def topk_frames(
 
 def topk_windows(
     oracle: DataFrame | ScoringUDF, mixtures: DataFrame, window: int, window_samples: float = 0.1, k: int = 100, conf_thres: float = 0.9, cap: int = 256,
-    seed: int = 0, frames: DataFrame | None = None, max_rounds: int | None = None,
+    seed: int = 0, frames: DataFrame | None = None, max_rounds: int | None = None, rule: str = "cutoff",
 ) -> Answer:
     """The k clips of `window` frames with the highest mean scores; frame_id is the clip's number.
 
     `mixtures` has one row for every frame (complete_mixtures). A clip is scored by window * window_samples of its frames, at least one.
     """
-    clips = written(windows.window_distribution(mixtures, window).withColumnRenamed("window_id", "frame_id"), scratch(mixtures.sparkSession, "clips"))
+    clips = written(windows.window_distribution(mixtures, window), scratch(mixtures.sparkSession, "clips"))
+    return search_clips(scorer(oracle, frames), clips, mixtures, window, window_samples, k, conf_thres, cap, seed, max_rounds, rule)
+
+
+def search_clips(
+    score_of: Scorer, clips: DataFrame, frames: DataFrame, window: int, window_samples: float, k: int, conf_thres: float, cap: int, seed: int = 0,
+    max_rounds: int | None = None, rule: str = "cutoff", max_score: int = 50,
+) -> Answer:
+    """topk_windows over a written table of clips (video_id, window_id, pi, mu, sigma); `frames` says which frames a clip has."""
     n = max(1, int(window * window_samples))
-    of_frames = scorer(oracle, frames)
 
-    def score_of(ids: DataFrame) -> DataFrame:
-        sampled = windows.sampled_frames(ids.withColumnRenamed("frame_id", "window_id"), mixtures, window, n, seed)
-        return windows.window_truth(of_frames(sampled), window).withColumnRenamed("window_id", "frame_id")
+    def score_clips(ids: DataFrame) -> DataFrame:
+        sampled = windows.sampled_frames(ids.withColumnRenamed("frame_id", "window_id"), frames, window, n, seed)
+        return windows.window_truth(score_of(sampled), window).withColumnRenamed("window_id", "frame_id")
 
-    return _rounds(None, clips, score_of, k, conf_thres, cap, max_rounds)
+    return _rounds(None, clips.withColumnRenamed("window_id", "frame_id"), score_clips, k, conf_thres, cap, max_rounds, rule, max_score)
 
 
 def detect_and_search(frames: DataFrame, oracle: DataFrame | ScoringUDF, mixtures: DataFrame, diff_thres: float, ref_dist: int, num_train: float = 0.005, num_valid: float = 3000, seed: int = 0, **kw) -> Answer:

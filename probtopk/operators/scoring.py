@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -14,8 +15,13 @@ from .ordinals import SPAN
 KNOWN_SIGMA = 0.1
 
 
+#: What initialize() of the latest scorers has made in this Python worker, by scorer, and how many are kept.
+_READY: dict[str, dict] = {}
+READY_MOST = 2
+
+
 class ScoringUDF:
-    """A user's scorer: initialize() runs once per worker, score() takes a batch and returns integers."""
+    """A user's scorer: initialize() runs once in every Python worker, whose tasks share what it sets on the object; score() takes a batch and returns integers."""
 
     def initialize(self) -> None:
         pass
@@ -23,19 +29,69 @@ class ScoringUDF:
     def score(self, batch: pd.DataFrame) -> Sequence[int]:
         raise NotImplementedError
 
+    def key(self) -> str:
+        """Names the scorer in all workers; drawn at its first use."""
+        return self.__dict__.setdefault("_key", uuid.uuid4().hex)
 
-def apply_oracle(frames: DataFrame, udf: ScoringUDF, max_score: int | None = None) -> DataFrame:
-    """`frames` with score; every frame is scored, a batch of Arrow rows at a time, clipped to max_score - 1 if one is given."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def ready(udf: ScoringUDF) -> ScoringUDF:
+    """The scorer, initialized if this worker has not seen it yet; else with what it has made then (a model, a connection)."""
+    made = _READY.pop(udf.key(), None)
+    if made is None:
+        before = dict(udf.__dict__)
         udf.initialize()
-        for pdf in batches:
-            scores = pd.Series(udf.score(pdf), index=pdf.index, dtype="int32")
+        made = {k: v for k, v in udf.__dict__.items() if k not in before or before[k] is not v}
+        while len(_READY) >= READY_MOST:
+            _READY.pop(next(iter(_READY)))
+    udf.__dict__.update(made)
+    _READY[udf.key()] = made
+    return udf
+
+
+def sliced(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.DataFrame]:
+    """The same rows in batches of exactly `size`, but for the last one of a task; as they come if no size is given."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if size is None:
+            yield pdf
+            continue
+        held.append(pdf)
+        if sum(map(len, held)) >= size:
+            rows = pd.concat(held, ignore_index=True)
+            whole = len(rows) // size * size
+            for at in range(0, whole, size):
+                yield rows.iloc[at : at + size].reset_index(drop=True)
+            held = [rows.iloc[whole:]]
+    rest = pd.concat(held, ignore_index=True) if held else ()
+    if len(rest):
+        yield rest
+
+
+def apply_oracle(frames: DataFrame, udf: ScoringUDF, max_score: int | None = None, batch: int | None = None) -> DataFrame:
+    """`frames` with score; every frame is scored, `batch` rows at a time (as Arrow sends them if none is given), clipped to max_score - 1 if one is given."""
+    udf.key()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from probtopk.operators import scoring  # the worker's module, which outlives the task
+
+        scorer = scoring.ready(udf)
+        for pdf in scoring.sliced(batches, batch):
+            scores = pd.Series(scorer.score(pdf), index=pdf.index, dtype="int32")
             yield pdf.assign(score=scores if max_score is None else scores.clip(upper=max_score - 1))
 
     return frames.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + ", score int")
 
 
+class ProxyModel:
+    """A user's proxy: fit() learns from labelled train frames (score and the query's columns), predict() gives (pi, mu, sigma) of a batch, each n x M."""
+
+    def fit(self, train: DataFrame) -> ProxyModel:
+        return self
+
+    def predict(self, batch: pd.DataFrame):
+        raise NotImplementedError
+
+
 def apply_proxy(frames: DataFrame, model, keep: Sequence[str] = ("video_id", "frame_id")) -> DataFrame:
     """(keep, pi, mu, sigma) from a model object with predict(batch) -> (pi, mu, sigma), each of shape n x M."""
     schema = ", ".join(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in keep)
@@ -101,12 +157,9 @@ def fit_binned_proxy(train: DataFrame, n_bins: int, sigma: float, max_score: int
 
 def model_grid(spark: SparkSession, lists: Mapping[str, Sequence]) -> DataFrame:
     """All combinations of values, with model_id in order of the lists; as many rows as the lists' lengths multiply to."""
-    grid, n = None, 1
-    for name, values in lists.items():
-        part = spark.createDataFrame([(i, v) for i, v in enumerate(values)], [f"__{name}", name])
-        grid, n = part if grid is None else grid.crossJoin(part), n * len(values)
-    turn = F.lit(0)
+    grid, turn = spark.range(0, 1, 1, 1), F.lit(0)
     for name, values in lists.items():
+        grid = grid.select("*", F.posexplode(F.array(*map(F.lit, values))).alias(f"__{name}", name))
         turn = turn * len(values) + F.col(f"__{name}")
     return grid.select(turn.cast("int").alias("model_id"), *lists)
 

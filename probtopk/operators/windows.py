@@ -29,16 +29,48 @@ def complete_mixtures(labelled: DataFrame, mix: DataFrame, mirrors: DataFrame) -
     return own.unionByName(copies)
 
 
+def complete_moments(labelled: DataFrame, moments: DataFrame, mirrors: DataFrame) -> DataFrame:
+    """(video_id, frame_id, mean, var) of every frame: what complete_mixtures gives, as two numbers a frame. `moments` are those of the remaining frames."""
+    known = labelled.select("video_id", "frame_id", F.col("score").cast("double").alias("mean"), F.lit(KNOWN_SIGMA * KNOWN_SIGMA).alias("var"))
+    own = known.unionByName(moments.select("video_id", "frame_id", "mean", "var"))
+    copies = mirrors.select("video_id", "frame_id", "ref_id").join(own.withColumnRenamed("frame_id", "ref_id"), ["video_id", "ref_id"])
+    return own.unionByName(copies.select("video_id", "frame_id", "mean", "var"))
+
+
+def sign() -> list[Column]:
+    """Aggregates n and sign: the number of frames and an order-free hash of their ids."""
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("video_id", "frame_id")).alias("sign")]
+
+
+def signature(frames: DataFrame) -> tuple[int, int]:
+    row = frames.agg(*sign()).first()
+    return row["n"], row["sign"] or 0
+
+
+def _checked(found: tuple[int, int], wanted: tuple[int, int]) -> None:
+    if found != wanted:
+        raise ValueError(f"{found[0]} mixtures for {wanted[0]} frames, or other frames")
+
+
 def checked_coverage(full_mix: DataFrame, frames: DataFrame) -> DataFrame:
-    """`full_mix`, if it has one mixture for every frame and none besides; else an error. Both are counted by an order-free hash of their ids."""
-    signs = []
-    for df in (full_mix, frames):
-        signs.append(tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("video_id", "frame_id"))).first()))
-    if signs[0] != signs[1]:
-        raise ValueError(f"{signs[0][0]} mixtures for {signs[1][0]} frames, or other frames")
+    """`full_mix`, if it has one mixture for every frame and none besides; else an error."""
+    _checked(signature(full_mix), signature(frames))
     return full_mix
 
 
+def moment_windows(moments: DataFrame, window: int) -> DataFrame:
+    """(video_id, window_id, pi, mu, sigma, n, sign): window_distribution from moments, and what coverage is checked by, in one aggregation."""
+    clips = moments.groupBy("video_id", window_id(window).alias("window_id")).agg(F.avg("mean").alias("mean"), F.avg("var").alias("var"), *sign())
+    return clips.select("video_id", "window_id", F.array(F.lit(1.0)).alias("pi"), F.array("mean").alias("mu"), F.array(F.sqrt("var")).alias("sigma"), "n", "sign")
+
+
+def checked_windows(clips: DataFrame, wanted: tuple[int, int]) -> DataFrame:
+    """Clips as of moment_windows, a written table, if they cover exactly the frames of a signature; else an error."""
+    row = clips.agg(F.sum("n").alias("n"), F.bit_xor("sign").alias("sign")).first()
+    _checked((row["n"] or 0, row["sign"] or 0), wanted)
+    return clips.drop("n", "sign")
+
+
 def propagate_mirrors(cleaned: DataFrame, mirrors: DataFrame) -> DataFrame:
     """(video_id, frame_id, score): discarded frames take the score of their reference."""
     refs = cleaned.select("video_id", F.col("frame_id").alias("ref_id"), "score")

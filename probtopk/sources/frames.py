@@ -89,6 +89,16 @@ def load_stage(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
 
 
+def mark_stage(spark: SparkSession, folder: str, name: str, made_from: str) -> None:
+    """Notes beside a stage what it was made from (options, frames)."""
+    spark.createDataFrame([(made_from,)], "made_from string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}.made_from")
+
+
+def stage_mark(spark: SparkSession, folder: str, name: str) -> str | None:
+    """What a stage was made from, or None if that was not noted."""
+    return spark.read.parquet(f"{folder}/{name}.made_from").first()[0] if has_stage(spark, folder, f"{name}.made_from") else None
+
+
 def video_prefix(path: Column) -> Column:
     """File name without directories and without its last extension; dots at the start begin no extension."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"^(\.*[^.].*)\.[^.]*$", "$1")

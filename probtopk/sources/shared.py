@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of a few numbers a row that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +37,8 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """`df` as Parquet at `path`, read back: computed once, without its plan, and there when executors are lost."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` joined with a written table of a few numbers a row, which is broadcast if it has at most `most` rows by count; a larger one is dealt like `df`."""
+    return df.join(F.broadcast(table) if table.count() <= most else table, on, how)

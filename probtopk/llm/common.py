@@ -82,6 +82,16 @@ def smallest_hashes(df: DataFrame, rows: int, *key: str) -> DataFrame:
     return near.orderBy(u, F.xxhash64(*key), *key).limit(rows)
 
 
+def hide(docs: DataFrame, *needed: str) -> DataFrame:
+    """`docs` with all columns but the needed ones under names that no operator uses, so that none of theirs can clash."""
+    return docs.select(*[docs[f"`{c}`"].alias(c if c in needed else f"__other_{i}") for i, c in enumerate(docs.columns)])
+
+
+def show(rows: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """Rows of hide() with the names and the order of the columns of `docs`."""
+    return rows.select(*[F.col(c if c in needed else f"__other_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -442,11 +442,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows without words, and rows without an id, all stay. Of rows that repeat an id, all go if one of them is
     in the component of a smaller id, else all stay. Null and empty texts stay, very long texts are read whole, an empty
-    table gives no rows, and columns other than id and text are handed on.
+    table gives no rows, and columns other than id and text are handed on, whatever their names.
     """
-    classes = similarity_classes(docs, id_col, text_col)
+    hidden = common.hide(docs, id_col, text_col)
+    classes = similarity_classes(hidden, id_col, text_col)
     gone = classes.where((F.col("n_shingles") > 0) & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return common.show(hidden.join(gone, F.col(id_col) == F.col("__gone"), "left_anti"), docs, id_col, text_col)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

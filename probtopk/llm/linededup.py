@@ -8,9 +8,8 @@ array of fingerprints (the second hashes) and an array of document counts, both
 the perfect hash. Documents probe these arrays with packed hashes; lines are never
 joined as text. A key that is not in the index is told by its fingerprint.
 
-Keys that make up more than 1 / HOT_SHARE of all probes are at most HOT_SHARE
-many. They are answered before the probes are dealt to shards, so no
-shard gets a flood for one common line.
+A shard that a common line floods with probes is copied, and its probes are dealt to the copies by the number of
+their row, so every key is answered by the arrays and no task has more than about twice its share.
 """
 
 from __future__ import annotations
@@ -23,9 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_DOCS = 10
-HOT_SHARE = 65_536
-#: Mean number of probes per shard.
-SHARD_PROBES = 200_000
+#: Mean number of probes per shard, and the least number for which a shard is copied.
+SHARD_PROBES, LEAST_PROBES = 200_000, 2_000
 #: Bits per key in each level of the perfect hash.
 GAMMA = 2
 MAX_LEVELS = 64
@@ -47,9 +45,10 @@ def _first_hash(key: Column) -> Column:
 
 
 def key_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, th, keys): distinct (h1, h2) of the keys of a row; th tells rows of one id apart."""
+    """(uid, id, th, keys): distinct (h1, h2) of the keys of a row; th tells rows of one id apart, uid numbers all rows and holds in a written table only."""
     keys = F.filter(F.transform(split_lines(text_col), line_key), lambda k: F.length(k) >= max(min_chars, 1))
     return docs.select(
+        F.monotonically_increasing_id().alias("uid"),
         F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("th"),
         F.transform(F.array_distinct(keys), lambda k: F.struct(_first_hash(k).alias("h1"), F.xxhash64(k, F.lit(1)).alias("h2"))).alias("keys"),
@@ -132,19 +131,22 @@ def _prober(min_docs: int):
 def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, min_chars: int = 1) -> DataFrame:
     """(id, th, drop): per row with such lines, the first hashes of its keys that are in min_docs rows."""
     keys = common.materialize(key_hashes(docs, id_col, text_col, min_chars), "line-keys")
-    probes = keys.select("id", "th", F.explode("keys").alias("k")).select("id", "th", "k.h1", "k.h2")
     n_probes = keys.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     n_shards = max(1, -(-n_probes // SHARD_PROBES), common.n_partitions(docs.sparkSession))
-    counts = probes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= 2)
-    counts = common.materialize(counts, "line-counts")
-    hot = counts.where(F.col("n_docs") > max(min_docs, n_probes / HOT_SHARE)).select("h1", "h2", F.lit(True).alias("hot"), "n_docs")
-    marked = probes.join(F.broadcast(hot), ["h1", "h2"], "left")  # at most HOT_SHARE keys
-    at_once = marked.where(F.col("hot") & (F.col("n_docs") >= min_docs)).select("id", "th", "h1")
-    index = build_index(counts, n_shards)
-    dealt = marked.where("hot IS NULL").select("id", "th", "h1", "h2", F.pmod("h2", F.lit(n_shards)).cast("int").alias("shard"))
+    probes = keys.select("uid", "id", "th", F.explode("keys").alias("k")).select("uid", "id", "th", "k.h1", "k.h2")
+    probes = probes.withColumn("shard", F.pmod("h2", F.lit(n_shards)).cast("int"))
+    counts = common.materialize(probes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")), "line-counts")
+    repeated = counts.where(F.col("n_docs") >= 2)
+    sizes = common.materialize(counts.groupBy(F.pmod("h2", F.lit(n_shards)).cast("int").alias("shard")).agg(F.sum("n_docs").alias("n")), "shard-probes")
+    a_copy = max(LEAST_PROBES, -(-2 * n_probes // n_shards))
+    copies = sizes.select("shard", F.ceil(F.col("n") / a_copy).cast("int").alias("copies"))  # two numbers a shard
+    of_shard = copies.select("shard", F.col("copies").alias("n"))
+    index = common.materialize(build_index(repeated, n_shards), "line-index")
+    spread = common.lookup(index, of_shard, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    dealt = common.lookup(probes, copies, "shard").withColumn("copy", F.pmod(F.xxhash64("uid"), F.col("copies").cast("long")).cast("int")).drop("copies", "uid")
     schema = f"id {keys.schema['id'].dataType.simpleString()}, th long, h1 long"
-    found = dealt.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_prober(min_docs), schema)
-    return at_once.unionByName(found).groupBy("id", "th").agg(F.collect_set("h1").alias("drop"))
+    found = dealt.groupBy("shard", "copy").cogroup(spread.groupBy("shard", "copy")).applyInPandas(_prober(min_docs), schema)
+    return found.groupBy("id", "th").agg(F.collect_set("h1").alias("drop"))
 
 
 def with_kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -162,9 +164,11 @@ def with_kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """`docs` with the repeated lines taken out of its text; null text stays null."""
+    """`docs` with the repeated lines taken out of its text; null text stays null, other columns may have any names."""
+    hidden = common.hide(docs, id_col, text_col)
     kept = F.when(F.col(text_col).isNotNull(), F.array_join("__kept", "\n")).alias(text_col)
-    return with_kept_lines(docs, id_col, text_col, **kw).select(*[kept if c == text_col else F.col(c) for c in docs.columns])
+    rows = with_kept_lines(hidden, id_col, text_col, **kw).select(*[kept if c == text_col else F.col(c) for c in hidden.columns])
+    return common.show(rows, docs, id_col, text_col)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

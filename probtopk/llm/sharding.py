@@ -28,11 +28,11 @@ def record_size(text: str) -> Column:
 def with_slot(df: DataFrame, id_col: str, text_col: str, n_slots: int = N_SLOTS) -> DataFrame:
     """(id, size, text_crc32, virtual_slot) of every row.
 
-    The slot is a hash of the id alone, so that a large group of equal texts spreads over the shards; rows without an id are dealt by their
-    text, so that a table full of null ids still spreads.
+    The slot is a hash of id and text: a large group of equal texts spreads over the shards, and so does one id, or none, that many
+    rows share. Only rows that are equal in both are held together.
     """
     text = common.text_or_empty(text_col)
-    key = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), text))
+    key = F.xxhash64(F.col(id_col), text)
     return df.select(
         F.col(id_col),
         record_size(text_col).alias("size"),
@@ -125,7 +125,7 @@ def assign(slotted: DataFrame, slot_map: DataFrame, id_col: str) -> DataFrame:
 def shard(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Deal all rows into shards 0 to n_shards - 1 whose bytes are nearly equal.
 
-    Null text counts as empty, a null id is dealt by its text, equal rows get
+    Null text counts as empty, ids may be null or repeated, equal rows get
     places of their own, a very long text is one record, an empty table gives no rows. Columns other than id and
     text are ignored.
     """
@@ -137,7 +137,7 @@ def shard(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str =
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards of nearly equal bytes. Null texts have 8 bytes, null ids are dealt by their text, repeated rows have places of their own."""
+    """All documents in 24 shards of nearly equal bytes. Null texts have 8 bytes, rows are dealt by id and text, repeated rows have places of their own."""
     placed = shard(common.documents(spark, sf_dir), 24)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"

@@ -33,9 +33,10 @@ def n_words(text: str) -> Column:
     return F.regexp_count(common.text_or_empty(text), F.lit(common.WORD)).cast("long")
 
 
-def es_key(id_col: str, weight: str, seed: str = SEED) -> Column:
-    """-ln(u) / weight, with u in (0, 1) from the first 48 bits of an md5."""
-    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+def es_key(id_col: str, weight: str, seed: str = SEED, no_id: Column | None = None) -> Column:
+    """-ln(u) / weight, with u in (0, 1) from the first 48 bits of an md5 of the id, or of what stands for it in rows without one."""
+    given = F.coalesce(F.col(id_col).cast("string"), F.lit("") if no_id is None else no_id)
+    digest = F.md5(F.concat(given, F.lit(f":{seed}")).cast("binary"))
     bits = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
     return -F.ln((bits + 0.5) / F.lit(float(2**48))) / F.col(weight)
 
@@ -68,16 +69,16 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ma
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weight_col: str = "weight", keep: tuple[str, ...] = (), **kw) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weight_col: str = "weight", keep: tuple[str, ...] = (), no_id: str | None = None, **kw) -> DataFrame:
     """Rows (id, source, size, source_size, target, taken, epochs) of a mix, and the columns to keep.
 
     `docs` has an id, a source, a size in words and a positive weight. Null
-    sources are one source, null ids share one random number. Equal keys are ordered by id and size; rows that repeat
-    an id are each a document; one without words takes nothing; a very long one may be taken in part.
+    sources are one source; rows without an id draw by the column `no_id`, or share one random number if there is none. Equal keys are
+    ordered by id, size and the columns to keep; rows that repeat an id are each a document; one without words takes nothing; a very long one may be taken in part.
     An empty table gives no rows. Other columns are ignored.
     """
     keyed = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"), es_key(id_col, weight_col).alias("key"), *keep
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"), es_key(id_col, weight_col, no_id=no_id and F.col(no_id)).alias("key"), *keep
     ).withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * N_BUCKETS).cast("int"))
     keyed = common.materialize(keyed, "mix-keys")
     buckets = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     starts = starts.join(plan, same(starts, plan)).select(
         starts["source"], "bucket", "start", "source_size", "target", "epochs", "rest"
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     ordered = keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = ordered.join(starts, same(ordered, starts) & (ordered["bucket"] == starts["bucket"]))
     part = F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("start") - F.col("within")))
@@ -102,19 +103,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
 
 
 def with_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, size, weight, th): words of the text, the weight of the quality label, and the text's hash."""
+    """(doc_id, source, size, weight, th, no_id): words of the text, the weight of the quality label, the text's hash, and what rows without an id draw by."""
     good, bad, none = map(F.lit, QUALITY_WEIGHTS)
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sized = docs.select("doc_id", "source", n_words("text").alias("size"), F.xxhash64("text").alias("th"))
+    sized = docs.select("doc_id", "source", n_words("text").alias("size"), F.xxhash64("text").alias("th"), F.when(F.col("doc_id").isNull(), F.md5(common.text_or_empty("text").cast("binary"))).alias("no_id"))
     return sized.join(marks, "doc_id", "left").select(
-        "doc_id", "source", "size", F.when(F.col("quality") == 1, good).when(F.col("quality") == 0, bad).otherwise(none).alias("weight"), "th"
+        "doc_id", "source", "size", F.when(F.col("quality") == 1, good).when(F.col("quality") == 0, bad).otherwise(none).alias("weight"), "th", "no_id"
     )
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents. A null or empty text has no words and nothing is taken of it; the null source comes last; repeated rows are each a document."""
     docs = common.documents(spark, sf_dir)
-    mixed = mix(with_weights(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    mixed = mix(with_weights(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), no_id="no_id")
     return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
@@ -123,7 +124,7 @@ WITH q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NO
 d AS (
   SELECT d.doc_id, d.source,
          len(list_filter(regexp_split_to_array(coalesce(d.text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size,
-         -ln((CAST('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':mix-1'), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0)
+         -ln((CAST('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, md5(coalesce(d.text, ''))) || ':mix-1'), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0)
            / CASE q.quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.25 ELSE 0.5 END AS k
   FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -151,9 +152,11 @@ def mixed_copies(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A row comes once per complete epoch; a row that is taken in part comes with
     the first words that are taken, and a row of which nothing is taken goes.
     Rows without words, null and empty texts too, take no part in the count of words and stay once.
-    Null ids and sources are kept, an empty table gives no rows, other columns are handed on.
+    Null ids and sources are kept, an empty table gives no rows, other columns are handed on, whatever their names.
     """
-    plan = mix(with_weights(docs, labels), keep=("th",)).select(
+    needed = ("doc_id", "text", "source")
+    given, docs = docs, common.hide(docs, *needed)
+    plan = mix(with_weights(docs, labels), keep=("th",), no_id="no_id").select(
         F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("source").alias("__source")
     )
     # Rows that repeat an id, a source and a text stand for each other: the plan's rows are numbered against the table's.
@@ -169,4 +172,4 @@ def mixed_copies(docs: DataFrame, labels: DataFrame) -> DataFrame:
     each = joined.withColumn("__take", F.explode(takes))
     pieces = F.regexp_extract_all("text", F.lit(rf"[{common.WS}]*[^{common.WS}]+"), F.lit(0))
     cut = F.when(F.col("__take") == F.col("__n"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("__take")), ""))
-    return each.select(*[cut.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return common.show(each.select(*[cut.alias(c) if c == "text" else F.col(c) for c in docs.columns]), given, *needed)

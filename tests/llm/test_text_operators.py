@@ -147,9 +147,9 @@ def plain_dedup(rows, min_docs):
     return ["\n".join(x for x in (t or "").split("\n") if not key(x) or counts[key(x)] < min_docs) for _, t, _ in rows]
 
 
-@pytest.mark.parametrize("hot_share", [65_536, 1])
-def test_line_dedup_equals_plain_counting(spark, monkeypatch, hot_share):
-    monkeypatch.setattr(linededup, "HOT_SHARE", hot_share)
+@pytest.mark.parametrize("least_probes", [2_000, 3])
+def test_line_dedup_equals_plain_counting(spark, monkeypatch, least_probes):
+    monkeypatch.setattr(linededup, "LEAST_PROBES", least_probes)
     r = random.Random(3)
     rows = [(i, "\n".join(r.choice([f"l{r.randrange(40)}", f" L{r.randrange(40)}\t", "", words(3, r.random())]) for _ in range(r.randrange(12))), "a") for i in range(150)]
     rows += EDGES

@@ -89,6 +89,15 @@ def mse(a: str, b: str) -> str:
 DETECTED = f"""(SELECT *, diff < {DIFF} AND frame_id <> ref_id AS discarded FROM (
   SELECT s.video_id, s.frame_id, r.ref_id, {mse('s.features', 'r.ref_features')} AS diff FROM {SEGMENTS} s JOIN {REFS} r ON s.video_id = r.video_id AND s.seg = r.seg))"""
 
+#: The embeddings of the whole query: a fifth is labelled train, a tenth valid, the others are cut into segments by their rank.
+LABELLED_FIRST = f"""(SELECT *, row_number() OVER (ORDER BY md5('0:' || video_id || ':' || frame_id), video_id, frame_id)
+  > floor(count(*) OVER () * 0.2::DOUBLE) + floor(count(*) OVER () * 0.1::DOUBLE) AS is_test FROM {EMBEDDED})"""
+TEST_SEGMENTS = f"""(SELECT *, row_number() OVER (PARTITION BY video_id, seg ORDER BY frame_id) - 1 AS at, count(*) OVER (PARTITION BY video_id, seg) AS n FROM (
+  SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1) // {REF_DIST} AS seg FROM {LABELLED_FIRST} WHERE is_test))"""
+DEDUPLICATED = f"""(SELECT s.video_id, s.frame_id, CASE WHEN {mse('s.features', 'r.features')} < {DIFF} THEN r.score ELSE s.score END AS score
+  FROM {TEST_SEGMENTS} s JOIN {TEST_SEGMENTS} r ON r.video_id = s.video_id AND r.seg = s.seg AND r.at = r.n // 2
+  UNION ALL SELECT video_id, frame_id, score FROM {LABELLED_FIRST} WHERE NOT is_test)"""
+
 NEIGHBOURS = "(SELECT * FROM (SELECT *, " + ", ".join(f"lead({c}) OVER (PARTITION BY frame_id ORDER BY det_id) AS n_{c}" for c in "x1 y1 x2 y2 cx cy w h".split()) + f" FROM {BOXES}) WHERE n_x1 IS NOT NULL)"
 TRUTH = f"(SELECT * FROM {BOXES} WHERE flag = 'R')"
 
@@ -202,6 +211,8 @@ ORACLES: dict[str, str] = {
     "object_count": f"""SELECT o_orderkey AS frame_id, coalesce(n, 0)::INT AS score FROM orders LEFT JOIN (
         SELECT frame_id, count(*) AS n FROM {BOXES} WHERE cls = 2 AND obj_conf >= 0.3 AND cls_conf >= 0.92 GROUP BY frame_id) ON frame_id = o_orderkey""",
     "smooth_labels": f"SELECT video_id, frame_id, score, round(avg(score) OVER (PARTITION BY video_id ORDER BY frame_id RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smoothed FROM {VIDEOS}",
+    "smooth_labels_filters": f"""SELECT video_id, frame_id, median(score) OVER w AS median, max(score) OVER w AS greatest FROM {VIDEOS}
+        WINDOW w AS (PARTITION BY video_id ORDER BY frame_id RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
     "fit_binned_proxy": f"""SELECT bin, score, round(n / sum(n) OVER (PARTITION BY bin), 6) AS pi FROM (
         SELECT b.i::INT AS bin, s.i::INT AS score, coalesce(n, 0) + 0.1::DOUBLE AS n FROM range(40) b(i) CROSS JOIN range({MAX}) s(i) LEFT JOIN (
           SELECT least(greatest(floor((value + k / 10.0) / (500.0 / 40)), 0), 39)::INT AS bin, score, count(*) AS n FROM {FRAMES} GROUP BY ALL) c
@@ -286,6 +297,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, {', '.join(f'list_transform([1, 2, 3], lambda i: exp(z{m}[i]) / (exp(z0[i]) + exp(z1[i]))) AS g{m}' for m in (0, 1))}
         FROM (SELECT frame_id, [score::DOUBLE, score + 1.0::DOUBLE, score - k / 50.0::DOUBLE] AS h, [k / 100.0::DOUBLE, 0.5::DOUBLE, -1.0::DOUBLE] AS z0, [0.25::DOUBLE, score / 10.0::DOUBLE, k / 40.0::DOUBLE] AS z1 FROM {FRAMES}))))""",
     "query_frames": f"SELECT * FROM {by_rank(topk(FRAMES))}",
+    "query_frames_deduplicated": f"SELECT * FROM {by_rank(topk(DEDUPLICATED, 20))}",
     "query_frames_model": f"SELECT * FROM {by_rank(topk(FRAMES))}",
     "query_frames_expected": f"SELECT * FROM {by_rank(topk(FRAMES))}",
     "query_windows_whole": f"SELECT * FROM {by_rank(f'(SELECT window_id AS frame_id, score FROM {clips(FRAMES, 30)} ORDER BY score DESC, window_id DESC LIMIT 20)')}",

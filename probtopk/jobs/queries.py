@@ -41,11 +41,16 @@ def _labelled(s: SparkSession, d: str) -> DataFrame:
 
 # Sources.
 def read_frames(s, d):
-    return sources.cut(X.frames(s, d), 100, 5000).select("frame_id", "score", "k")
+    """Frames stored as Parquet, read back from an offset on."""
+    path = scratch(s, "frames")
+    X.frames(s, d).write.parquet(path)
+    return sources.read_frames(s, path, 100, 5000).select("frame_id", "score", "k")
 
 
 def read_oracle(s, d):
-    return sources.cut(X.frames(s, d).select("video_id", "frame_id", "score"), 250)
+    path = scratch(s, "oracle")
+    X.frames(s, d).write.parquet(path)
+    return sources.read_oracle(s, path, 250)
 
 
 def read_frame_dir(s, d):
@@ -156,6 +161,13 @@ def smooth_labels(s, d):
     return scoring.smooth_labels(X.videos(s, d), 5).withColumn("smoothed", r6("smoothed"))
 
 
+def smooth_labels_filters(s, d):
+    """The median and the greatest score around every frame."""
+    keys = ["video_id", "frame_id"]
+    middle = scoring.smooth_labels(X.videos(s, d), 6, of_list=scoring.median_of).select(*keys, F.col("smoothed").alias("median"))
+    return middle.join(scoring.smooth_labels(X.videos(s, d), 6, F.max).select(*keys, F.col("smoothed").alias("greatest")), keys)
+
+
 def _binned(s, d):
     f = X.frames(s, d)
     return f.withColumn("bin", scoring.feature_bin(F.col("value") + F.col("k") / 10.0, 0.0, 500.0, 40))
@@ -562,7 +574,7 @@ def match_detections(s, d):
 
 
 _NAMES = """read_frame_dir read_frames read_oracle decode_box_blobs saved_stage video_prefix split_sizes split_frames sample_per_window complement union_certain multiset_overlap
-segment pick_reference mse_diff difference_detect difference_detect_stored mirror_lists apply_oracle apply_proxy lookup_scores object_count smooth_labels
+segment pick_reference mse_diff difference_detect difference_detect_stored mirror_lists apply_oracle apply_proxy lookup_scores object_count smooth_labels smooth_labels_filters
 fit_binned_proxy model_grid select_model normal_cdf mixture_cdf log_tables mixture_moments mixture_nll logsumexp
 hypotheses_to_mixture round_half_even score_weights column_log_sums calibration_profile window_distribution window_truth
 sampled_window_scores result_summary complete_mixtures propagate_mirrors box_iou_join exact_topk merge_topk thresholds

@@ -117,16 +117,27 @@ def object_count(boxes: DataFrame, frames: DataFrame, cls: int, obj_thres: float
     return frames.select("frame_id").join(counted, "frame_id", "left").select("frame_id", F.coalesce("n", F.lit(0)).cast("int").alias("score"))
 
 
-def smooth_labels(labels: DataFrame, kernel: int, fn=F.avg, span: int = SPAN) -> DataFrame:
+def smooth_labels(labels: DataFrame, kernel: int, fn=F.avg, span: int = SPAN, of_list=None) -> DataFrame:
     """`labels` with smoothed: a filter over the frames at most kernel div 2 away, cut at the ends.
 
+    `fn` is an aggregate (F.avg, F.max); `of_list` in its place is a function of the array of these scores (median_of), for filters that no
+    window has.
+
     Frames are dealt by spans; those near a border are copied to the spans that they reach, so a long video is not one task.
     """
     half = kernel // 2
     at = lambda frame: F.floor(frame / span)
     dealt = labels.withColumn("__span", F.explode(F.sequence(at(F.col("frame_id") - half), at(F.col("frame_id") + half))))
     around = Window.partitionBy("video_id", "__span").orderBy("frame_id").rangeBetween(-half, half)
-    return dealt.withColumn("smoothed", fn("score").over(around)).where(F.col("__span") == at(F.col("frame_id"))).drop("__span")
+    filtered = fn("score").over(around) if of_list is None else of_list(F.collect_list("score").over(around))
+    return dealt.withColumn("smoothed", filtered).where(F.col("__span") == at(F.col("frame_id"))).drop("__span")
+
+
+def median_of(values: Column) -> Column:
+    """The median of an array of numbers; the mean of the two in the middle of an even number."""
+    half = F.floor(F.size(values) / 2).cast("int")
+    ordered = F.array_sort(values)
+    return F.when(F.size(values) % 2 == 1, F.get(ordered, half).cast("double")).otherwise((F.get(ordered, half - 1) + F.get(ordered, half)) / 2.0)
 
 
 def score_weights(labels: DataFrame, max_score: int, smooth: int = 10) -> DataFrame:
@@ -159,7 +170,8 @@ def model_grid(spark: SparkSession, lists: Mapping[str, Sequence]) -> DataFrame:
     """All combinations of values, with model_id in order of the lists; as many rows as the lists' lengths multiply to."""
     grid, turn = spark.range(0, 1, 1, 1), F.lit(0)
     for name, values in lists.items():
-        grid = grid.select("*", F.posexplode(F.array(*map(F.lit, values))).alias(f"__{name}", name))
+        each = [F.lit(v).cast("long") if isinstance(v, int) else F.lit(v) for v in values]
+        grid = grid.select("*", F.posexplode(F.array(*each)).alias(f"__{name}", name))
         turn = turn * len(values) + F.col(f"__{name}")
     return grid.select(turn.cast("int").alias("model_id"), *lists)
 

@@ -15,7 +15,7 @@ Exact, in steps that skip work by what is known of related sets:
    copies), and measures it against the sets that it may link with: linear in
    the list. Sets that link with it have their component from it, so pairs
    among them are never looked at; a list with one component is done, the leader itself leaves its list.
-   Rounds go on while the open lists hold many pairs of different components.
+   Every open list gets a first round; rounds go on while the open lists hold many pairs of different components.
 5. The rest of the lists is cut into blocks by size, position and whether a set is in the list's main
    component. Blocks are paired first, by their ranges; only pairs of blocks that may link are opened.
    What two sets share with one leader bounds what they share with each
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ LONG_LIST = 16
 BUCKET_ENTRIES = 100_000
 #: Entries of a block, and bands of a factor of 2 in size and of a whole set in position.
 BLOCK, SIZE_BANDS, POSITION_BANDS = 64, 8, 32
-#: Leaders are taken while the open pairs are more than OPEN_PAIRS a list entry and a round leaves at most SHRINK of them.
+#: After the first round, leaders are taken while the open pairs are more than OPEN_PAIRS a list entry and a round leaves at most SHRINK of them.
 OPEN_PAIRS, SHRINK = 32, 0.75
 #: Rows of an Arrow batch; rows carry the hashes of a text's words.
 BATCH_ROWS = 1000
@@ -146,17 +147,18 @@ ENTRY = "bucket long, h long, node long, n long, pos long"
 
 def _entries(held, n_buckets: int):
     """Buckets below n_buckets hold prefix entries by shingle; the next n_buckets those of
-    frequent shingles by node, as their lists may be very long; the last n_buckets a row per document: its id in h, or 1 in pos if it has none."""
+    frequent shingles by node, as their lists may be very long; the last n_buckets a row per document, in turn: its id in h, or 1 in pos if it has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (often, places), seen = held.value, set()
+        (often, places), seen, turn = held.value, set(), TaskContext.get().partitionId()
         for pdf in batches:
             hs, late, meta, rows = [], [], [], []
             for i, words in zip(pdf["id"], pdf["words"], strict=True):
                 s = shingle_set(words)
                 node = node_of(s) if len(s) else 0
                 known = not pd.isna(i)
-                rows.append((2 * n_buckets + (int(i) if known else node) % n_buckets, int(i) if known else 0, node, len(s), int(not known)))
+                turn += 1
+                rows.append((2 * n_buckets + turn % n_buckets, int(i) if known else 0, node, len(s), int(not known)))
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
@@ -402,7 +404,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     in_long = common.materialize(long.groupBy("node").agg(F.collect_list("h").alias("long")), "in-long-lists")  # at most a prefix each
     known = answers = None
     entries_open, pairs_open = _open_pairs(_placed(long, known))
-    while pairs_open > OPEN_PAIRS * entries_open:
+    while pairs_open and (answers is None or pairs_open > OPEN_PAIRS * entries_open):
         long, new = _lead(long, known, corpus)
         answers = new if answers is None else answers.unionByName(new)
         found = links(new)

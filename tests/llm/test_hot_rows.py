@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sqlcheck import DATA
 
 import corpus_pipeline
-from probtopk.llm import common, linededup, mixing, sharding
+from probtopk.llm import common, jaccard, linededup, mixing, sharding
 
 CLASHES = ["__id", "__th", "__gone", "__row", "__n", "__take", "th", "id", "uid", "shard", "size", "key", "digest", "node", "n_shingles", "component_id", "lines", "__lines", "__kept", "score", "keys", "copy"]
 
@@ -60,3 +60,28 @@ def test_every_drop_is_answered_by_the_index(spark, monkeypatch):
     assert seen == [10] and "FlatMapCoGroupsInPandas" in plan and "Union" not in plan
     rows = {r["id"]: len(r["drop"]) for r in drops.collect()}
     assert rows == dict.fromkeys(range(3_000), 2)  # the common line and the one that ten share
+
+
+def test_long_lists_are_led_at_every_size(spark, monkeypatch):
+    """Every long list with several components has a leader first, however few pairs are open, and the answers are those of plain sets."""
+    texts = ["in all of them " + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(60)] + ["in all of them " + " ".join(f"c{j}" for j in range(40)) + f" t{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rounds, lead = [], jaccard._lead
+
+    def counted(*args):
+        rounds.append(lead(*args))
+        return rounds[-1]
+
+    monkeypatch.setattr(jaccard, "_lead", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similarity_classes(docs).collect()}
+    assert len(rounds) >= 1
+    assert got == {i: i if i < 60 else 60 for i in range(100)}
+
+
+@pytest.mark.parametrize("ids", ["7L", "CAST(NULL AS BIGINT)"])
+def test_rows_of_one_id_are_spread_over_buckets(spark, ids):
+    docs = spark.range(3_000).selectExpr(f"{ids} AS doc_id", "IF(id % 2 = 0, '', concat_ws(' ', 'a', id, 'b', id, 'c', id, 'd')) AS text")
+    held = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    entries = jaccard.word_hashes(docs, "doc_id", "text").mapInPandas(jaccard._entries(held, 30), jaccard.ENTRY)
+    sizes = [r["count"] for r in entries.where("bucket >= 60").groupBy("bucket").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 1.2 * np.median(sizes)

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import range_dealt
 from . import common
 
 ROLL_BYTES = 16 << 20
@@ -150,7 +151,7 @@ def shard_ranges(facts: DataFrame, n_shards: int, total: int) -> DataFrame:
     """(prefix, shard): ranges of places that hold at most 1 / FINE of a shard, where that can be, dealt in order so that shards hold nearly equal bytes.
 
     Bytes are counted by the first digits of the place; only heavy ranges are counted by one digit
-    more. There are at most some 64 ranges a shard, and only these are ordered in one task.
+    more. There are at most some 64 ranges a shard; they are ordered in parts, and one task orders a row of bytes per part.
     """
     most = total / n_shards / FINE
     open_, ranges, width = facts.select("place", F.greatest("n", F.lit(1)).alias("n")), None, 2
@@ -168,11 +169,25 @@ def shard_ranges(facts: DataFrame, n_shards: int, total: int) -> DataFrame:
             break
         open_ = common.lookup(open_.withColumn("prefix", F.substring("place", 1, width)), heavy.select("prefix"), "prefix", "left_semi").drop("prefix")
         width = shared + 1  # all heavy ranges share so many digits within
-    before = F.coalesce(F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = common.materialize(range_dealt(ranges, "prefix").withColumn("part", F.spark_partition_id()), "range-parts")
+    up_to = lambda by: F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.groupBy("part").agg(F.sum("n").alias("n")).select("part", up_to(Window.orderBy("part")).alias("start"))
+    inside = parts.withColumn("inside", up_to(Window.partitionBy("part").orderBy("prefix")))
+    ranges, before = inside.join(F.broadcast(starts), "part"), F.col("start") + F.col("inside")  # a row per part
     shard = F.least(F.floor(before * F.lit(n_shards) / F.lit(max(total, 1))), F.lit(n_shards - 1)).cast("int")
     return ranges.select("prefix", shard.alias("shard"))
 
 
+def in_shards(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """`rows`, which have a place, with the shard of the range (prefix, shard) that holds it; one lookup for each length of a prefix."""
+    columns = rows.columns
+    widths = [r[0] for r in ranges.select(F.length("prefix")).distinct().collect()]  # at most PLACE
+    for w in widths:
+        own = common.materialize(ranges.where(F.length("prefix") == w).select(F.col("prefix").alias(f"p{w}"), F.col("shard").alias(f"s{w}")), "shards")
+        rows = common.lookup(rows.withColumn(f"p{w}", F.substring("place", 1, w)), own, f"p{w}", "left")
+    return rows.select(*columns, (F.coalesce(*[f"s{w}" for w in widths]) if widths else F.lit(0)).alias("shard"))
+
+
 def write_warc(pages: DataFrame, folder: str, n_shards: int | None = None, roll_bytes: int = ROLL_BYTES, min_bytes: int = 0) -> DataFrame:
     """Write pages (page_id, url, html) to `folder`; returns the committed manifest.
 
@@ -193,12 +208,12 @@ def write_warc(pages: DataFrame, folder: str, n_shards: int | None = None, roll_
         none = F.lit(None).cast("string")
         decided = decide(facts, min_bytes).select("page_id", "print", "place", F.lit(False).alias("is_page"), "refers_to", none.alias("url"), none.alias("html"))
         records = located.select("page_id", "print", "place", F.lit(True).alias("is_page"), F.lit(None).cast("long").alias("refers_to"), "url", "html").unionByName(decided)
-        widths = [r[0] for r in ranges.select(F.length("prefix")).distinct().collect()]  # at most PLACE
-        for w in widths:
-            own = common.materialize(ranges.where(F.length("prefix") == w).select(F.col("prefix").alias(f"p{w}"), F.col("shard").alias(f"s{w}")), "shards")
-            records = common.lookup(records.withColumn(f"p{w}", F.substring("place", 1, w)), own, f"p{w}", "left")
-        shard = F.coalesce(*[f"s{w}" for w in widths]) if widths else F.lit(0)
-        dealt = records.select(shard.alias("shard"), "page_id", "place", "print", "is_page", "refers_to", "url", "html").repartitionById(n_shards, F.col("shard"))
+        if ranges.count() <= common.BROADCAST_ROWS:
+            sharded = in_shards(records, ranges)
+        else:  # the ranges are looked up by the places alone, the records get theirs in one join
+            places = in_shards(facts.select("place").distinct(), ranges)
+            sharded = common.lookup(records, common.materialize(places, "places"), "place")
+        dealt = sharded.select("shard", "page_id", "place", "print", "is_page", "refers_to", "url", "html").repartitionById(n_shards, F.col("shard"))
         ordered = dealt.sortWithinPartitions("place", "print", "is_page", F.xxhash64("url"), "url")
         place, path = fs.FileSystem.from_uri(folder)
         place.create_dir(path)
@@ -260,7 +275,7 @@ def read_warc(spark: SparkSession, folder: str, keep_payload: bool = True) -> Da
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/_manifest")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     named = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
-    committed = named.join(F.broadcast(manifest.select("file")), "file", "left_semi")
+    committed = common.lookup(named, manifest.select("file"), "file", "left_semi")
     return committed.select("content").mapInPandas(_read(keep_payload), READ_SCHEMA)
 
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pandas as pd
 from sqlcheck import DATA
 
+from probtopk.llm import common, warc
 from probtopk.llm.queries import QUERIES
 
 
@@ -33,3 +34,16 @@ def test_shards_of_all_documents(spark):
     for _, part in rows.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
     assert set(rows["shard"]) == set(range(24)) and set(rows["law"]) == {"bytes"}
+
+
+def test_archives_are_the_same_when_ranges_are_many(spark, tmp_path, monkeypatch):
+    """Beyond what may be broadcast, ranges are looked up by places and records get their shard in one join."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").unionByName(spark.createDataFrame([(None, "u", "<p>no id</p>"), (None, None, None)], "page_id long, url string, html string"))
+    rows = {}
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        folder = f"file://{tmp_path}/warc-{most}"
+        manifest = sorted(tuple(r) for r in warc.write_warc(pages, folder, n_shards=5, roll_bytes=100_000).collect())
+        rows[most] = manifest, sorted((str(tuple(r)) for r in warc.read_warc(spark, folder).collect()))
+    assert rows[0][1] == rows[500_000][1] and len(rows[0][1]) == pages.count()
+    assert [m[:3] for m in rows[0][0]] == [m[:3] for m in rows[500_000][0]]

@@ -211,8 +211,7 @@ def _coded(data: bytes, row_ids: pd.Series, texts: list[str], keep_ids: bool) ->
             "decoded_sha256": [sha(b.encode()) for b in back],
             # The marker itself reads as a space.
             "round_trip": [b == t.replace(MARK, " ") for b, t in zip(back, texts, strict=True)],
-            # A row without an id has no parity, unless its ids differ.
-            "parity": pd.array([None if s and n else s for s, n in zip(same, row_ids.isna(), strict=True)], "boolean"),
+            "parity": same,
         }
     )
 
@@ -234,8 +233,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     round_trip says that decoding gives the text again (it does for models
     whose normaliser keeps texts as they are); parity that the reference runtime
-    gives the same ids, which is checked on every row; it is null for a null id,
-    unless the ids differ. Null and empty texts have no tokens, very long ones are encoded whole. Repeated rows each get a
+    gives the same ids, which is checked and told on every row, those without an id too. Null and empty texts have no tokens, very long ones are encoded whole. Repeated rows each get a
     row, an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession

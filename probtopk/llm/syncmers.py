@@ -6,15 +6,16 @@ one. Whether a k-mer is an anchor depends on its own tokens only, so an edit
 changes no anchor elsewhere, and equal passages have equal anchors at
 equal distances.
 
-Tokens are the words of a text; texts of fewer than SHORT code points are also
-read as single characters, so that a short text does not stand or fall with one
-word. A text with fewer words than K is one anchor of words.
+Tokens are the pieces of a text: its words cut into runs of at most PIECE
+code points, so that a short text does not stand or fall with one word. Texts of
+all lengths are read alike. A text without an anchor has one, the hash of all its pieces.
 
-The fingerprint holds the SKETCH smallest distinct anchor hashes of words, a
-second one those of characters (null for longer texts). The likeness of two texts
-is the Jaccard estimate on the SKETCH smallest hashes of the union; it is
-exact where both have at most SKETCH anchors. Only readings that both texts have
-are compared, so a short and a longer text are compared by words.
+The fingerprint holds the SKETCH smallest distinct anchor hashes with the place
+(in pieces) where each comes first. The likeness of two texts is
+read from their fingerprints alone: the Jaccard estimate on the SKETCH smallest hashes of
+the union, exact where both have at most SKETCH anchors, in which a shared anchor
+counts if another one has moved as far from text to text. What is
+shared by chance moves by chance, and all of it together counts as one anchor.
 
 Everything is DataFrame functions.
 """
@@ -28,9 +29,7 @@ from . import common
 
 K, S = 4, 2
 SKETCH = 64
-SHORT = 400
-#: Texts of fewer code points also count their s-mers of characters as anchors.
-TINY = 32
+PIECE = 4
 
 
 def token_hashes(tokens: Column) -> Column:
@@ -57,31 +56,25 @@ def anchors_of(smers: Column) -> Column:
     return F.zip_with(_tail(smers, 0, 2), pairs, lambda a, bc: F.when(bc["b"] >= F.least(a, bc["c"]), F.xxhash64(a, bc["c"])))
 
 
-def characters(text: Column) -> Column:
-    """Code points of a short text as strings, null for longer ones."""
-    return F.when(F.length(text) < SHORT, F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0)))
+def pieces(text: Column) -> Column:
+    """Words of a text cut into runs of at most PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(rf"[^{common.WS}]{{1,{PIECE}}}"), F.lit(0))
 
 
-def with_smers(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
-    """Columns <prefix>_words and <prefix>_chars (null for longer texts): s-mer hashes of the two readings; <prefix>_whole: hash of all words.
+def with_anchors(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    """Columns <prefix>_anchors: array<long>, null where a k-mer is none, and <prefix>_whole: hash of all pieces.
 
-    Tokens are a step of their own: they are read several times in the next one.
+    What is read several times in the next step is a step of its own.
     """
-    text = common.text_or_empty(text_col)
-    tokens = df.withColumns({f"{prefix}_w": token_hashes(common.words(text)), f"{prefix}_c": token_hashes(characters(text))})
-    return tokens.withColumns(
-        {
-            f"{prefix}_words": smer_hashes(F.col(f"{prefix}_w")),
-            f"{prefix}_chars": smer_hashes(F.col(f"{prefix}_c")),
-            f"{prefix}_whole": F.xxhash64(f"{prefix}_w"),
-        }
-    ).drop(f"{prefix}_w", f"{prefix}_c")
+    tokens = df.withColumn(f"{prefix}_t", token_hashes(pieces(common.text_or_empty(text_col))))
+    smers = tokens.withColumns({f"{prefix}_s": smer_hashes(F.col(f"{prefix}_t")), f"{prefix}_whole": F.xxhash64(f"{prefix}_t")})
+    return smers.withColumn(f"{prefix}_anchors", anchors_of(F.col(f"{prefix}_s"))).drop(f"{prefix}_t", f"{prefix}_s")
 
 
 def positional_anchors(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """`df` with anchors: array<struct<pos, hash>>, word position and hash of each, for positional matching of passages."""
-    placed = F.transform(anchors_of(F.col("__words")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
-    found = with_smers(df, text_col, "_").withColumn("anchors", F.filter(placed, lambda p: p["hash"].isNotNull()))
+    """`df` with anchors: array<struct<pos, hash>>, place (in pieces) and hash of each, for positional matching of passages."""
+    placed = F.transform(F.col("__anchors"), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
+    found = with_anchors(df, text_col, "_").withColumn("anchors", F.filter(placed, lambda p: p["hash"].isNotNull()))
     return found.select(*df.columns, "anchors")
 
 
@@ -89,33 +82,35 @@ def smallest(hashes: Column) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.array_compact(hashes))), 1, SKETCH)
 
 
-def sketch(prefix: str) -> Column:
-    """struct<words, chars>: the SKETCH smallest distinct anchor hashes of each reading.
-
-    words is the whole text's hash where it has no k-mer of words; chars is null for longer texts.
-    """
-    none = F.array().cast("array<long>")
-    whole = F.when(F.size(f"{prefix}_words") < K - S + 1, F.array(f"{prefix}_whole")).otherwise(none)
-    tiny = F.when(F.size(f"{prefix}_chars") < TINY, F.col(f"{prefix}_chars")).otherwise(none)
-    chars = F.when(F.col(f"{prefix}_chars").isNotNull(), smallest(F.concat(anchors_of(F.col(f"{prefix}_chars")), tiny)))
-    return F.struct(smallest(F.concat(anchors_of(F.col(f"{prefix}_words")), whole)).alias("words"), chars.alias("chars"))
-
-
-def as_text(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
+def with_sketch(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    """Column <prefix>: struct<hashes, at>, the SKETCH smallest distinct anchor hashes and the place where each comes first."""
+    anchors, whole, least, near = (f"{prefix}_{c}" for c in ("anchors", "whole", "least", "near"))
+    found = with_anchors(df, text_col, prefix).withColumn(least, smallest(F.col(anchors)))
+    # Only anchors up to the greatest hash of the sketch are looked at for places.
+    placed = F.transform(F.col(anchors), lambda h, i: F.when(h <= F.element_at(F.col(least), -1), F.struct(h.alias("hash"), i.alias("at"))))
+    none = F.size(least) == 0
+    held = found.withColumn(near, F.when(none, F.array().cast("array<struct<hash:bigint,at:int>>")).otherwise(F.array_compact(placed)))
+    held = held.withColumn(least, F.when(none, F.array(whole)).otherwise(F.col(least)))
+    at = F.transform(F.col(least), lambda h: F.coalesce(F.get(F.col(near)["at"], F.array_position(F.col(near)["hash"], h) - 1), F.lit(0)))
+    return held.withColumn(prefix, F.struct(F.col(least).alias("hashes"), at.alias("at"))).drop(anchors, whole, least, near)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1, of two sketches: by words and characters where both texts have both, else by words."""
-    both = lambda s: F.concat(s["words"], s["chars"])
-    return F.when(a["chars"].isNotNull() & b["chars"].isNotNull(), _jaccard(both(a), both(b))).otherwise(_jaccard(a["words"], b["words"]))
+def as_text(sketch: Column) -> Column:
+    """hash@place, by hash."""
+    return F.array_join(F.zip_with(sketch["hashes"], sketch["at"], lambda h, i: F.concat(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit("@"), i.cast("string"))), ",")
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    """0 to 1; two sets without hashes are alike."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
+def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Column <name>, 0 to 1: likeness of the sketches in the columns a and b."""
+    union, shared, moved = (f"{name}_{c}" for c in ("union", "shared", "moved"))
+    place = lambda s, h: F.get(F.col(s)["at"], F.array_position(F.col(s)["hashes"], h) - 1)
+    steps = df.withColumn(union, F.slice(F.array_sort(F.array_union(F.col(a)["hashes"], F.col(b)["hashes"])), 1, SKETCH))
+    steps = steps.withColumn(shared, F.array_intersect(F.array_intersect(F.col(union), F.col(a)["hashes"]), F.col(b)["hashes"]))
+    steps = steps.withColumn(moved, F.array_sort(F.transform(F.col(shared), lambda h: place(a, h) - place(b, h))))
+    # In order of the way moved, equal ones are neighbours.
+    fellows = F.filter(F.col(moved), lambda d, i: F.coalesce(d == F.get(F.col(moved), i - 1), F.lit(False)) | F.coalesce(d == F.get(F.col(moved), i + 1), F.lit(False)))
+    counted = F.greatest(F.size(fellows), F.least(F.size(moved), F.lit(1)))
+    return steps.withColumn(name, counted / F.size(union)).drop(union, shared, moved)
 
 
 #: What tells rows apart: the id (0 where it is null), whether it is known, the text's hash.
@@ -162,24 +157,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     links = links_to_next(docs, id_col, text_col)
     dealt = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text")).repartition(common.n_partitions(docs.sparkSession), *KEY)
-    handing = with_smers(dealt.join(links, list(KEY)), "text", "next").select(
+    handing = with_sketch(dealt.join(links, list(KEY)), "text", "next").select(
         *[F.col(f"own_{c}").alias(c) for c in KEY],
         F.substring(common.text_or_empty("text"), F.lit(1), F.floor(F.col("n_chars") / 4).cast("int")).alias("start"),
-        sketch("next").alias("next_sketch"),
+        F.col("next").alias("next_sketch"),
     )
-    # A row that is repeated hands the same start over as often; one is taken.
+    # Rows of one KEY have equal texts (by a hash of 64 bits), so each hands over the same start; one is taken.
     starts = handing.groupBy(*KEY).agg(F.first("start").alias("start"), F.first("next_sketch").alias("next_sketch"))
     text = common.text_or_empty("text")
     n_chars = F.length(text)
     edited = F.concat(F.substring(text, F.lit(1), n_chars - F.floor(n_chars / 4).cast("int")), F.col("start"))
     joined = dealt.join(starts, list(KEY)).withColumn("edited", edited)
-    both = with_smers(with_smers(joined, "text", "own"), "edited", "edited")
-    sketched = both.select("kid", "known", n_chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch("own").alias("own"), sketch("edited").alias("edited"), "next_sketch")
-    return sketched.select(
-        F.when(F.col("known"), F.col("kid")).alias(id_col), "n_chars", "edited_sha256",
-        as_text(F.col("own.words")).alias("fingerprint"), as_text(F.col("own.chars")).alias("char_fingerprint"),
-        as_text(F.col("edited.words")).alias("edited_fingerprint"), as_text(F.col("edited.chars")).alias("edited_char_fingerprint"),
-        likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next_sketch")).alias("near_next"),
+    both = with_sketch(with_sketch(joined, "text", "own"), "edited", "other")
+    both = with_likeness(with_likeness(both, "own", "other", "near_edited"), "own", "next_sketch", "near_next")
+    return both.select(
+        F.when(F.col("known"), F.col("kid")).alias(id_col), n_chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
 
 

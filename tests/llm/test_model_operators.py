@@ -199,6 +199,50 @@ def test_parity_is_checked_on_every_row(spark, model, monkeypatch):
     assert got["parity"].tolist() == [False, True, False]
 
 
+def bpe(byte_fallback, dummy_prefix, extra_spaces=0, across=False):
+    """A byte-pair model; with `across`, one piece goes over the start of a word."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if byte_fallback else []
+    joined = ["ab", "▁a", "▁ab", "ca", "abc", "▁▁", "▁abc", *(["b▁"] if across else [])]
+    pieces += [(p, -float(i), 1) for i, p in enumerate([*joined, "▁", "a", "b", "c"])]
+    body = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    return body + message((2, message((3, 2), (35, int(byte_fallback)))), (3, message((3, dummy_prefix), (4, extra_spaces), (5, 1))))
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+@pytest.mark.parametrize("dummy_prefix", [1, 0])
+@pytest.mark.parametrize("extra_spaces", [0, 1])
+@pytest.mark.parametrize("across", [False, True])
+def test_byte_pair_models_of_short_and_long_texts(byte_fallback, dummy_prefix, extra_spaces, across, monkeypatch):
+    data = bpe(byte_fallback, dummy_prefix, extra_spaces, across)
+    runtime, r = sp.SentencePieceProcessor(model_proto=data), random.Random(2)
+    texts = ["", " ", "  ", *("".join(r.choice("aabbcc  x" + "▁" * (1 - extra_spaces)) for _ in range(r.randrange(1, 40))) for _ in range(300))]
+    monkeypatch.setattr(sentencepiece, "SEQUENCE_CHARS", 20)
+    ids = sentencepiece.encoded(data, texts)
+    assert ids == [runtime.encode(t) for t in texts]
+    assert sentencepiece.decoded(data, ids) == sentencepiece._built(data).decode_batch(ids, skip_special_tokens=False)
+
+
+def test_short_texts_are_not_split_and_long_ones_are(model, monkeypatch):
+    """Splitting cost more than the merges (check: 1,077 CPU s a GB of 900), but merges of long texts take n log n steps."""
+    split, text = [], "one two  three " * 20
+    by = sentencepiece._built(model)
+
+    class Splits:
+        model = by.model
+
+        def encode_batch_fast(self, texts, **options):
+            split.extend(texts)
+            return by.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(sentencepiece, "_built", lambda data: Splits())
+    monkeypatch.setattr(sentencepiece, "SEQUENCE_CHARS", len(text))
+    encode = sentencepiece._encoder.__wrapped__(model)
+    runtime = sp.SentencePieceProcessor(model_proto=model)
+    assert encode([text, text + "é", ""]) == [runtime.encode(t) for t in [text, text + "é", ""]]
+    assert split == [text + "é"]
+
+
 # WARC.
 PAGES = "page_id long, url string, html string, shard string"
 

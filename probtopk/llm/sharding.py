@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots.
 
-Records hash into thousands of virtual slots, whose number never changes. Bytes
+Records hash by id into thousands of virtual slots, whose number never changes. Bytes
 are summed per slot, and a versioned slot-to-shard map says which shard holds a
 slot. A new version of the map is an edit of the last one: rebalancing moves
 whole slots, and adding shards moves slots only into the new ones.
@@ -26,19 +26,27 @@ def record_size(text: str) -> Column:
 
 
 def with_slot(df: DataFrame, id_col: str, text_col: str, n_slots: int = N_SLOTS) -> DataFrame:
-    """(id, size, text_crc32, virtual_slot) of every row.
+    """(id, size, text_crc32, virtual_slot) of every row; written, as ids are counted first.
 
-    The slot is a hash of id and text: a large group of equal texts spreads over the shards, and so does one id, or none, that many
-    rows share. Only rows that are equal in both are held together.
+    The slot is a hash of the id where one row has it, so that a large group of equal texts spreads over the shards and a row whose
+    text is edited stays. Rows without an id, or with one that others have too, go by id and text, so they spread as well;
+    only rows that are equal in both are held together.
     """
     text = common.text_or_empty(text_col)
-    key = F.xxhash64(F.col(id_col), text)
-    return df.select(
+    slot = lambda *key: F.pmod(F.xxhash64(*key), F.lit(n_slots)).cast("int")
+    rows = df.select(
         F.col(id_col),
         record_size(text_col).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(key, F.lit(n_slots)).cast("int").alias("virtual_slot"),
+        slot(F.col(id_col)).alias("__own"),
+        slot(F.col(id_col), text).alias("__spread"),
     )
+    rows = common.materialize(rows, "slots")
+    shared = rows.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    shared = common.materialize(shared.select(id_col, F.lit(True).alias("__shared")), "shared-ids")
+    spread = F.col(id_col).isNull() | F.coalesce("__shared", F.lit(False))
+    placed = common.lookup(rows, shared, id_col, "left")
+    return placed.select(F.col(id_col), "size", "text_crc32", F.when(spread, F.col("__spread")).otherwise(F.col("__own")).alias("virtual_slot"))
 
 
 def slot_bytes(slotted: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -130,14 +138,14 @@ def shard(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str =
     text are ignored.
     """
     spark = df.sparkSession
-    slotted = common.materialize(with_slot(df, id_col, text_col, n_slots), "slots")
+    slotted = with_slot(df, id_col, text_col, n_slots)
     path = map_path or common.scratch(spark, "slot-map")
     slot_map = store_map(initial_map(slot_bytes(slotted, n_slots), n_shards), path, 1)
     return assign(slotted, slot_map, id_col)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards of nearly equal bytes. Null texts have 8 bytes, rows are dealt by id and text, repeated rows have places of their own."""
+    """All documents in 24 shards of nearly equal bytes. Null texts have 8 bytes, rows are dealt by id (null and repeated ids by id and text), repeated rows have places of their own."""
     placed = shard(common.documents(spark, sf_dir), 24)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"

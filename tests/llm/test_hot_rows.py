@@ -33,6 +33,15 @@ def test_shards_of_one_id_are_near_in_bytes(spark, ids):
     assert placed.groupBy("shard").agg((F.max("slot") + 1 == F.count(F.lit(1))).alias("gapless")).where("NOT gapless").count() == 0
 
 
+def test_only_shared_ids_go_by_their_text(spark):
+    """Ids of one row keep their slot when the text is edited; the rows of one id, or of none, spread."""
+    rows = spark.range(600).selectExpr("CASE WHEN id < 200 THEN 7 WHEN id < 400 THEN NULL ELSE id END AS doc_id", "concat('text ', id) AS text")
+    slots = [sharding.with_slot(d, "doc_id", "text").toPandas() for d in (rows, rows.selectExpr("doc_id", "concat(text, '!') AS text"))]
+    own = [s[s["doc_id"] >= 400].set_index("doc_id")["virtual_slot"].to_dict() for s in slots]
+    assert len(slots[0]) == 600 and len(own[0]) == 200 and own[0] == own[1]
+    assert all(s[mine(s)]["virtual_slot"].nunique() > 180 for s in slots for mine in (lambda s: s["doc_id"] == 7, lambda s: s["doc_id"].isna()))
+
+
 def test_rows_without_id_draw_each_for_themselves(spark):
     docs = spark.range(4_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('some words ', id) AS text", "IF(id % 4 = 0, 'a', 'b') AS source")
     labels = spark.createDataFrame([], "doc_id long, quality int")

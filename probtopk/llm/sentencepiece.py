@@ -155,6 +155,12 @@ def read_model(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(uri).select("content").first()[0])
 
 
+def _set_threads() -> None:
+    """The library reads these when a worker first encodes or decodes, so both have to set them."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+
+
 def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Slices of at most BATCH_CHARS code points, or of one text."""
     start = held = 0
@@ -249,8 +255,7 @@ def _coded(data: bytes, row_ids: pd.Series, texts: list[str], keep_ids: bool) ->
 
 def _coder(held, keep_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the worker first encodes
+        _set_threads()
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             for a, b in _batches(texts):
@@ -281,6 +286,7 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataF
 
     @F.pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
+        _set_threads()
         texts = iter(decoded(held.value, [list(map(int, i)) for i in ids if i is not None]))
         return pd.Series([None if i is None else next(texts) for i in ids], dtype="object")
 

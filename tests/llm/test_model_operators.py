@@ -1,12 +1,15 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import struct
 import zlib
 
+import pandas as pd
 import pytest
 import sentencepiece as sp
+from pyspark.sql import functions as F
 
 from probtopk.llm import common, sentencepiece, toxicity, warc
 
@@ -243,6 +246,18 @@ def test_short_texts_are_not_split_and_long_ones_are(model, monkeypatch):
     assert split == [text + "é"]
 
 
+def test_decoding_sets_the_threads_of_the_library(spark):
+    """Decoding left their number to the library, one a core, and workers that had decoded crashed in the next query."""
+
+    @F.pandas_udf("string")
+    def threads(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda _: os.environ.get("RAYON_NUM_THREADS"))
+
+    tokens = spark.range(40).selectExpr("id", "array(1, 2, CAST(300 + id AS INT)) AS ids")
+    got = sentencepiece.decode(tokens).withColumn("threads", threads("decoded")).collect()
+    assert len(got) == 40 and all(r["decoded"] for r in got) and {r["threads"] for r in got} == {str(sentencepiece.THREADS)}
+
+
 # WARC.
 PAGES = "page_id long, url string, html string, shard string"
 
